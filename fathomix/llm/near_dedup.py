@@ -218,7 +218,7 @@ def _residual(shared: DataFrame, texts: DataFrame, component: DataFrame, scratch
         return component
     label = labelled.select("id", "component").distinct()
     lifted = more.join(label.withColumnsRenamed({"id": "u", "component": "cu"}), "u").join(label.withColumnsRenamed({"id": "v", "component": "cv"}), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-    merged = scratch.write(connected_components(lifted, scratch).withColumnsRenamed({"id": "component", "component": "to"}))
+    merged = scratch.write(connected_components(lifted, scratch).select(F.col("id").alias("component"), F.col("component").alias("to")))
     return scratch.write(label.join(merged, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
 
 
