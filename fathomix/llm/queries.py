@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomix.llm import decontamination, exact_dedup, near_dedup
+from fathomix.llm import chat, decontamination, exact_dedup, line_dedup, near_dedup, pieces, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +20,47 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", decontamination.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def held_out(doc_id: str):
+    """The fold whose labels are never learnt from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"), held_out=held_out), keep=["doc_id"])
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue from the perspective of each participant."""
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without recurring lines."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_recurring_lines(docs, counts=True)
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 5-word shingle sets have a similarity of 0.85 or more."""
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by pattern and by randomness."""
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    counts = [secrets.n_kind("base", k).alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(secrets.span_string("base"), 256).alias("base_sha256"), secrets.span_string("spans").alias("spans"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all documents."""
+    encoded = pieces.encode_pieces(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts."""
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
@@ -32,7 +68,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
+    "op3_chat_rotation": op3_chat_rotation,
+    "op4_line_dedup": op4_line_dedup,
     "op5_near_dedup": op5_near_dedup,
+    "op7_secrets": op7_secrets,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
@@ -53,6 +94,18 @@ t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+""",
+    "op3_chat_rotation": r"""
+WITH r AS (SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS words FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, words) - 1 AS pos FROM r),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM r WHERE role <> 'system'),
+v AS (SELECT o.conv_id, speaker, CAST(floor(pos / 256) AS BIGINT) AS segment, pos, role = speaker AS mine,
+      '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head, words || '<|im_end|>' || chr(10) AS body
+      FROM o JOIN s ON o.conv_id IS NOT DISTINCT FROM s.conv_id),
+p AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, segment ORDER BY pos) AS stop FROM v)
+SELECT conv_id, speaker, segment, count(*) AS n_turns, count(*) FILTER (WHERE mine) AS n_target, string_agg(head || body, '' ORDER BY pos) AS text,
+       coalesce(string_agg(CAST(CAST(stop - length(body) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE mine), '') AS mask
+FROM p GROUP BY conv_id, speaker, segment
 """,
     "op9_exact_dedup": r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
