@@ -30,20 +30,20 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        self.tables: dict[int, tuple[DataFrame, str]] = {}
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.tables[id(out)] = (out, path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:
-            path = self.paths.pop(id(df), None)
-            if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
+            found = self.tables.pop(id(df), None)
+            if found:
+                p = jvm.org.apache.hadoop.fs.Path(found[1])
                 p.getFileSystem(conf).delete(p, True)
