@@ -28,7 +28,9 @@ from fathomix.llm.arrow import map_text
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stretches of up to so many characters are remembered, so many of them.
-MEMO_CHARS, MEMO_SIZE = 48, 300_000
+MEMO_CHARS, MEMO_SIZE = 32, 200_000
+#: Pairs of pieces whose verdict is remembered.
+PAIRS = 300_000
 #: Characters between two searches for a common boundary.
 STRIDE = 64
 
@@ -133,7 +135,7 @@ class PieceModel:
             return True
         ok = self.pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             ok = self.pairs[a, b] = self._apart(a, b)
         return ok
@@ -219,7 +221,23 @@ class PieceModel:
 
 def _shared(df: DataFrame, model: str):
     with open(model, "rb") as f:
-        return df.sparkSession.sparkContext.broadcast(PieceModel(f.read()))
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
+def held_model(data: bytes) -> PieceModel:
+    """The model of a worker process, with its memo, for all its tasks; one at a time, so memory is bounded.
+
+    It is held by ``sys``, as functions reach workers by value and a global of this module would be
+    another one in each task.
+    """
+    import hashlib
+    import sys
+
+    key = hashlib.sha256(data).digest()
+    held = getattr(sys, "_held_piece_model", None)
+    if held is None or held[0] != key:
+        held = sys._held_piece_model = (key, PieceModel(data))
+    return held[1]
 
 
 def encode_pieces(docs: DataFrame, text: str = "text", keep: list[str] | None = None, model: str = MODEL) -> DataFrame:
@@ -230,7 +248,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", keep: list[str] | None =
     shared = _shared(docs, model)
 
     def make():
-        m = shared.value  # one for each worker process, with its memo
+        m = held_model(shared.value)
 
         def run(texts: pa.Array) -> list:
             rows = texts.to_pylist()
@@ -249,7 +267,7 @@ def decode_pieces(rows: DataFrame, ids: str = "ids", name: str = "text", model:
 
     @F.pandas_udf(T.StringType())
     def decoded(batch):
-        m = shared.value
+        m = held_model(shared.value)
         return batch.map(lambda x: None if x is None else m.decode(list(x)))
 
     return rows.withColumn(name, decoded(ids))
