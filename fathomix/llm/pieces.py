@@ -27,8 +27,8 @@ from fathomix.llm.arrow import map_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Stretches of up to so many characters are remembered, so many of them.
-MEMO_CHARS, MEMO_SIZE = 32, 200_000
+#: Stretches of up to so many characters are remembered, so many of them twice: a full memo becomes the older one.
+MEMO_CHARS, MEMO_SIZE = 32, 150_000
 #: Pairs of pieces whose verdict is remembered.
 PAIRS = 300_000
 #: Characters between two searches for a common boundary.
@@ -105,6 +105,7 @@ class PieceModel:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.memo: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """The pieces of a short text by merging the best neighbours until none is left, and the last merger."""
@@ -202,6 +203,8 @@ class PieceModel:
         out: list[int] = []
         for part in self.stretch.findall(SPACE + text.replace(" ", SPACE)):
             found = memo.get(part)
+            if found is None:
+                found = self.older.get(part)
             if found is None:
                 found = []
                 for piece in self.stream(part):
@@ -209,7 +212,8 @@ class PieceModel:
                     found += [i] if i is not None else [self.bytes[b] for b in piece.encode()]
                 if len(part) <= MEMO_CHARS:
                     if len(memo) >= MEMO_SIZE:
-                        memo.clear()
+                        self.older, self.memo = memo, {}
+                        memo = self.memo
                     memo[part] = found
             out += found
         return out
