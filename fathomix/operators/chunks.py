@@ -74,11 +74,13 @@ def without(chunks: DataFrame, column: str, value: str) -> DataFrame:
 
 
 def statistics(chunks: DataFrame) -> DataFrame:
-    """grouping (total, language or chunk_type), value, n, mean_size and n_large, in one aggregation."""
-    sets = chunks.groupingSets([["language"], ["chunk_type"], []], "language", "chunk_type")
-    out = sets.agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("character_count"), F.lit(0.0)).alias("mean_size"), F.count_if(F.col("line_count") > LARGE).alias("n_large"))
-    name = F.when(F.col("g") == 3, "total").when(F.col("g") == 1, "language").otherwise("chunk_type")
-    return out.select(name.alias("grouping"), F.coalesce("language", "chunk_type", F.lit("all")).alias("value"), "n", "mean_size", "n_large")
+    """grouping (total, language or chunk_type), value, n, mean_size and n_large; the total of no chunks is 0."""
+    figures = [F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("character_count"), F.lit(0.0)).alias("mean_size"), F.count_if(F.col("line_count") > LARGE).alias("n_large")]
+    sets = chunks.groupingSets([["language"], ["chunk_type"]], "language", "chunk_type").agg(F.grouping_id().alias("g"), *figures)
+    name = F.when(F.col("g") == 1, "language").otherwise("chunk_type")
+    value = F.when(F.col("g") == 1, F.col("language")).otherwise(F.col("chunk_type"))
+    total = chunks.agg(*figures).select(F.lit("total").alias("grouping"), F.lit("all").alias("value"), "n", "mean_size", "n_large")
+    return sets.select(name.alias("grouping"), value.alias("value"), "n", "mean_size", "n_large").unionByName(total)
 
 
 def collisions(chunks: DataFrame) -> DataFrame:

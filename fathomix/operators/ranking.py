@@ -146,7 +146,7 @@ def break_ties(results: DataFrame, query: str, ties: list[str], config: RankingC
     words = [x.lower() for x in re.findall(r"\w+", query)]
     language = F.col("language").isin(*languages) if languages else F.lit(False)
     identifier = F.lower("symbol_name").isin(*words) if words else F.lit(False)
-    combined = w["symbol"] * symbol_priority(F.col("symbol_type")) + w["path"] * P.priority(F.col("file_path")) + w["language"] * language.cast("int") + w["identifier"] * identifier.cast("int")
+    combined = w["symbol"] * symbol_priority(F.col("symbol_type")) + w["path"] * P.priority(F.col("file_path")) + w["language"] * F.coalesce(language.cast("int"), F.lit(0)) + w["identifier"] * F.coalesce(identifier.cast("int"), F.lit(0))
     listed = results.withColumn("combined", combined).orderBy(F.desc("score"), *ties).limit(c.candidate_limit)
     rows = listed.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), *ties, F.struct(*listed.columns).alias("row")))).alias("rows"))
     zero = F.struct(F.lit(None).cast("double").alias("head"), F.lit(0).alias("no"), F.expr("CAST(array() AS array<int>)").alias("groups"))
