@@ -6,8 +6,9 @@ so every prefix has one last piece, its backpointer.  The encoder walks a text o
 backpointers of a window of the longest piece's length, and commits ids whenever the paths of all
 positions from which a piece can still start converge on one boundary.
 
-Where no piece of the model holds a space after another character (checked on loading), all paths
-converge before each space that follows a word; such stretches are looked up in a bounded memo.
+Where no piece of the model holds two neighbours of a kind (checked on loading, such as a letter and a
+space after it), all paths converge between any two of that kind; the stretches between such boundaries
+are looked up in a bounded memo.
 
 Characters that are no piece become byte pieces.  U+2581 reads as a space, as in the model's own
 normalisation; all other texts decode to themselves.  Null and empty texts have no ids.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from string import punctuation
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -100,12 +102,24 @@ class PieceModel:
             if len(p) > 1:
                 ends.setdefault(p[-2:], set()).add(len(p))
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
-        splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids) and not any("\n" in p for p in self.ids)
-        self.stretch = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if splits else r"(?s).+")
+        self.stretch = self._stretches()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.halves: dict[str, tuple[str, str] | None] = {}
-        self.memo: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def _stretches(self) -> re.Pattern:
+        """Cuts a text where no piece can lie across: before spaces, around line breaks, and between
+        punctuation and anything else, as far as this model's pieces allow."""
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        if any(b == SPACE and a != SPACE or "\n" in (a, b) for a, b in pairs):
+            return re.compile(r"(?s).+")
+        q = set(punctuation)
+        mixed = {c for x in pairs if (x[0] in q) != (x[1] in q) for c in x if c not in q and c != SPACE}
+        q, m = (re.escape("".join(sorted(x))) for x in (q, mixed))
+        end = f"(?![{m}])" if mixed else ""
+        # A word, or punctuation, unless a character follows that pieces join to either; else up to a space.
+        return re.compile(f"{SPACE}*+[^{SPACE}\n{q}{m}]++{end}|{SPACE}*+[{q}]++{end}|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """The pieces of a short text by merging the best neighbours until none is left, and the last merger."""
@@ -130,15 +144,11 @@ class PieceModel:
 
     def follows(self, a: str | None, b: str) -> bool:
         """Whether b may stand after a, or at the start."""
-        if len(b) > 1 and self.halves_of(b) is None:
-            return False
-        if a is None:
-            return True
         ok = self.pairs.get((a, b))
         if ok is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[a, b] = self._apart(a, b)
+            ok = self.pairs[a, b] = (len(b) == 1 or self.halves_of(b) is not None) and (a is None or self._apart(a, b))
         return ok
 
     def _apart(self, a: str, b: str) -> bool:
@@ -196,25 +206,60 @@ class PieceModel:
                 yield from reversed(out)
                 last, base = last[boundary - base :], boundary
 
+    def short(self, chars: str) -> list[str]:
+        """The pieces of a stretch that one window holds: as stream(), with one boundary, at the end."""
+        ids, lengths, pairs, follows = self.ids, self.lengths, self.pairs, self.follows
+        last: list[str | None] = [None]
+        for i in range(1, len(chars) + 1):
+            if i > 1:
+                for size in lengths.get(chars[i - 2 : i], ()):
+                    if size <= i:
+                        piece = chars[i - size : i]
+                        if piece in ids:
+                            before = last[i - size]
+                            ok = pairs.get((before, piece))
+                            if ok is None:
+                                ok = follows(before, piece)
+                            if ok:
+                                last.append(piece)
+                                break
+                else:
+                    last.append(chars[i - 1])
+            else:
+                last.append(chars[0])
+        out, j = [], len(chars)
+        while j:
+            out.append(last[j])
+            j -= len(out[-1])
+        return out[::-1]
+
+    def ids_of(self, pieces) -> tuple[int, ...]:
+        out: list[int] = []
+        for piece in pieces:
+            i = self.ids.get(piece)
+            if i is not None:
+                out.append(i)
+            else:
+                out += [self.bytes[b] for b in piece.encode()]
+        return tuple(out)
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        memo = self.memo
         out: list[int] = []
+        memo, older = self.memo, self.older
         for part in self.stretch.findall(SPACE + text.replace(" ", SPACE)):
             found = memo.get(part)
             if found is None:
-                found = self.older.get(part)
-            if found is None:
-                found = []
-                for piece in self.stream(part):
-                    i = self.ids.get(piece)
-                    found += [i] if i is not None else [self.bytes[b] for b in piece.encode()]
-                if len(part) <= MEMO_CHARS:
-                    if len(memo) >= MEMO_SIZE:
-                        self.older, self.memo = memo, {}
-                        memo = self.memo
-                    memo[part] = found
+                found = older.get(part)
+                if found is None:
+                    if len(part) > MEMO_CHARS:
+                        out += self.ids_of(self.stream(part))
+                        continue
+                    found = self.ids_of(self.short(part))
+                if len(memo) >= MEMO_SIZE:
+                    self.older, self.memo = older, memo = memo, {}
+                memo[part] = found
             out += found
         return out
 
