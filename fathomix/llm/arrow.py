@@ -19,10 +19,10 @@ TextFunction = Callable[[pa.Array], list]
 def map_text(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], TextFunction], keep: list[str], max_bytes: int = SLICE_BYTES) -> DataFrame:
     """The columns ``keep`` of df and the new fields, computed from the column ``text`` row by row.
 
-    ``make`` runs once in each task and returns the function for its slices.  No shuffle; memory is
+    A kept column with the name of a new field gives way to it.  ``make`` runs once in each task and returns the function for its slices.  No shuffle; memory is
     bounded by ``max_bytes`` or the longest text.
     """
-    kept = [f for f in df.schema.fields if f.name in keep]
+    kept = [f for f in df.schema.fields if f.name in keep and f.name not in {x.name for x in fields}]
     schema = T.StructType([*kept, *fields])
     arrow = to_arrow_schema(T.StructType(fields))
     names = [f.name for f in kept]

@@ -148,17 +148,20 @@ def n_hit(spans: str = "word_spans"):
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.05, **options) -> DataFrame:
     """docs without the rows of which ``share`` of the words or more are hit; other hits are cut out."""
     text = options.get("text", "text")
-    found = find_contamination(docs, benchmark, keep=docs.columns, **options)
+    packed = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(text).alias("__words"))
+    found = find_contamination(packed, benchmark, keep=["__doc"], **{**options, "text": "__words"})
     few = (F.size("word_spans") == 0) | (n_hit() < share * F.col("n_words"))
+    words = F.col("__doc")[text]
     cut = F.aggregate(
         "byte_spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], _bytes(text, a["at"], s["start"])).alias("out")),
-        lambda a: F.concat(a["out"], _bytes(text, a["at"], F.octet_length(text).cast("long"))),
+        lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], _bytes(words, a["at"], s["start"])).alias("out")),
+        lambda a: F.concat(a["out"], _bytes(words, a["at"], F.octet_length(words).cast("long"))),
     )
-    return found.filter(few).withColumn(text, F.when(F.size("byte_spans") > 0, cut).otherwise(F.col(text))).select(*docs.columns)
+    clean = F.when(F.size("byte_spans") > 0, cut).otherwise(words)
+    return found.filter(few).select(*(clean.alias(c) if c == text else F.col("__doc")[c].alias(c) for c in docs.columns))
 
 
-def _bytes(text: str, start, end):
-    part = F.substring(F.encode(F.col(text), "UTF-8"), (start + 1).cast("int"), (end - start).cast("int"))
+def _bytes(text, start, end):
+    part = F.substring(F.encode(text, "UTF-8"), (start + 1).cast("int"), (end - start).cast("int"))
     return F.decode(part, "UTF-8")
