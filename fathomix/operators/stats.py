@@ -90,3 +90,24 @@ def analyse_plan(df: DataFrame) -> dict:
 def compare_plans(a: DataFrame, b: DataFrame) -> dict:
     x, y = analyse_plan(a), analyse_plan(b)
     return {"first": x["score"], "second": y["score"], "better": "first" if x["score"] > y["score"] else "second" if y["score"] > x["score"] else "equal"}
+
+
+def search_metrics(samples: DataFrame, timeout_ms: float = 300, *group: str) -> DataFrame:
+    """lexical_ms, vector_ms, ranking_ms, total_ms, candidates and sla_violation of phase timings.
+
+    samples: phase (lexical, vector, ranking), ms, candidates, unique_candidates (may be null); where no
+    unique count is given it is the sum of the phases' candidates.
+    """
+    of = lambda phase: F.coalesce(F.sum(F.when(F.col("phase") == phase, F.col("ms"))), F.lit(0.0)).alias(f"{phase}_ms")
+    out = samples.groupBy(*group).agg(of("lexical"), of("vector"), of("ranking"), F.coalesce(F.sum("ms"), F.lit(0.0)).alias("total_ms"), F.coalesce(F.max("unique_candidates"), F.sum("candidates"), F.lit(0)).alias("unique_candidates"))
+    return out.withColumn("sla_violation", F.col("total_ms") > timeout_ms)
+
+
+def slow_queries(log: DataFrame, threshold_ms: float = 100) -> DataFrame:
+    """Rows of a query log that took longer."""
+    return log.filter(F.col("duration_ms") > threshold_ms)
+
+
+def write_log(rows: DataFrame, folder: str) -> None:
+    """Appends rows as JSON lines."""
+    rows.write.mode("append").json(folder)

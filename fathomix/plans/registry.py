@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from fathomix.plans import queries_data, queries_retrieval, queries_text  # noqa: E402, F401
+from fathomix.plans import queries_code, queries_data, queries_retrieval, queries_text  # noqa: E402, F401
