@@ -47,3 +47,8 @@ class Scratch:
             if found:
                 p = jvm.org.apache.hadoop.fs.Path(found[1])
                 p.getFileSystem(conf).delete(p, True)
+
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Frees all tables but these, which a result still reads."""
+        kept = {id(df) for df in frames}
+        self.drop(*(df for key, (df, _) in list(self.tables.items()) if key not in kept))
