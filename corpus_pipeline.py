@@ -31,8 +31,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return near_dedup.drop_near_copies(docs)
+    """One document of each group of near copies, of a similarity of 0.8 or more."""
+    return near_dedup.drop_near_copies(docs, percent=80, bands=36)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,6 +78,7 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     dropped = recurring_lines(lines, scratch, min_texts, match)
     hit = lines.select("id", "text_hash", F.posexplode(F.transform("lines", lambda x: x["line"])).alias("place", "line")).filter("line IS NOT NULL").join(dropped, "line")
     places = scratch.write(hit.groupBy("id", "text_hash").agg(F.collect_set("place").alias("places")))
+    scratch.keep_only(places)
     joined = docs.withColumn("__hash", F.xxhash64(text)).join(places.withColumnsRenamed({"id": "__id", "text_hash": "__text"}), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains("places", i)), "\n")
     out = joined.withColumn("__n", F.coalesce(F.size(F.split(F.col(text), "\n")), F.lit(0)).cast("long")).withColumn(text, F.when(F.col("places").isNotNull(), kept).otherwise(F.col(text)))

@@ -199,7 +199,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
     component = _residual(shared, texts, component, scratch, k, percent)
     of_class = classes.join(component, classes["rep"] == component["id"], "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
-    out = sketch.join(scratch.write(of_class), ["set_a", "set_b"], "left")
+    of_class = scratch.write(of_class)
+    scratch.keep_only(sketch, of_class)
+    out = sketch.join(of_class, ["set_a", "set_b"], "left")
     component_id = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("id") == component_id, F.lit(True)).alias("kept"))
 

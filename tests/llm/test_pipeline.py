@@ -32,7 +32,7 @@ def test_stages(spark, data, docs):
     assert lines.columns == docs.columns and lines.count() == clean.count() and lines.filter(F.col("n_chars") != F.length("text")).count() == 0
     rows = [(r.doc_id, r.text) for r in lines.collect()]
     near = stage["near dedup"](spark, lines, data)
-    assert {r.doc_id for r in near.collect()} == {c for _, c in brute_components(rows).values()}
+    assert {r.doc_id for r in near.collect()} == {c for _, c in brute_components(rows, 80).values()}
     bench = [tuple(r) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()]
     kept = {r.doc_id: r.text for r in near.collect()}
     hits = brute_contamination(kept.items(), bench)
