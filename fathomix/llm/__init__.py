@@ -1,7 +1 @@
 """Operators of a training-data pipeline.  Nothing outside this package imports it."""
-
-import fathomix
-from pyspark import cloudpickle
-
-# Functions of this library travel to the Python workers by value, so executors need no copy of it.
-cloudpickle.register_pickle_by_value(fathomix)
