@@ -36,28 +36,26 @@ FIELDS = [
 ]
 
 
-class WindowSet:
-    """Windows of benchmark items by length: a bitmap of hash prefixes, then the exact windows."""
-
-    def __init__(self, items: list[tuple[str, str | None]], n: int):
-        found: dict[int, dict[bytes, set[str]]] = {}
-        hashes: dict[int, list[int]] = {}
-        powers = Powers()
-        for item, text in items:
-            w = Words(pa.array([text], pa.string()), ALNUM, powers)
-            count = int(w.count()[0])
-            size = min(n, count)
-            if not size:
-                continue
-            parts = w.text(0, count)
-            for i, h in enumerate(windows(w.hashes, size)):
-                found.setdefault(size, {}).setdefault(b" ".join(parts[i : i + size]), set()).add(item)
-                hashes.setdefault(size, []).append(int(h))
-        self.found = {k: {w: frozenset(ids) for w, ids in v.items()} for k, v in found.items()}
-        self.maps = {}
-        for k, v in hashes.items():
-            self.maps[k] = np.zeros(1 << BITS, bool)
-            self.maps[k][np.array(v, np.uint64) >> np.uint64(64 - BITS)] = True
+#: For each window length a bitmap of hash prefixes, and the items of each exact window.
+WindowSet = dict[int, tuple[np.ndarray, dict[bytes, frozenset]]]
+
+
+def window_set(items: list[tuple[str, str | None]], n: int) -> WindowSet:
+    """The windows of benchmark items (id, text), in plain types, as a broadcast is pickled by reference."""
+    found: dict[int, dict[bytes, set[str]]] = {}
+    maps: dict[int, np.ndarray] = {}
+    powers = Powers()
+    for item, text in items:
+        w = Words(pa.array([text], pa.string()), ALNUM, powers)
+        count = int(w.count()[0])
+        size = min(n, count)
+        if not size:
+            continue
+        parts = w.text(0, count)
+        for i in range(count - size + 1):
+            found.setdefault(size, {}).setdefault(b" ".join(parts[i : i + size]), set()).add(item)
+        maps.setdefault(size, np.zeros(1 << BITS, bool))[windows(w.hashes, size) >> np.uint64(64 - BITS)] = True
+    return {k: (maps[k], {w: frozenset(ids) for w, ids in v.items()}) for k, v in found.items()}
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -79,11 +77,10 @@ def scanner(index: WindowSet):
         n = len(texts)
         hits: dict[int, list[tuple[int, int]]] = {}
         items: dict[int, set[str]] = {}
-        for size, bitmap in index.maps.items():
+        for size, (bitmap, exact) in index.items():
             at = np.flatnonzero(bitmap[windows(w.hashes, size) >> np.uint64(64 - BITS)])
             row = np.searchsorted(w.rows, at, side="right") - 1
             inside = at + size <= w.rows[row + 1]
-            exact = index.found[size]
             for i, r in zip(at[inside].tolist(), row[inside].tolist(), strict=True):
                 ids = exact.get(b" ".join(w.text(i, i + size)))
                 if ids:
@@ -108,7 +105,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, n: int, block_bytes:
     spark = benchmark.sparkSession
     for b in range(k):
         part = items if k == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(k)) == b)
-        yield k, spark.sparkContext.broadcast(WindowSet([tuple(r) for r in part.collect()], n))
+        yield k, spark.sparkContext.broadcast(window_set([tuple(r) for r in part.collect()], n))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:

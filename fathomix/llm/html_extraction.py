@@ -132,11 +132,15 @@ def extract(pages: list[str | None], model: Model, keep: float = KEEP) -> list[s
 
 def extract_pages(pages: DataFrame, html: str = "html", keep: list[str] | None = None, model: Model | None = None, name: str = "text") -> DataFrame:
     """``keep`` columns of pages and the main text of each."""
-    shared = pages.sparkSession.sparkContext.broadcast(model or train())
+    model = model or train()
+    # Plain arrays: a broadcast is pickled by reference, and workers may have no copy of this library.
+    shared = pages.sparkSession.sparkContext.broadcast((model.weight, model.pair))
 
     def make():
+        model = Model(*shared.value)
+
         def run(texts: pa.Array) -> list:
-            return [extract(texts.to_pylist(), shared.value)]
+            return [extract(texts.to_pylist(), model)]
 
         return run
 

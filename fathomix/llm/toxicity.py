@@ -112,10 +112,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """``keep`` columns of docs and the score of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays: a broadcast is pickled by reference, and workers may have no copy of this library.
+    shared = docs.sparkSession.sparkContext.broadcast((model.slot, model.weight, model.bias))
 
     def make():
-        model = shared.value
+        model = Model(*shared.value)
         return lambda texts: [[model.score(t) for t in texts.to_pylist()]]
 
     return map_text(docs, text, [T.StructField(name, T.DoubleType())], make, docs.columns if keep is None else keep)
