@@ -30,9 +30,9 @@ from fathomix.llm.arrow import map_text
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stretches of up to so many characters are remembered, so many of them twice: a full memo becomes the older one.
-MEMO_CHARS, MEMO_SIZE = 32, 150_000
+MEMO_CHARS, MEMO_SIZE = 32, 100_000
 #: Pairs of pieces whose verdict is remembered.
-PAIRS = 300_000
+PAIRS = 200_000
 #: Characters between two searches for a common boundary.
 STRIDE = 64
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 MASK = (1 << 64) - 1
 ODD = 0x9E3779B97F4A7C15
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
