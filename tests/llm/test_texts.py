@@ -245,7 +245,7 @@ def test_alignment():
 def test_licenses(spark, edges, no_docs):
     mit = licenses.TEMPLATES["MIT"]
     changed = mit.replace("charge", "cost").replace("copies of the Software", "copies")
-    texts = ["no words of it", "x Released under the MIT License. y Released under the MIT License.", f"head\n{changed}\ntail", "All rights were reserved", mit[: len(mit) // 2], "ÄÖ all rights reserved"]
+    texts = ["no words of it", "x Released under the MIT License. y Released under the MIT License.", f"head\n{changed}\ntail", "All of the many rights that were once reserved", mit[: len(mit) // 2], "ÄÖ all rights reserved"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r.doc_id: r.licenses for r in licenses.find_licenses(df).collect()}
     assert out[0] == out[3] == out[4] == []
