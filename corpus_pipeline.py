@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines whose template recurs across texts."""
-    return _recounted(line_dedup.drop_recurring_lines(docs))
+    return _recounted(line_dedup.drop_recurring_lines(docs, min_tokens=line_dedup.EVERY_LINE))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ tokens are cut into at most 8 segments of even length; a segment that most lines
 constant of its template, any other a variable field.  A line belongs to the template if 75 % of its
 segments or more equal constants.  A template recurs if its lines, and a line if it itself, occur in at
 least ``min_texts`` different texts; copies of a whole document count as one text.  Recurring lines are
-dropped everywhere.  Lines of fewer than ``min_tokens`` tokens always stay.
+dropped everywhere.  Lines of fewer than ``min_tokens`` tokens always stay, as do lines without a token;
+with ``EVERY_LINE`` all others count.  A line of one or two variable fields has nothing constant, so it
+counts by its own tokens.
 
 All decisions are a set of line hashes.  Documents shuffle hashes only, once per different line; counts
 are aggregated before they shuffle, so that a line in a third of all documents is one row for each map
@@ -25,13 +27,20 @@ from fathomix.storage import Scratch
 
 MIN_TEXTS = 3
 MIN_TOKENS = 3
+#: For ``min_tokens``: lines of one or two tokens recur by the same rule as longer ones.
+EVERY_LINE = 1
 LEADING = 4
 SEGMENTS = 8
 MATCH = 0.75
 
 
+def _plain(line: Column) -> Column:
+    """A line's tokens with one blank between them."""
+    return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
+
+
 def _tokens(line: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.regexp_replace(line, r"\S*[0-9]\S*", "<*>"), r"[\x20\x09-\x0D]+", " ")), " ")
+    return F.split(_plain(F.regexp_replace(line, r"\S*[0-9]\S*", "<*>")), " ")
 
 
 def _segments(tokens: Column, n: Column) -> Column:
@@ -42,12 +51,15 @@ def _segments(tokens: Column, n: Column) -> Column:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int, leading: int) -> DataFrame:
-    """id, text_hash, and for each line struct(line, leaf, segments); line is null for short lines."""
-    tokens = F.transform(F.split(F.col(text), "\n"), _tokens)
+    """id, text_hash, and for each line struct(line, leaf, segments); null for short and for empty lines."""
+    tokens = F.transform(F.split(F.col(text), "\n"), lambda x: F.struct(x.alias("own"), _tokens(x).alias("tokens")))
 
-    def parse(t: Column) -> Column:
+    def parse(x: Column) -> Column:
+        t = x["tokens"]
         n = F.size(t)
-        return F.when(n >= min_tokens, F.struct(F.xxhash64(t).alias("line"), F.xxhash64(n, F.slice(t, 1, leading)).alias("leaf"), F.when(n > leading, _segments(t, n)).alias("segments")))
+        bare = (n < MIN_TOKENS) & F.forall(t, lambda w: w == "<*>")
+        line = F.when(bare, F.xxhash64(F.lit("own"), _plain(x["own"]))).otherwise(F.xxhash64(t))
+        return F.when((n >= min_tokens) & (t[0] != ""), F.struct(line.alias("line"), F.xxhash64(n, F.slice(t, 1, leading)).alias("leaf"), F.when(n > leading, _segments(t, n)).alias("segments")))
 
     return docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.transform(tokens, parse).alias("lines"))
 

@@ -40,7 +40,7 @@ def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without recurring lines."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.drop_recurring_lines(docs, counts=True)
+    return line_dedup.drop_recurring_lines(docs, min_tokens=line_dedup.EVERY_LINE, counts=True)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

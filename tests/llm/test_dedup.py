@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from fathomix.llm import components, exact_dedup, line_dedup, near_dedup
+import corpus_pipeline
+from fathomix.llm import components, exact_dedup, line_dedup, near_dedup, queries
 from fathomix.llm.textbytes import NON_SPACE, Powers, Words, shingles, slices
 from fathomix.storage import Scratch
 
@@ -219,3 +220,18 @@ def test_line_dedup_edges(edges, no_docs):
     assert line_dedup.drop_recurring_lines(no_docs).count() == 0
     plan = line_dedup.drop_recurring_lines(edges)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_line_dedup_short_lines(spark):
+    """Lines of one or two tokens recur in the query and the stage; empty ones and bare numbers do not."""
+    texts = [f"Les.\n{i}{i}\n\n And  ornd.\nonly {chr(97 + i)}" for i in range(4)] + ["Les. once\n7 8"]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, df, "").collect()}
+    assert out == {**{i: f"{i}{i}\n\nonly {chr(97 + i)}" for i in range(4)}, 4: texts[4]}
+
+
+def test_line_dedup_query(spark, data, docs):
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    short = {k for k in brute_recurring(rows.values(), min_tokens=1) if len(k) < 3 and set(k) != {"<*>"}}
+    for r in queries.op4_line_dedup(spark, data).collect():
+        assert not [x for x in (r.text or "").split("\n") if tuple(re.sub(r"\S*[0-9]\S*", "<*>", y) for y in x.split()) in short]
