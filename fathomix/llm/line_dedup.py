@@ -2,9 +2,10 @@
 
 A line's tokens are split at white space and tokens with a digit become the variable field <*>.  The
 tree has a fixed depth: the number of tokens, then the leading tokens, then a leaf.  In a leaf, the
-tokens are cut into at most 8 segments of even length; a segment that most lines of the leaf share is a
-constant of its template, any other a variable field.  A line belongs to the template if 75 % of its
-segments or more equal constants.  A template recurs if its lines, and a line if it itself, occur in at
+tokens are cut into at most 8 segments of even length.  A leaf holds many templates: the lines that
+agree on any 75 % of their segments are one, these segments its constants and the others variable
+fields.  The segments that most lines of the leaf share are one more; to that a line belongs if 75 % of
+its segments or more equal constants.  A template recurs if its lines, and a line if it itself, occur in at
 least ``min_texts`` different texts; copies of a whole document count as one text.  Recurring lines are
 dropped everywhere.  Lines of fewer than ``min_tokens`` tokens always stay, as do lines without a token;
 with ``EVERY_LINE`` all others count.  A line of one or two variable fields has nothing constant, so it
@@ -20,6 +21,9 @@ rows that repeat an id keep their own texts; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +54,15 @@ def _segments(tokens: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.hash(F.slice(tokens, at(i) + 1, at(i + 1) - at(i))))
 
 
+def _keys(leaf: str, segments: str, match: float) -> Column:
+    """Hashes of each combination of so many segments; lines of a leaf agree on as many if they share one."""
+    out = F.array().cast("array<bigint>")
+    for k in range(1, SEGMENTS + 1):
+        kept = itertools.combinations(range(k), max(1, math.ceil(match * k - 1e-9)))
+        out = F.when(F.size(segments) == k, F.array(*(F.xxhash64(F.lit(n), leaf, *(F.col(segments)[i] for i in places)) for n, places in enumerate(kept)))).otherwise(out)
+    return out
+
+
 def _lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int, leading: int) -> DataFrame:
     """id, text_hash, and for each line struct(line, leaf, segments); null for short and for empty lines."""
     tokens = F.transform(F.split(F.col(text), "\n"), lambda x: F.struct(x.alias("own"), _tokens(x).alias("tokens")))
@@ -79,7 +92,18 @@ def recurring_lines(lines: DataFrame, scratch: Scratch, min_texts: int, match: f
     members = scratch.write(variants.join(constants, "leaf").filter(agreed >= match * F.size("segments")).select("leaf", "line"))
     support = once.join(members, ["leaf", "line"], "left_semi").groupBy("leaf", "text_hash").agg(F.lit(1)).groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_texts)
     template = members.join(scratch.write(support), "leaf", "left_semi").select("line")
-    return scratch.write(exact.union(template).distinct())
+    return scratch.write(exact.union(template).union(_agreeing_lines(variants, once, scratch, min_texts, match)).distinct())
+
+
+def _agreeing_lines(variants: DataFrame, once: DataFrame, scratch: Scratch, min_texts: int, match: float) -> DataFrame:
+    """(line): lines of a leaf that agree on enough segments with lines in enough texts."""
+    keyed = scratch.write(variants.select("leaf", "line", "texts", F.explode(_keys("leaf", "segments", match)).alias("key")))
+    groups = scratch.write(keyed.groupBy("key").agg(F.sum("texts").alias("sum"), F.max("texts").alias("most"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("sum") >= min_texts)).select("key", "most"))
+    # A line in enough texts is support enough; the texts of the other groups' lines are counted.
+    few = keyed.join(groups.filter(F.col("most") < min_texts), "key", "left_semi").select("leaf", "line", "key")
+    counted = once.join(few, ["leaf", "line"]).groupBy("key", "text_hash").agg(F.lit(1)).groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_texts)
+    recurring = scratch.write(groups.filter(F.col("most") >= min_texts).select("key").union(counted.select("key")))
+    return keyed.join(recurring, "key", "left_semi").select("line")
 
 
 def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_texts: int = MIN_TEXTS, min_tokens: int = MIN_TOKENS, leading: int = LEADING, match: float = MATCH, counts: bool = False) -> DataFrame:

@@ -235,3 +235,16 @@ def test_line_dedup_query(spark, data, docs):
     short = {k for k in brute_recurring(rows.values(), min_tokens=1) if len(k) < 3 and set(k) != {"<*>"}}
     for r in queries.op4_line_dedup(spark, data).collect():
         assert not [x for x in (r.text or "").split("\n") if tuple(re.sub(r"\S*[0-9]\S*", "<*>", y) for y in x.split()) in short]
+
+
+def test_line_dedup_templates_share_a_leaf(spark):
+    """Two templates and varied prose of one opening and length; in two texts a third form is none."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(9))
+    forms = [[word() for _ in range(12)] for _ in range(3)]
+    fill = lambda form, at: " ".join(["on", "the", "day", "that", *form[:at], word(), *form[at + 1 :]])
+    prose = [" ".join(["on", "the", "day", "that", *(word() for _ in range(12))]) for _ in range(40)]
+    texts = [fill(forms[0], 5) for _ in range(6)] + [fill(forms[1], 9) for _ in range(4)] + [fill(forms[2], 7) for _ in range(2)] + prose
+    df = spark.createDataFrame([(i, f"{t}\nown {word()} line") for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {x.doc_id: x.n_dropped for x in line_dedup.drop_recurring_lines(df, counts=True).collect()}
+    assert out == {i: int(i < 10) for i in range(len(texts))}
