@@ -5,8 +5,9 @@ increasing subsequence of anchors is kept and the gaps between them are aligned
 without anchors is aligned by the longest common subsequence of all its equal words.  Coverage is the
 share of a template's words that are aligned.
 
-A stretch is twice a template's length to each side of a key word.  The key words of a template are its
-longest, so many that a text without any of them cannot reach the coverage asked for; texts are
+A stretch is up to twice a template's length to each side of a key word; shorter ones, from the
+template's length on, keep copies apart that stand close together, and begin after the copy before.  The
+key words of a template are its longest, so many that a text without any of them cannot reach the coverage asked for; texts are
 tokenised only if they hold one.  Stretches are bounded by the template, so a text costs in proportion
 to its key words.  Of overlapping finds the one with more aligned words stays.
 
@@ -127,6 +128,7 @@ class Templates:
 
     def __init__(self, texts: dict[str, str], coverage: float):
         self.words = {name: [w.lower() for w in WORD.findall(t)] for name, t in texts.items()}
+        self.counts = {name: Counter(words) for name, words in self.words.items()}
         self.coverage = coverage
         spread = Counter(w for words in self.words.values() for w in set(words))
         self.keys: dict[str, list[str]] = {}
@@ -144,24 +146,61 @@ class Templates:
             return []
         spans = [m.span() for m in WORD.finditer(text)]
         words = [text[s:e].lower() for s, e in spans]
-        found: dict[tuple[str, int, int], dict] = {}
+        found: list[dict] = []
+        reach: dict[str, int] = {}  # the last word of each template's finds
         for i, w in enumerate(words):
             for name in self.keys.get(w, ()):
-                template = self.words[name]
-                if any(n == name and f <= i <= t for n, f, t in found):
+                if i <= reach.get(name, -1):
                     continue
-                low_at = max(0, i - 2 * len(template))
-                pairs = self._densest(align(words[low_at : i + 2 * len(template) + 1], template))
-                if len(pairs) < self.coverage * len(template):
-                    continue
-                first, last = low_at + pairs[0][0], low_at + pairs[-1][0]
-                if len(pairs) >= DENSITY * (last - first + 1):
-                    found[name, first, last] = {"start": spans[first][0], "end": spans[last][1], "license": name, "matched": len(pairs), "coverage": round(len(pairs) / len(template), 6)}
+                pairs = self._best(words, i, name, reach.get(name, -1) + 1)
+                if pairs:
+                    first, reach[name] = pairs[0][0], pairs[-1][0]
+                    n = len(self.words[name])
+                    found.append({"start": spans[first][0], "end": spans[reach[name]][1], "license": name, "matched": len(pairs), "coverage": round(len(pairs) / n, 6)})
         out: list[dict] = []
-        for f in sorted(found.values(), key=lambda f: (-f["matched"], -f["coverage"], f["start"], f["license"])):
-            if all(f["end"] <= g["start"] or g["end"] <= f["start"] for g in out):
-                out.append(f)
-        return sorted(out, key=lambda f: f["start"])
+        starts: list[int] = []
+        for f in sorted(found, key=lambda f: (-f["matched"], -f["coverage"], f["start"], f["license"])):
+            k = bisect.bisect_left(starts, f["end"])
+            if not k or out[k - 1]["end"] <= f["start"]:
+                out.insert(k, f)
+                starts.insert(k, f["start"])
+        return out
+
+    def _best(self, words: list[str], i: int, name: str, least: int) -> list[tuple[int, int]]:
+        """The alignment that reaches over word i, holds no word before ``least``, and has most aligned
+        words less the others between them; empty if there is none.
+
+        Stretches from a template's own length on are tried, so that the words of a near copy stay out.
+        """
+        template = self.words[name]
+        n, best, most = len(template), [], 0
+        widest = (max(least, i - 2 * n), min(len(words), i + 2 * n + 1))
+        stretches = {widest}
+        if not self._may_hold(words, *widest, name):
+            return []
+        for p in (p for p, w in enumerate(template) if w == words[i]):
+            for slack in (0, n // 8 + 1, n // 3 + 1):
+                stretches.add((max(least, i - p - slack), min(len(words), i - p + n + slack)))
+        for low, high in sorted(stretches, key=lambda x: (x[1] - x[0], x)):
+            if not self._may_hold(words, low, high, name):
+                continue
+            pairs = self._densest([(low + a, b) for a, b in align(words[low:high], template)])
+            if len(pairs) < self.coverage * n or not pairs[0][0] <= i <= pairs[-1][0]:
+                continue
+            span = pairs[-1][0] - pairs[0][0] + 1
+            if len(pairs) >= DENSITY * span and 2 * len(pairs) - span > most:
+                best, most = pairs, 2 * len(pairs) - span
+        return best
+
+    def _may_hold(self, words: list[str], low: int, high: int, name: str) -> bool:
+        """Whether a stretch has words enough to reach the coverage."""
+        left = dict(self.counts[name])
+        common = 0
+        for w in words[low:high]:
+            if left.get(w):
+                left[w] -= 1
+                common += 1
+        return common >= self.coverage * len(self.words[name])
 
     def _densest(self, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """pairs without those at the ends that lie far from all others."""

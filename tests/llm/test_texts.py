@@ -255,6 +255,22 @@ def test_licenses(spark, edges, no_docs):
     assert licenses.find_licenses(edges).count() == 10 and licenses.find_licenses(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_license_copies_stand_apart(name):
+    """Each of many copies close together has its span, whole or with a word missing."""
+    t, whole = licenses.Templates(licenses.TEMPLATES, licenses.COVERAGE), licenses.TEMPLATES[name]
+    w = whole.split()
+    changed = " ".join(w[: len(w) // 2] + w[len(w) // 2 + 1 :]) if len(w) > 6 else whole
+    for copies in ([whole] * 2, [whole] * 7, [whole, changed], [changed, whole, changed], [changed] * 3):
+        for between in ("\n", "\nfor the other module: ", "\n" + "word " * (len(w) // 3 + 1)):
+            text, expected = "x ", []
+            for c in copies:
+                expected.append((len(text), len(text) + len(c.rstrip("."))))
+                text += c + between
+            found = t.find(text + "end")
+            assert [(x["start"], x["end"]) for x in found] == expected
+
+
 def test_license_keys_are_lossless():
     """A text that reaches the coverage holds a key word, whichever words are missing."""
     t = licenses.Templates(licenses.TEMPLATES, licenses.COVERAGE)
