@@ -7,7 +7,8 @@ agree on any 75 % of their segments are one, these segments its constants and th
 fields.  The segments that most lines of the leaf share are one more; to that a line belongs if 75 % of
 its segments or more equal constants.  A template recurs if its lines, and a line if it itself, occur in at
 least ``min_texts`` different texts; copies of a whole document count as one text.  Recurring lines are
-dropped everywhere.  Lines of fewer than ``min_tokens`` tokens always stay, as do lines without a token;
+dropped everywhere.  A line of 50 tokens or more recurs from two different texts on, of which near copies
+count as one: of a pair of them, which near dedup decides on, neither loses the lines.  Lines of fewer than ``min_tokens`` tokens always stay, as do lines without a token;
 with ``EVERY_LINE`` all others count.  A line of one or two variable fields has nothing constant, so it
 counts by its own tokens.
 
@@ -33,6 +34,10 @@ MIN_TEXTS = 3
 MIN_TOKENS = 3
 #: For ``min_tokens``: lines of one or two tokens recur by the same rule as longer ones.
 EVERY_LINE = 1
+#: A line of so many tokens recurs from two texts on, unless they share so much of their sequences of 5 words.
+LONG_TOKENS = 50
+NEAR = 0.5
+SHINGLE = 5
 LEADING = 4
 SEGMENTS = 8
 MATCH = 0.75
@@ -64,7 +69,7 @@ def _keys(leaf: str, segments: str, match: float) -> Column:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int, leading: int) -> DataFrame:
-    """id, text_hash, and for each line struct(line, leaf, segments); null for short and for empty lines."""
+    """id, text_hash, and for each line struct(line, leaf, long, segments); null for short and for empty lines."""
     tokens = F.transform(F.split(F.col(text), "\n"), lambda x: F.struct(x.alias("own"), _tokens(x).alias("tokens")))
 
     def parse(x: Column) -> Column:
@@ -72,16 +77,16 @@ def _lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int, leading: in
         n = F.size(t)
         bare = (n < MIN_TOKENS) & F.forall(t, lambda w: w == "<*>")
         line = F.when(bare, F.xxhash64(F.lit("own"), _plain(x["own"]))).otherwise(F.xxhash64(t))
-        return F.when((n >= min_tokens) & (t[0] != ""), F.struct(line.alias("line"), F.xxhash64(n, F.slice(t, 1, leading)).alias("leaf"), F.when(n > leading, _segments(t, n)).alias("segments")))
+        return F.when((n >= min_tokens) & (t[0] != ""), F.struct(line.alias("line"), F.xxhash64(n, F.slice(t, 1, leading)).alias("leaf"), (n >= LONG_TOKENS).alias("long"), F.when(n > leading, _segments(t, n)).alias("segments")))
 
     return docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.transform(tokens, parse).alias("lines"))
 
 
-def recurring_lines(lines: DataFrame, scratch: Scratch, min_texts: int, match: float) -> DataFrame:
-    """(line): the hashes of the lines to drop."""
+def recurring_lines(lines: DataFrame, texts: DataFrame, scratch: Scratch, min_texts: int, match: float) -> DataFrame:
+    """(line): the hashes of the lines to drop; ``texts`` has text_hash and text."""
     each = lines.select("text_hash", F.explode(F.array_distinct("lines")).alias("x")).filter("x IS NOT NULL").select("text_hash", "x.*")
-    once = scratch.write(each.groupBy("leaf", "line", "text_hash").agg(F.first("segments").alias("segments")))
-    counted = scratch.write(once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("texts"), F.first("segments").alias("segments")))
+    once = scratch.write(each.groupBy("leaf", "line", "text_hash").agg(F.first("long").alias("long"), F.first("segments").alias("segments")))
+    counted = scratch.write(once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("texts"), F.first("long").alias("long"), F.first("segments").alias("segments")))
     exact = counted.filter(F.col("texts") >= min_texts).select("line")
     # Leaves of several lines in enough texts; their lines' segments vote, once for each text.
     wide = scratch.write(counted.filter("segments IS NOT NULL").groupBy("leaf").agg(F.sum("texts").alias("votes"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("votes") >= min_texts)).select("leaf", "votes"))
@@ -92,7 +97,8 @@ def recurring_lines(lines: DataFrame, scratch: Scratch, min_texts: int, match: f
     members = scratch.write(variants.join(constants, "leaf").filter(agreed >= match * F.size("segments")).select("leaf", "line"))
     support = once.join(members, ["leaf", "line"], "left_semi").groupBy("leaf", "text_hash").agg(F.lit(1)).groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_texts)
     template = members.join(scratch.write(support), "leaf", "left_semi").select("line")
-    return scratch.write(exact.union(template).union(_agreeing_lines(variants, once, scratch, min_texts, match)).distinct())
+    agreeing = _agreeing_lines(variants, once, scratch, min_texts, match)
+    return scratch.write(exact.union(template).union(agreeing).union(_long_lines(counted, once, texts, scratch, min_texts)).distinct())
 
 
 def _agreeing_lines(variants: DataFrame, once: DataFrame, scratch: Scratch, min_texts: int, match: float) -> DataFrame:
@@ -106,12 +112,32 @@ def _agreeing_lines(variants: DataFrame, once: DataFrame, scratch: Scratch, min_
     return keyed.join(recurring, "key", "left_semi").select("line")
 
 
+def _sequences(text: Column) -> Column:
+    """Different hashes of each SHINGLE words in a row; of all words if there are fewer."""
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))), lambda i: F.hash(F.slice(w, i, SHINGLE)))
+    return F.array_distinct(F.transform(F.array(F.split(_plain(F.lower(text)), " ")), of)[0])
+
+
+def _long_lines(counted: DataFrame, once: DataFrame, texts: DataFrame, scratch: Scratch, min_texts: int) -> DataFrame:
+    """(line): long lines in two or more texts, though not in ``min_texts``, that are no near copies."""
+    rare = counted.filter(F.col("long") & (F.col("texts") >= 2) & (F.col("texts") < min_texts))
+    held = scratch.write(once.filter("long").join(rare, ["leaf", "line"], "left_semi").select("line", F.col("text_hash").alias("a")))
+    pairs = scratch.write(held.join(held.withColumnRenamed("a", "b"), "line").filter("a < b"))
+    ends = scratch.write(pairs.select("a", "b").distinct().select("a", "b", F.explode(F.array("a", "b")).alias("text_hash")))
+    # Sequences are found once for each text and never stored.
+    different = texts.join(F.broadcast(ends.select("text_hash").distinct()), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    both = different.select("text_hash", _sequences(F.col("text")).alias("of")).join(ends, "text_hash").groupBy("a", "b").agg(F.collect_list("of").alias("of"))
+    common = F.size(F.array_intersect(F.col("of")[0], F.col("of")[1]))
+    apart = both.filter(common < NEAR * (F.size(F.col("of")[0]) + F.size(F.col("of")[1]) - common)).select("a", "b")
+    return pairs.join(scratch.write(apart), ["a", "b"], "left_semi").select("line")
+
+
 def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_texts: int = MIN_TEXTS, min_tokens: int = MIN_TOKENS, leading: int = LEADING, match: float = MATCH, counts: bool = False) -> DataFrame:
     """docs with recurring lines dropped from their texts; ``counts`` adds n_lines and n_dropped."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     parsed = _lines(docs, doc_id, text, min_tokens, leading)
     lines = scratch.write(parsed)
-    dropped = recurring_lines(lines, scratch, min_texts, match)
+    dropped = recurring_lines(lines, docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), scratch, min_texts, match)
     hit = lines.select("id", "text_hash", F.posexplode(F.transform("lines", lambda x: x["line"])).alias("place", "line")).filter("line IS NOT NULL").join(dropped, "line")
     places = scratch.write(hit.groupBy("id", "text_hash").agg(F.collect_set("place").alias("places")))
     scratch.keep_only(places)

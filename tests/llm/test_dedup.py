@@ -248,3 +248,16 @@ def test_line_dedup_templates_share_a_leaf(spark):
     df = spark.createDataFrame([(i, f"{t}\nown {word()} line") for i, t in enumerate(texts)], "doc_id long, text string")
     out = {x.doc_id: x.n_dropped for x in line_dedup.drop_recurring_lines(df, counts=True).collect()}
     assert out == {i: int(i < 10) for i in range(len(texts))}
+
+
+def test_line_dedup_long_lines_in_two_texts(spark):
+    """A passage of 50 words in two unrelated texts goes; a shorter one, and those of near copies, stay."""
+    r = random.Random(4)
+    some = lambda n: [("".join(r.choice("abcdefghij") for _ in range(7))) for _ in range(n)]
+    long, short, kept = (" ".join(some(n)) for n in (50, 49, 60))
+    own = [" ".join(some(100)) for _ in range(3)]
+    copies = [f"{kept}\n{own[2]} {x}" for x in ("first edit", "second edit")]
+    texts = [f"{own[0]}\n{long}\n{short}", f"{long}\n{own[1]}\n{short}", *copies]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {x.doc_id: x.text for x in line_dedup.drop_recurring_lines(df).collect()}
+    assert out == {0: f"{own[0]}\n{short}", 1: f"{own[1]}\n{short}", 2: copies[0], 3: copies[1]}
