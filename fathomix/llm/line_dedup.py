@@ -1,23 +1,32 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
 A line's tokens are split at white space and tokens with a digit become the variable field <*>.  The
-tree has a fixed depth: the number of tokens, then the leading tokens, then a leaf.  In a leaf, the
-tokens are cut into at most 8 segments of even length.  A leaf holds many templates: the lines that
-agree on any 75 % of their segments are one, these segments its constants and the others variable
-fields.  The segments that most lines of the leaf share are one more; to that a line belongs if 75 % of
-its segments or more equal constants.  A template recurs if its lines, and a line if it itself, occur in at
-least ``min_texts`` different texts; copies of a whole document count as one text.  Recurring lines are
-dropped everywhere.  A line of 50 tokens or more recurs from two different texts on, of which near copies
-count as one: of a pair of them, which near dedup decides on, neither loses the lines.  Lines of fewer than ``min_tokens`` tokens always stay, as do lines without a token;
-with ``EVERY_LINE`` all others count.  A line of one or two variable fields has nothing constant, so it
-counts by its own tokens.
-
-All decisions are a set of line hashes.  Documents shuffle hashes only, once per different line; counts
-are aggregated before they shuffle, so that a line in a third of all documents is one row for each map
-task.  The set is joined by hash, never collected.
+tree has a fixed depth: the number of tokens, then the leading tokens, each of which also has a wildcard
+child, then the tokens at a few more places, which lead to a leaf.  A line is put into several trees that
+differ in wildcards and places, so that lines with other words in some of their fields meet in a leaf
+of one of them: lines of fewer than ``SHORT`` tokens in a tree for each choice of ``match`` of their
+places, longer ones in ``TREES`` trees of ``DEPTH`` places.
+
+The template of a leaf has, at each place, the token that most of the leaf's lines hold there.  A line
+belongs to it if it agrees token by token at ``match`` of the places or more; a leaf's other lines may
+meet in another tree, so that one token count and opening has many templates.  A template recurs if its lines, and
+a line if it itself, occur in at least ``min_texts`` different texts; copies of a whole document count as
+one text.  A template of fewer than SHORT tokens must also occur ``LIFT`` times as often as its tokens would meet by chance, from
+their shares among all lines of that length.  Recurring lines are dropped everywhere.
+
+A line of 50 tokens or more recurs from two different texts on, of which near copies count as one: of a
+pair of them, which near dedup decides on, neither loses the lines.  Lines of fewer than ``min_tokens``
+tokens always stay, as do lines without a token; with ``EVERY_LINE`` all others count.  A line of one or
+two variable fields has nothing constant, so it counts by its own tokens.
+
+All decisions are a set of line hashes of 128 bits.  Documents shuffle hashes only; counts are
+aggregated before they shuffle, so that a line in a third of all documents is one row for each map
+task.  The set is joined by hash, never collected.  Tokens are shuffled only of lines in leaves of
+two or more different lines.
 
 Defined cases: null stays null, empty stays empty; a text whose lines all go becomes the empty text;
-rows that repeat an id keep their own texts; an empty table gives no rows; other columns pass through.
+rows that repeat an id keep their own texts; an empty table gives no rows; other columns pass through,
+but for n_lines and n_dropped, which ``counts`` replaces.
 """
 
 from __future__ import annotations
@@ -38,9 +47,19 @@ EVERY_LINE = 1
 LONG_TOKENS = 50
 NEAR = 0.5
 SHINGLE = 5
-LEADING = 4
-SEGMENTS = 8
+#: Leading tokens with a level of their own, trees of longer lines, and places that lead to one of their leaves.
+LEADING = 2
+TREES, DEPTH = 10, 5
+#: Lines of fewer tokens are put into a tree for each choice of places.
+SHORT = 8
 MATCH = 0.75
+LIFT = 10
+#: Places within a line are stated in so many parts of it.
+PARTS = 1 << 16
+#: The leading tokens of the trees of longer lines, dealt in turn; the others are wildcards.
+PATHS = ((0, 1), (1,), (), (0, 1), ())
+
+LINE = ["line", "check"]
 
 
 def _plain(line: Column) -> Column:
@@ -48,68 +67,95 @@ def _plain(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
 
 
-def _tokens(line: Column) -> Column:
-    return F.split(_plain(F.regexp_replace(line, r"\S*[0-9]\S*", "<*>")), " ")
-
-
-def _segments(tokens: Column, n: Column) -> Column:
-    """Hashes of at most SEGMENTS even parts of the tokens."""
-    k = F.least(n, F.lit(SEGMENTS))
-    at = lambda i: F.floor(i * n / k).cast("int")
-    return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.hash(F.slice(tokens, at(i) + 1, at(i + 1) - at(i))))
-
-
-def _keys(leaf: str, segments: str, match: float) -> Column:
-    """Hashes of each combination of so many segments; lines of a leaf agree on as many if they share one."""
-    out = F.array().cast("array<bigint>")
-    for k in range(1, SEGMENTS + 1):
-        kept = itertools.combinations(range(k), max(1, math.ceil(match * k - 1e-9)))
-        out = F.when(F.size(segments) == k, F.array(*(F.xxhash64(F.lit(n), leaf, *(F.col(segments)[i] for i in places)) for n, places in enumerate(kept)))).otherwise(out)
-    return out
-
-
-def _lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int, leading: int) -> DataFrame:
-    """id, text_hash, and for each line struct(line, leaf, long, segments); null for short and for empty lines."""
-    tokens = F.transform(F.split(F.col(text), "\n"), lambda x: F.struct(x.alias("own"), _tokens(x).alias("tokens")))
-
-    def parse(x: Column) -> Column:
-        t = x["tokens"]
-        n = F.size(t)
-        bare = (n < MIN_TOKENS) & F.forall(t, lambda w: w == "<*>")
-        line = F.when(bare, F.xxhash64(F.lit("own"), _plain(x["own"]))).otherwise(F.xxhash64(t))
-        return F.when((n >= min_tokens) & (t[0] != ""), F.struct(line.alias("line"), F.xxhash64(n, F.slice(t, 1, leading)).alias("leaf"), (n >= LONG_TOKENS).alias("long"), F.when(n > leading, _segments(t, n)).alias("segments")))
-
-    return docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.transform(tokens, parse).alias("lines"))
+def tree_places(match: float) -> list[list[list[int]]]:
+    """For 0 to SHORT tokens, the places of each tree; for SHORT or more, in parts of the line beyond the
+    leading tokens, which are given as -1, -2, ..."""
+    out: list[list[list[int]]] = [[]]
+    for n in range(1, SHORT):
+        k = math.ceil(match * n - 1e-9)
+        out.append([[-i - 1 for i in c] for c in itertools.combinations(range(n), k)] if k < n else [])
+    golden, at, trees = 40503, 0, []
+    for j in range(TREES):
+        path = PATHS[j % len(PATHS)]
+        places = [-i - 1 for i in path]
+        while len(places) < DEPTH:
+            at = (at + golden) % PARTS
+            places.append(at)
+        trees.append(places)
+    return [*out, trees]
+
+
+def _masked(text: Column) -> Column:
+    """A text with <*> for tokens that hold a digit, and one blank for other white space within lines."""
+    blanks = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+|\x20[\x20\x09\x0B-\x0D]++"
+    return F.regexp_replace(F.regexp_replace(text, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>"), blanks, " ")
+
+
+def _lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int) -> DataFrame:
+    """id, text_hash, and for each line struct(line, check, words); null for short and for empty lines."""
+
+    def parse(masked: Column, own: Column) -> Column:
+        words = F.trim(masked)
+        words = F.when(words.isin("<*>", "<*> <*>") if MIN_TOKENS > 2 else F.lit(False), F.concat(F.lit(" "), _plain(own))).otherwise(words)
+        some = (F.trim(masked) != "") if min_tokens <= 1 else (F.trim(masked) != "") & (F.size(F.split(F.trim(masked), " ")) >= min_tokens)
+        return F.when(some, F.struct(F.xxhash64(words).alias("line"), F.xxhash64(F.lit(1), words).alias("check"), words.alias("words")))
+
+    lines = F.zip_with(F.split(_masked(F.col(text)), "\n"), F.split(F.col(text), "\n"), parse)
+    return docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), lines.alias("lines"))
+
+
+def _leaves(rows: DataFrame, match: float) -> DataFrame:
+    """rows (line, check, words) with n and, for each tree that a line is put into, tree and leaf."""
+    places = F.array(*(F.array(*(F.array(*map(F.lit, p)) for p in trees)) if trees else F.array().cast("array<array<int>>") for trees in tree_places(match)))
+    n = F.size("tokens")
+    at = lambda i: F.when(i < 0, -i - 1).otherwise((LEADING + F.shiftright(i.cast("long") * (n - LEADING), PARTS.bit_length() - 1)).cast("int"))
+    leaf = lambda p, j: F.xxhash64(n, j, F.transform(p, lambda i: F.get("tokens", at(i))))
+    split = rows.filter(~F.startswith("words", F.lit(" "))).withColumn("tokens", F.split("words", " ")).withColumn("n", n)
+    return split.select(*rows.columns, "n", F.posexplode(F.transform(F.get(places, F.least("n", F.lit(SHORT))), leaf)).alias("tree", "leaf"))
+
+
+def _templates(lines: DataFrame, once: DataFrame, scratch: Scratch, min_texts: int, match: float) -> DataFrame:
+    """(line, check): the lines of templates that recur."""
+    each = lines.select(F.explode(F.array_distinct("lines")).alias("x")).filter("x IS NOT NULL").select("x.*")
+    met = _leaves(each, match).groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.min("line").alias("low"), F.max("line").alias("high"))
+    met = scratch.write(met.filter((F.col("rows") >= min_texts) & (F.col("low") != F.col("high"))).select("leaf"))
+    held = scratch.write(scratch.join_small(_leaves(each, match), met, ["leaf"], "left_semi").groupBy("leaf", *LINE).agg(F.first("words").alias("words"), F.first("n").alias("n"), F.first("tree").alias("tree")))
+
+    long = held.filter(F.col("n") >= SHORT)
+    votes = long.select("leaf", F.posexplode(F.split("words", " ")).alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
+    most = votes.groupBy("leaf", "place").agg(F.max(F.struct("n", "token"))["token"].alias("token"))
+    template = scratch.write(most.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("template")))
+    agreed = F.aggregate(F.zip_with(F.split("words", " "), "template", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
+    members = scratch.write(long.join(template, "leaf").filter(agreed >= match * F.col("n")).select("leaf", *LINE, "n", "words", "tree").unionByName(held.filter(F.col("n") < SHORT).select("leaf", *LINE, "n", "words", "tree")))
+
+    texts = members.select("leaf", *LINE).join(once, LINE).select("leaf", "text_hash").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"))
+    texts = scratch.write(texts.filter(F.col("texts") >= min_texts))
+    recurring = scratch.write(texts.join(_by_chance(each, members, texts, scratch, match), "leaf", "left_anti").select("leaf"))
+    return members.join(recurring, "leaf", "left_semi").select(*LINE)
+
+
+def _by_chance(each: DataFrame, members: DataFrame, texts: DataFrame, scratch: Scratch, match: float) -> DataFrame:
+    """(leaf): short templates whose tokens meet by chance about as often as they do."""
+    short = scratch.write(each.withColumn("n", F.size(F.split("words", " "))).filter((F.col("n") < SHORT) & ~F.startswith("words", F.lit(" "))).groupBy(*LINE).agg(F.first("n").alias("n"), F.first("words").alias("words")))
+    lengths = short.groupBy("n").agg(F.count(F.lit(1)).alias("lines"))  # fewer than SHORT rows
+    shares = short.select("n", F.explode(F.split("words", " ")).alias("token")).groupBy("n", "token").agg(F.count(F.lit(1)).alias("count"))
+    shares = shares.join(F.broadcast(lengths), "n").select("n", "token", (F.col("count") / (F.col("n") * F.col("lines"))).alias("share"))
+    places = F.array(*(F.array(*(F.array(*map(F.lit, p)) for p in trees)) if trees else F.array().cast("array<array<int>>") for trees in tree_places(match)[:SHORT]))
+    one = members.filter(F.col("n") < SHORT).groupBy("leaf").agg(F.min(F.struct("words", "n", "tree")).alias("x")).select("leaf", "x.*")
+    tokens = F.transform(F.get(F.get(places, F.col("n")), F.col("tree")), lambda i: F.get(F.split("words", " "), -i - 1))
+    chance = one.select("leaf", "n", F.explode(tokens).alias("token")).join(shares, ["n", "token"]).groupBy("leaf", "n").agg(F.sum(F.log("share")).alias("log"))
+    expected = chance.join(F.broadcast(lengths), "n").select("leaf", (F.exp("log") * F.col("lines")).alias("expected"))
+    return texts.join(expected, "leaf").filter(F.col("texts") < LIFT * F.col("expected")).select("leaf")
 
 
 def recurring_lines(lines: DataFrame, texts: DataFrame, scratch: Scratch, min_texts: int, match: float) -> DataFrame:
-    """(line): the hashes of the lines to drop; ``texts`` has text_hash and text."""
-    each = lines.select("text_hash", F.explode(F.array_distinct("lines")).alias("x")).filter("x IS NOT NULL").select("text_hash", "x.*")
-    once = scratch.write(each.groupBy("leaf", "line", "text_hash").agg(F.first("long").alias("long"), F.first("segments").alias("segments")))
-    counted = scratch.write(once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("texts"), F.first("long").alias("long"), F.first("segments").alias("segments")))
-    exact = counted.filter(F.col("texts") >= min_texts).select("line")
-    # Leaves of several lines in enough texts; their lines' segments vote, once for each text.
-    wide = scratch.write(counted.filter("segments IS NOT NULL").groupBy("leaf").agg(F.sum("texts").alias("votes"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("votes") >= min_texts)).select("leaf", "votes"))
-    variants = scratch.write(counted.join(wide, "leaf"))
-    votes = variants.select("leaf", "votes", "texts", F.posexplode("segments").alias("place", "segment")).groupBy("leaf", "place", "segment").agg(F.sum("texts").alias("n"), F.first("votes").alias("votes"))
-    constants = scratch.write(votes.filter("2 * n > votes").groupBy("leaf").agg(F.collect_set(F.struct("place", "segment")).alias("constants")))
-    agreed = F.size(F.filter(F.transform("segments", lambda s, i: F.struct(i.alias("place"), s.alias("segment"))), lambda x: F.array_contains("constants", x)))
-    members = scratch.write(variants.join(constants, "leaf").filter(agreed >= match * F.size("segments")).select("leaf", "line"))
-    support = once.join(members, ["leaf", "line"], "left_semi").groupBy("leaf", "text_hash").agg(F.lit(1)).groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_texts)
-    template = members.join(scratch.write(support), "leaf", "left_semi").select("line")
-    agreeing = _agreeing_lines(variants, once, scratch, min_texts, match)
-    return scratch.write(exact.union(template).union(agreeing).union(_long_lines(counted, once, texts, scratch, min_texts)).distinct())
-
-
-def _agreeing_lines(variants: DataFrame, once: DataFrame, scratch: Scratch, min_texts: int, match: float) -> DataFrame:
-    """(line): lines of a leaf that agree on enough segments with lines in enough texts."""
-    keyed = scratch.write(variants.select("leaf", "line", "texts", F.explode(_keys("leaf", "segments", match)).alias("key")))
-    groups = scratch.write(keyed.groupBy("key").agg(F.sum("texts").alias("sum"), F.max("texts").alias("most"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("sum") >= min_texts)).select("key", "most"))
-    # A line in enough texts is support enough; the texts of the other groups' lines are counted.
-    few = keyed.join(groups.filter(F.col("most") < min_texts), "key", "left_semi").select("leaf", "line", "key")
-    counted = once.join(few, ["leaf", "line"]).groupBy("key", "text_hash").agg(F.lit(1)).groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_texts)
-    recurring = scratch.write(groups.filter(F.col("most") >= min_texts).select("key").union(counted.select("key")))
-    return keyed.join(recurring, "key", "left_semi").select("line")
+    """(line, check): the hashes of the lines to drop; ``texts`` has text_hash and text."""
+    hashes = F.transform("lines", lambda x: F.when(x.isNotNull(), F.struct(x["line"].alias("line"), x["check"].alias("check"))))
+    once = scratch.write(lines.select("text_hash", F.explode(F.array_distinct(hashes)).alias("x")).filter("x IS NOT NULL").select("text_hash", "x.*").distinct())
+    counted = scratch.write(once.groupBy(*LINE).agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min(2, min_texts)))
+    exact = counted.filter(F.col("texts") >= min_texts).select(*LINE)
+    template = _templates(lines, once, scratch, min_texts, match)
+    return scratch.write(exact.union(template).union(_long_lines(lines, counted, texts, scratch, min_texts)).distinct())
 
 
 def _sequences(text: Column) -> Column:
@@ -118,31 +164,39 @@ def _sequences(text: Column) -> Column:
     return F.array_distinct(F.transform(F.array(F.split(_plain(F.lower(text)), " ")), of)[0])
 
 
-def _long_lines(counted: DataFrame, once: DataFrame, texts: DataFrame, scratch: Scratch, min_texts: int) -> DataFrame:
-    """(line): long lines in two or more texts, though not in ``min_texts``, that are no near copies."""
-    rare = counted.filter(F.col("long") & (F.col("texts") >= 2) & (F.col("texts") < min_texts))
-    held = scratch.write(once.filter("long").join(rare, ["leaf", "line"], "left_semi").select("line", F.col("text_hash").alias("a")))
-    pairs = scratch.write(held.join(held.withColumnRenamed("a", "b"), "line").filter("a < b"))
+def _long_lines(lines: DataFrame, counted: DataFrame, texts: DataFrame, scratch: Scratch, min_texts: int) -> DataFrame:
+    """(line, check): long lines in two or more texts, though not in ``min_texts``, that are no near copies."""
+    rare = counted.filter((F.col("texts") >= 2) & (F.col("texts") < min_texts)).select(*LINE)
+    long = F.filter("lines", lambda x: x.isNotNull() & (F.size(F.split(x["words"], " ")) >= LONG_TOKENS))
+    each = lines.select("text_hash", F.explode(F.array_distinct(F.transform(long, lambda x: F.struct(x["line"].alias("line"), x["check"].alias("check"))))).alias("x")).select("text_hash", "x.*")
+    held = scratch.write(each.join(rare, LINE, "left_semi").distinct().withColumnRenamed("text_hash", "a"))
+    pairs = scratch.write(held.join(held.withColumnRenamed("a", "b"), LINE).filter("a < b"))  # fewer than min_texts texts a line
     ends = scratch.write(pairs.select("a", "b").distinct().select("a", "b", F.explode(F.array("a", "b")).alias("text_hash")))
     # Sequences are found once for each text and never stored.
-    different = texts.join(F.broadcast(ends.select("text_hash").distinct()), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    different = scratch.join_small(texts, scratch.write(ends.select("text_hash").distinct()), ["text_hash"], "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
     both = different.select("text_hash", _sequences(F.col("text")).alias("of")).join(ends, "text_hash").groupBy("a", "b").agg(F.collect_list("of").alias("of"))
     common = F.size(F.array_intersect(F.col("of")[0], F.col("of")[1]))
     apart = both.filter(common < NEAR * (F.size(F.col("of")[0]) + F.size(F.col("of")[1]) - common)).select("a", "b")
-    return pairs.join(scratch.write(apart), ["a", "b"], "left_semi").select("line")
+    return pairs.join(scratch.write(apart), ["a", "b"], "left_semi").select(*LINE)
 
 
-def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_texts: int = MIN_TEXTS, min_tokens: int = MIN_TOKENS, leading: int = LEADING, match: float = MATCH, counts: bool = False) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_texts: int = MIN_TEXTS, min_tokens: int = MIN_TOKENS, match: float = MATCH, counts: bool = False) -> DataFrame:
     """docs with recurring lines dropped from their texts; ``counts`` adds n_lines and n_dropped."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    parsed = _lines(docs, doc_id, text, min_tokens, leading)
-    lines = scratch.write(parsed)
+    lines = scratch.write(_lines(docs, doc_id, text, min_tokens))
     dropped = recurring_lines(lines, docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), scratch, min_texts, match)
-    hit = lines.select("id", "text_hash", F.posexplode(F.transform("lines", lambda x: x["line"])).alias("place", "line")).filter("line IS NOT NULL").join(dropped, "line")
+    placed = lines.select("id", "text_hash", F.posexplode(F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["check"].alias("check")))).alias("place", "x")).select("id", "text_hash", "place", "x.*")
+    hit = placed.filter("line IS NOT NULL").join(dropped, LINE)
     places = scratch.write(hit.groupBy("id", "text_hash").agg(F.collect_set("place").alias("places")))
     scratch.keep_only(places)
-    joined = docs.withColumn("__hash", F.xxhash64(text)).join(places.withColumnsRenamed({"id": "__id", "text_hash": "__text"}), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains("places", i)), "\n")
-    out = joined.withColumn("__n", F.coalesce(F.size(F.split(F.col(text), "\n")), F.lit(0)).cast("long")).withColumn(text, F.when(F.col("places").isNotNull(), kept).otherwise(F.col(text)))
-    extra = [F.greatest("__n", F.lit(0)).alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped")]
-    return out.select(*docs.columns, *extra) if counts else out.select(*docs.columns)
+    # Columns of docs travel in one struct, so that none of their names meets one of these.
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(doc_id).alias("own_id"), F.xxhash64(text).alias("own_hash"))
+    joined = packed.join(places, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")), "left")
+    split = F.split(F.col("doc")[text], "\n")
+    n = F.when(F.col("doc")[text].isNull(), 0).otherwise(F.size(split))
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), "places")
+    kept = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
+    new = F.when(F.col("places").isNotNull(), kept).otherwise(F.col("doc")[text])
+    extra = {"n_lines": n.cast("long"), "n_dropped": F.coalesce(F.size("places"), F.lit(0)).cast("long")} if counts else {}
+    out = [(new if c == text else F.col("doc")[c]).alias(c) for c in docs.columns if c not in extra]
+    return joined.select(*out, *(v.alias(k) for k, v in extra.items()))

@@ -201,7 +201,7 @@ def test_line_dedup_exact_lines(docs):
 
 
 def test_line_dedup_templates(spark):
-    log = [(i, f"only here {chr(97 + i)}{chr(97 + i)} text goes on\nuser number {i * 7} logged in from host alpha at noon\nerror in the module of {['red', 'blue', 'green', 'grey'][i % 4]} gave up after a while") for i in range(8)]
+    log = [(i, f"{' '.join(chr(97 + i) * k for k in range(2, 8))}\nuser number {i * 7} logged in from host alpha at noon\nerror in the module of {['red', 'blue', 'green', 'grey'][i % 4]} gave up after a while") for i in range(8)]
     df = spark.createDataFrame([*log, (90, "unique line with some words\nsecond unique line of text"), (91, "ab cd\nab cd"), (92, "ab cd"), (93, "ab cd\nx")], "doc_id long, text string")
     out = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(df).collect()}
     assert all(out[i] == log[i][1].split("\n")[0] for i in range(8))
@@ -230,6 +230,100 @@ def test_line_dedup_short_lines(spark):
     assert out == {**{i: f"{i}{i}\n\nonly {chr(97 + i)}" for i in range(4)}, 4: texts[4]}
 
 
+def brute_tree(rows, min_texts=3):
+    """doc id -> text without recurring lines: the template tree on plain dictionaries, with token tuples for hashes."""
+    blank = re.compile(r"[\x20\x09-\x0D]+")
+    split = lambda t: [x for x in blank.split(t) if x]
+
+    def masked(line):
+        words = tuple("<*>" if re.search("[0-9]", w) else w for w in split(line))
+        return (("own", *split(line)) if words in (("<*>",), ("<*>", "<*>")) else words) if words else None
+
+    places = line_dedup.tree_places(line_dedup.MATCH)
+
+    def leaves(words):
+        if words[0] == "own":
+            return
+        n = len(words)
+        for j, tree in enumerate(places[min(n, line_dedup.SHORT)]):
+            at = [-i - 1 if i < 0 else line_dedup.LEADING + (i * (n - line_dedup.LEADING) >> 16) for i in tree]
+            yield n, j, tuple(words[i] for i in at)
+
+    holders, members = collections.defaultdict(set), collections.defaultdict(set)
+    for t in {t for _, t in rows if t}:
+        for line in t.split("\n"):
+            if words := masked(line):
+                holders[words].add(t)
+    for words in holders:
+        for leaf in leaves(words):
+            members[leaf].add(words)
+    drop = {w for w, t in holders.items() if len(t) >= min_texts}
+    lengths = collections.Counter(len(w) for w in holders if w[0] != "own")
+    tokens = collections.Counter((len(w), x) for w in holders if w[0] != "own" for x in w)
+    for (n, _, own), lines in members.items():
+        if len(lines) < 2:
+            continue
+        if n >= line_dedup.SHORT:
+            template = [max((c, x) for x, c in collections.Counter(w[i] for w in lines).items())[1] for i in range(n)]
+            lines = {w for w in lines if sum(a == b for a, b in zip(w, template, strict=True)) >= line_dedup.MATCH * n}
+            expected = 0
+        else:
+            expected = lengths[n] * np.prod([tokens[n, x] / (n * lengths[n]) for x in own])
+        support = len(set().union(*(holders[w] for w in lines)))
+        if support >= min_texts and support >= line_dedup.LIFT * expected:
+            drop |= lines
+    sequences = lambda t: {tuple(x[i : i + 5]) for x in [split(t.lower())] for i in range(max(1, len(x) - 4))}
+    for w, t in holders.items():
+        if len(w) >= 50 and w[0] != "own" and len(t) == 2:
+            a, b = map(sequences, t)
+            if len(a & b) < line_dedup.NEAR * len(a | b):
+                drop.add(w)
+    return {i: None if t is None else "\n".join(x for x in t.split("\n") if masked(x) not in drop) for i, t in rows}
+
+
+def test_line_dedup_matches_brute_force(spark, data, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    expected = brute_tree(rows)
+    got = {r.doc_id: r for r in queries.op4_line_dedup(spark, data).collect()}
+    assert {i: r.text for i, r in got.items()} == expected
+    assert sum(r.n_dropped for r in got.values()) > 0 and all(r.n_lines == len(t.split("\n")) for i, t in rows if t is not None for r in [got[i]])
+
+
+def test_line_dedup_variable_fields(spark):
+    """12 texts each: two templates in turn, 3 variable words of 20, one of 4, a leading one; and prose that stays."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(8))
+    texts, forms = [], [[word() for _ in range(20)] for _ in range(3)]
+    for form, at in ((forms[0], (2, 9, 15)), (forms[1], (0,))):
+        texts += [" ".join(word() if i in at else w for i, w in enumerate(form)) for _ in range(12)]
+    texts += [f"service {word()} has stopped" for _ in range(12)]
+    texts += [f"the job {x} took {word()} of the time that it had" for _ in range(6) for x in ("begins and", "ends but")]
+    texts += [" ".join(word() for _ in range(20)) for _ in range(12)] + [" ".join([word(), "has", "a", word()]) for _ in range(12)]
+    df = spark.createDataFrame([(i, f"{t}\n{word()}") for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {x.doc_id: x.n_dropped for x in line_dedup.drop_recurring_lines(df, counts=True).collect()}
+    assert out == {i: int(i < 48) for i in range(len(texts))}
+
+
+def test_line_dedup_keeps_what_meets_by_chance(spark):
+    """Short lines of a few words meet in many texts without a template."""
+    import itertools
+
+    lines = [" ".join(x) for x in itertools.product("abcdef", repeat=4)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {x.n_dropped for x in line_dedup.drop_recurring_lines(df, counts=True).collect()} == {0}
+
+
+def test_line_dedup_clashing_columns_and_long_texts(spark):
+    names = ("id", "text_hash", "places", "line", "check", "own_id", "doc", "__n", "n_lines")
+    rows = [(i, f"a line that many hold\n{'x ' * 20_000}{i}y{chr(97 + i)}\n" + "\n".join(f"{chr(97 + i)}{k}" for k in range(3000)), *range(len(names))) for i in range(4)]
+    df = spark.createDataFrame([*rows, (4, None, *range(len(names)))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = line_dedup.drop_recurring_lines(df)
+    assert out.columns == df.columns
+    for r in out.collect():
+        assert tuple(r)[2:] == tuple(range(len(names))) and (r.text is None or r.text.split("\n") == rows[r.doc_id][1].split("\n")[2:])
+    assert line_dedup.drop_recurring_lines(df, counts=True).select("n_lines").distinct().count() == 2
+
+
 def test_line_dedup_query(spark, data, docs):
     rows = {r.doc_id: r.text for r in docs.collect()}
     short = {k for k in brute_recurring(rows.values(), min_tokens=1) if len(k) < 3 and set(k) != {"<*>"}}
