@@ -1,11 +1,10 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
 A line's tokens are split at white space and tokens with a digit become the variable field <*>.  The
-tree has a fixed depth: the number of tokens, then the leading tokens, each of which also has a wildcard
-child, then the tokens at a few more places, which lead to a leaf.  A line is put into several trees that
-differ in wildcards and places, so that lines with other words in some of their fields meet in a leaf
-of one of them: lines of fewer than ``SHORT`` tokens in a tree for each choice of ``match`` of their
-places, longer ones in ``TREES`` trees of ``DEPTH`` places.
+tree has a fixed depth: the number of tokens, then 3 to 5 tokens in a row, which lead to a leaf.  Those are the
+leading tokens, or, below wildcard children for variable leading tokens, the ones that follow at one of
+``PATHS`` places; so lines with other words in some of their fields meet in a leaf.  A line of fewer than ``SHORT`` tokens is
+led by all of them but one, which has the wildcard, for each one in turn.
 
 The template of a leaf has, at each place, the token that most of the leaf's lines hold there.  A line
 belongs to it if it agrees token by token at ``match`` of the places or more; a leaf's other lines may
@@ -31,9 +30,6 @@ but for n_lines and n_dropped, which ``counts`` replaces.
 
 from __future__ import annotations
 
-import itertools
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,17 +43,12 @@ EVERY_LINE = 1
 LONG_TOKENS = 50
 NEAR = 0.5
 SHINGLE = 5
-#: Leading tokens with a level of their own, trees of longer lines, and places that lead to one of their leaves.
-LEADING = 2
-TREES, DEPTH = 10, 5
-#: Lines of fewer tokens are put into a tree for each choice of places.
+#: Places of a longer line from which tokens lead to a leaf, the first and the last included.
+PATHS = 8
+#: Lines of fewer tokens have one wildcard.
 SHORT = 8
 MATCH = 0.75
 LIFT = 10
-#: Places within a line are stated in so many parts of it.
-PARTS = 1 << 16
-#: The leading tokens of the trees of longer lines, dealt in turn; the others are wildcards.
-PATHS = ((0, 1), (1,), (), (0, 1), ())
 
 LINE = ["line", "check"]
 
@@ -67,82 +58,66 @@ def _plain(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
 
 
-def tree_places(match: float) -> list[list[list[int]]]:
-    """For 0 to SHORT tokens, the places of each tree; for SHORT or more, in parts of the line beyond the
-    leading tokens, which are given as -1, -2, ..."""
-    out: list[list[list[int]]] = [[]]
-    for n in range(1, SHORT):
-        k = math.ceil(match * n - 1e-9)
-        out.append([[-i - 1 for i in c] for c in itertools.combinations(range(n), k)] if k < n else [])
-    golden, at, trees = 40503, 0, []
-    for j in range(TREES):
-        path = PATHS[j % len(PATHS)]
-        places = [-i - 1 for i in path]
-        while len(places) < DEPTH:
-            at = (at + golden) % PARTS
-            places.append(at)
-        trees.append(places)
-    return [*out, trees]
-
-
-def _masked(text: Column) -> Column:
-    """A text with <*> for tokens that hold a digit, and one blank for other white space within lines."""
-    blanks = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+|\x20[\x20\x09\x0B-\x0D]++"
-    return F.regexp_replace(F.regexp_replace(text, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>"), blanks, " ")
-
-
 def _lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int) -> DataFrame:
     """id, text_hash, and for each line struct(line, check, words); null for short and for empty lines."""
 
-    def parse(masked: Column, own: Column) -> Column:
-        words = F.trim(masked)
-        words = F.when(words.isin("<*>", "<*> <*>") if MIN_TOKENS > 2 else F.lit(False), F.concat(F.lit(" "), _plain(own))).otherwise(words)
-        some = (F.trim(masked) != "") if min_tokens <= 1 else (F.trim(masked) != "") & (F.size(F.split(F.trim(masked), " ")) >= min_tokens)
+    def parse(line: Column) -> Column:
+        plain = F.trim(line)
+        masked = F.when(F.rlike(plain, F.lit("[0-9]")), F.regexp_replace(plain, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>")).otherwise(plain)
+        words = F.when(masked.isin("<*>", "<*> <*>"), F.concat(F.lit(" "), plain)).otherwise(masked)
+        some = plain != ""
+        if min_tokens > 1:
+            some &= F.size(F.split(plain, " ")) >= min_tokens
         return F.when(some, F.struct(F.xxhash64(words).alias("line"), F.xxhash64(F.lit(1), words).alias("check"), words.alias("words")))
 
-    lines = F.zip_with(F.split(_masked(F.col(text)), "\n"), F.split(F.col(text), "\n"), parse)
-    return docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), lines.alias("lines"))
+    # One blank for other white space within lines.
+    even = F.regexp_replace(text, r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+|\x20[\x20\x09\x0B-\x0D]++", " ")
+    return docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.transform(F.split(even, "\n"), parse).alias("lines"))
 
 
 def _leaves(rows: DataFrame, match: float) -> DataFrame:
-    """rows (line, check, words) with n and, for each tree that a line is put into, tree and leaf."""
-    places = F.array(*(F.array(*(F.array(*map(F.lit, p)) for p in trees)) if trees else F.array().cast("array<array<int>>") for trees in tree_places(match)))
-    n = F.size("tokens")
-    at = lambda i: F.when(i < 0, -i - 1).otherwise((LEADING + F.shiftright(i.cast("long") * (n - LEADING), PARTS.bit_length() - 1)).cast("int"))
-    leaf = lambda p, j: F.xxhash64(n, j, F.transform(p, lambda i: F.get("tokens", at(i))))
-    split = rows.filter(~F.startswith("words", F.lit(" "))).withColumn("tokens", F.split("words", " ")).withColumn("n", n)
-    return split.select(*rows.columns, "n", F.posexplode(F.transform(F.get(places, F.least("n", F.lit(SHORT))), leaf)).alias("tree", "leaf"))
+    """rows (line, check, words) with n and, for each path of a line, path and leaf."""
+    n, t = F.col("n"), F.col("tokens")
+    depth = F.greatest(F.lit(3), F.least(F.lit(5), F.shiftright(n, 2)))
+    start = lambda i: F.floor(i * (n - depth) / (PATHS - 1)).cast("int")
+    long = F.array(*(F.xxhash64(n, start(i), F.slice(t, start(i) + 1, depth)) for i in range(PATHS)))
+    short = F.array(*(F.when(n > i, F.xxhash64(n, F.lit(i), F.slice(t, 1, i), F.slice(t, i + 2, SHORT))) for i in range(SHORT - 1)))
+    split = rows.filter(~F.startswith("words", F.lit(" "))).withColumn("tokens", F.split("words", " ")).withColumn("n", F.size("tokens"))
+    paths = F.when(n >= SHORT, long).when(match * n <= n - 1, short)
+    return split.select(*rows.columns, "n", F.posexplode(paths).alias("path", "leaf")).filter("leaf IS NOT NULL")
 
 
 def _templates(lines: DataFrame, once: DataFrame, scratch: Scratch, min_texts: int, match: float) -> DataFrame:
     """(line, check): the lines of templates that recur."""
     each = lines.select(F.explode(F.array_distinct("lines")).alias("x")).filter("x IS NOT NULL").select("x.*")
-    met = _leaves(each, match).groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.min("line").alias("low"), F.max("line").alias("high"))
-    met = scratch.write(met.filter((F.col("rows") >= min_texts) & (F.col("low") != F.col("high"))).select("leaf"))
-    held = scratch.write(scratch.join_small(_leaves(each, match), met, ["leaf"], "left_semi").groupBy("leaf", *LINE).agg(F.first("words").alias("words"), F.first("n").alias("n"), F.first("tree").alias("tree")))
+    met = _leaves(each, match).groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.min("line").alias("low"), F.max("line").alias("high"), F.bit_xor("line").alias("all"))
+    # Of leaves that hold the same lines one is enough.
+    met = met.filter((F.col("rows") >= min_texts) & (F.col("low") != F.col("high"))).groupBy("rows", "low", "high", "all").agg(F.min("leaf").alias("leaf"))
+    met = scratch.write(met.select("leaf"))
+    held = scratch.write(scratch.join_small(_leaves(each, match), met, ["leaf"], "left_semi").groupBy("leaf", *LINE).agg(F.first("words").alias("words"), F.first("n").alias("n"), F.first("path").alias("path")))
 
     long = held.filter(F.col("n") >= SHORT)
     votes = long.select("leaf", F.posexplode(F.split("words", " ")).alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
     most = votes.groupBy("leaf", "place").agg(F.max(F.struct("n", "token"))["token"].alias("token"))
     template = scratch.write(most.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("template")))
     agreed = F.aggregate(F.zip_with(F.split("words", " "), "template", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
-    members = scratch.write(long.join(template, "leaf").filter(agreed >= match * F.col("n")).select("leaf", *LINE, "n", "words", "tree").unionByName(held.filter(F.col("n") < SHORT).select("leaf", *LINE, "n", "words", "tree")))
+    members = scratch.write(long.join(template, "leaf").filter(agreed >= match * F.col("n")).select("leaf", *LINE, "n", "words", "path").unionByName(held.filter(F.col("n") < SHORT).select("leaf", *LINE, "n", "words", "path")))
 
     texts = members.select("leaf", *LINE).join(once, LINE).select("leaf", "text_hash").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"))
     texts = scratch.write(texts.filter(F.col("texts") >= min_texts))
-    recurring = scratch.write(texts.join(_by_chance(each, members, texts, scratch, match), "leaf", "left_anti").select("leaf"))
+    recurring = scratch.write(texts.join(_by_chance(each, members, texts, scratch), "leaf", "left_anti").select("leaf"))
     return members.join(recurring, "leaf", "left_semi").select(*LINE)
 
 
-def _by_chance(each: DataFrame, members: DataFrame, texts: DataFrame, scratch: Scratch, match: float) -> DataFrame:
+def _by_chance(each: DataFrame, members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(leaf): short templates whose tokens meet by chance about as often as they do."""
     short = scratch.write(each.withColumn("n", F.size(F.split("words", " "))).filter((F.col("n") < SHORT) & ~F.startswith("words", F.lit(" "))).groupBy(*LINE).agg(F.first("n").alias("n"), F.first("words").alias("words")))
     lengths = short.groupBy("n").agg(F.count(F.lit(1)).alias("lines"))  # fewer than SHORT rows
     shares = short.select("n", F.explode(F.split("words", " ")).alias("token")).groupBy("n", "token").agg(F.count(F.lit(1)).alias("count"))
     shares = shares.join(F.broadcast(lengths), "n").select("n", "token", (F.col("count") / (F.col("n") * F.col("lines"))).alias("share"))
-    places = F.array(*(F.array(*(F.array(*map(F.lit, p)) for p in trees)) if trees else F.array().cast("array<array<int>>") for trees in tree_places(match)[:SHORT]))
-    one = members.filter(F.col("n") < SHORT).groupBy("leaf").agg(F.min(F.struct("words", "n", "tree")).alias("x")).select("leaf", "x.*")
-    tokens = F.transform(F.get(F.get(places, F.col("n")), F.col("tree")), lambda i: F.get(F.split("words", " "), -i - 1))
+    one = members.filter(F.col("n") < SHORT).groupBy("leaf").agg(F.min(F.struct("words", "n", "path")).alias("x")).select("leaf", "x.*")
+    words = F.split("words", " ")
+    tokens = F.concat(F.slice(words, 1, F.col("path")), F.slice(words, F.col("path") + 2, F.lit(SHORT)))
     chance = one.select("leaf", "n", F.explode(tokens).alias("token")).join(shares, ["n", "token"]).groupBy("leaf", "n").agg(F.sum(F.log("share")).alias("log"))
     expected = chance.join(F.broadcast(lengths), "n").select("leaf", (F.exp("log") * F.col("lines")).alias("expected"))
     return texts.join(expected, "leaf").filter(F.col("texts") < LIFT * F.col("expected")).select("leaf")

@@ -239,15 +239,18 @@ def brute_tree(rows, min_texts=3):
         words = tuple("<*>" if re.search("[0-9]", w) else w for w in split(line))
         return (("own", *split(line)) if words in (("<*>",), ("<*>", "<*>")) else words) if words else None
 
-    places = line_dedup.tree_places(line_dedup.MATCH)
-
     def leaves(words):
+        n = len(words)
         if words[0] == "own":
             return
-        n = len(words)
-        for j, tree in enumerate(places[min(n, line_dedup.SHORT)]):
-            at = [-i - 1 if i < 0 else line_dedup.LEADING + (i * (n - line_dedup.LEADING) >> 16) for i in tree]
-            yield n, j, tuple(words[i] for i in at)
+        if n >= line_dedup.SHORT:
+            d = max(3, min(5, n // 4))
+            for i in range(line_dedup.PATHS):
+                at = i * (n - d) // (line_dedup.PATHS - 1)
+                yield n, at, words[at : at + d]
+        elif line_dedup.MATCH * n <= n - 1:
+            for i in range(n):
+                yield n, i, words[:i] + words[i + 1 :]
 
     holders, members = collections.defaultdict(set), collections.defaultdict(set)
     for t in {t for _, t in rows if t}:
