@@ -61,30 +61,32 @@ def _plain(line: Column) -> Column:
 def _lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int) -> DataFrame:
     """id, text_hash, and for each line struct(line, check, words); null for short and for empty lines."""
 
-    def parse(line: Column) -> Column:
-        plain = F.trim(line)
-        masked = F.when(F.rlike(plain, F.lit("[0-9]")), F.regexp_replace(plain, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>")).otherwise(plain)
-        words = F.when(masked.isin("<*>", "<*> <*>"), F.concat(F.lit(" "), plain)).otherwise(masked)
-        some = plain != ""
-        if min_tokens > 1:
-            some &= F.size(F.split(plain, " ")) >= min_tokens
-        return F.when(some, F.struct(F.xxhash64(words).alias("line"), F.xxhash64(F.lit(1), words).alias("check"), words.alias("words")))
-
-    # One blank for other white space within lines.
-    even = F.regexp_replace(text, r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+|\x20[\x20\x09\x0B-\x0D]++", " ")
-    return docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.transform(F.split(even, "\n"), parse).alias("lines"))
+    # A step each, as an expression that is named twice within a function is evaluated twice.
+    text_ = F.col(text)
+    blanks = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+|\x20[\x20\x09\x0B-\x0D]++"
+    odd = F.contains(text_, F.lit("  "))
+    for c in "\t\v\f\r":
+        odd |= F.contains(text_, F.lit(c))
+    even = F.when(odd, F.regexp_replace(text_, blanks, " ")).otherwise(text_)
+    plain = F.transform(F.split(even, "\n"), lambda x: F.trim(x))
+    masked = F.transform(plain, lambda x: F.when(F.rlike(x, F.lit("[0-9]")), F.struct(x.alias("own"), F.regexp_replace(x, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>").alias("masked"))).otherwise(F.struct(F.lit(None).cast("string").alias("own"), x.alias("masked"))))
+    words = F.transform(masked, lambda x: F.when(x["masked"].isin("<*>", "<*> <*>") & x["own"].isNotNull(), F.concat(F.lit(" "), x["own"])).otherwise(x["masked"]))
+    some = (lambda x: x != "") if min_tokens <= 1 else (lambda x: (x != "") & (F.size(F.split(F.trim(x), " ")) >= min_tokens))
+    lines = F.transform(words, lambda x: F.when(some(x), F.struct(F.xxhash64(x).alias("line"), F.xxhash64(F.lit(1), x).alias("check"), x.alias("words"))))
+    return docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), lines.alias("lines"))
 
 
 def _leaves(rows: DataFrame, match: float) -> DataFrame:
     """rows (line, check, words) with n and, for each path of a line, path and leaf."""
-    n, t = F.col("n"), F.col("tokens")
-    depth = F.greatest(F.lit(3), F.least(F.lit(5), F.shiftright(n, 2)))
-    start = lambda i: F.floor(i * (n - depth) / (PATHS - 1)).cast("int")
-    long = F.array(*(F.xxhash64(n, start(i), F.slice(t, start(i) + 1, depth)) for i in range(PATHS)))
-    short = F.array(*(F.when(n > i, F.xxhash64(n, F.lit(i), F.slice(t, 1, i), F.slice(t, i + 2, SHORT))) for i in range(SHORT - 1)))
     split = rows.filter(~F.startswith("words", F.lit(" "))).withColumn("tokens", F.split("words", " ")).withColumn("n", F.size("tokens"))
-    paths = F.when(n >= SHORT, long).when(match * n <= n - 1, short)
-    return split.select(*rows.columns, "n", F.posexplode(paths).alias("path", "leaf")).filter("leaf IS NOT NULL")
+    split = split.filter((F.col("n") >= SHORT) | (match * F.col("n") <= F.col("n") - 1))
+    n, t, path = F.col("n"), F.col("tokens"), F.col("path")
+    each = split.select(*rows.columns, "n", "tokens", F.explode(F.sequence(F.lit(0), F.when(n >= SHORT, PATHS - 1).otherwise(n - 1))).alias("path"))
+    depth = F.greatest(F.lit(3), F.least(F.lit(5), F.shiftright(n, 2)))
+    start = F.when(n >= SHORT, F.floor(path * (n - depth) / (PATHS - 1)).cast("int")).otherwise(path)
+    each = each.withColumn("depth", depth).withColumn("start", start)
+    lead = F.when(n >= SHORT, F.slice(t, F.col("start") + 1, F.col("depth"))).otherwise(F.concat(F.slice(t, 1, path), F.slice(t, path + 2, F.lit(SHORT))))
+    return each.select(*rows.columns, "n", "path", F.xxhash64("n", "start", lead).alias("leaf"))
 
 
 def _templates(lines: DataFrame, once: DataFrame, scratch: Scratch, min_texts: int, match: float) -> DataFrame:
@@ -167,10 +169,10 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     # Columns of docs travel in one struct, so that none of their names meets one of these.
     packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(doc_id).alias("own_id"), F.xxhash64(text).alias("own_hash"))
     joined = packed.join(places, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")), "left")
-    split = F.split(F.col("doc")[text], "\n")
-    n = F.when(F.col("doc")[text].isNull(), 0).otherwise(F.size(split))
-    stay = F.array_except(F.sequence(F.lit(0), n - 1), "places")
-    kept = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
+    n = F.when(F.col("doc")[text].isNull(), 0).otherwise(F.size(F.split(F.col("doc")[text], "\n")))
+    # The lines are an argument, as an expression would split the text once for each of them.
+    stay = lambda split: F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "places"), lambda i: F.get(split, i))
+    kept = F.array_join(F.transform(F.array(F.split(F.col("doc")[text], "\n")), stay)[0], "\n")
     new = F.when(F.col("places").isNotNull(), kept).otherwise(F.col("doc")[text])
     extra = {"n_lines": n.cast("long"), "n_dropped": F.coalesce(F.size("places"), F.lit(0)).cast("long")} if counts else {}
     out = [(new if c == text else F.col("doc")[c]).alias(c) for c in docs.columns if c not in extra]
