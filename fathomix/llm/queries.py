@@ -109,7 +109,8 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
 """,
     "op3_chat_rotation": r"""
-WITH r AS (SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS words FROM conversations),
+WITH r AS (SELECT conv_id, turn, coalesce(nullif(trim(replace(translate(role, chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(8232) || chr(8233), '       '), '<|', '< |')), ''), 'unknown') AS role,
+      replace(coalesce(text, ''), '<|', '< |') AS words FROM conversations),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, words) - 1 AS pos FROM r),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM r WHERE role <> 'system'),
 v AS (SELECT o.conv_id, speaker, CAST(floor(pos / 256) AS BIGINT) AS segment, pos, role = speaker AS mine,
