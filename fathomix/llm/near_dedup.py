@@ -7,9 +7,12 @@ probability of 2e-8, and less above it.  Links are confirmed on full sets.
 
 Plan.  Documents of equal sets collapse into one class first, so copies never meet.  In each bucket
 every class is checked against the smallest id (a star, not all pairs) and components are formed.  Only
-buckets that still hold several components are searched for links between different components: their
-classes are dealt to blocks of bounded size, and a task compares the members of two blocks through an
-inverted index and returns no more than one link for each merger of components.  So no link that shares
+buckets that still hold several components are searched for links between different ones: of two linked classes
+of different components, one at least is outside the bucket's largest.  Those few are the probes.  A class
+goes to one block of its bucket, of bounded size, and each probe to every block, where an inverted index counts
+what it shares with the block's members; a task returns no more than one link for each merger of
+components.  Stars are searched in the same way, with the smallest id as the one probe.  Shingles are
+hashed once for each class; from there on, sets of 64-bit hashes travel in place of texts.  So no link that shares
 a band is lost, no group of pairs is written out, and no task holds an unbounded group.
 
 Defined cases: texts without words or null have an empty set and are linked with nothing; fewer than k
@@ -33,8 +36,8 @@ from fathomix.storage import Scratch
 SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 30, 5
-#: A block of a residual bucket: so many classes and shingles at most, on average.
-BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 4_000_000
+#: A block of a group: so many classes and shingles at most, on average.
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 4_000_000
 
 SKETCH = [T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
 
@@ -49,14 +52,6 @@ def distinct_sets(texts: pa.Array, k: int, powers: Powers) -> list[np.ndarray]:
     return out
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    small, large = sorted((len(a), len(b)))
-    if not small or 100 * small < percent * large:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (small + large - both)
-
-
 def sketcher(k: int, bands: int, rows: int):
     """A function from texts to the values of SKETCH."""
     powers = Powers()
@@ -91,90 +86,103 @@ def sketcher(k: int, bands: int, rows: int):
     return sketch
 
 
-def _confirm(k: int, percent: int):
-    """Rows (id, rep, text, rep_text) to the linked pairs (u, v)."""
-
-    def run(batches):
-        np.seterr(over="ignore")
-        powers, of, rep_set = Powers(), object(), None
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids, reps = part.column("id").to_pylist(), part.column("rep").to_pylist()
-                out = []
-                for i, s in enumerate(distinct_sets(part.column("text"), k, powers)):
-                    if reps[i] != of:
-                        of, rep_set = reps[i], distinct_sets(part.column("rep_text").slice(i, 1), k, powers)[0]
-                    if linked(s, rep_set, percent):
-                        out.append((ids[i], reps[i]))
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], names=["u", "v"])
-
-    return run
-
+class Block:
+    """Members with an inverted index of their shingles; probes merge components."""
+
+    def __init__(self, ids: list[int], comps: list[int], sets: list[np.ndarray], percent: int):
+        self.ids, self.percent = ids, percent
+        self.number: dict[int, int] = {}
+        self.alias: dict[int, int] = {}
+        self.label = np.array([self.label_of(c) for c in comps])
+        self.sizes = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(ids)), self.sizes)
+        self.terms, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        self.postings = owner[np.argsort(inverse, kind="stable")]
+        self.limits = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(self.terms)))])
+
+    def label_of(self, comp: int) -> int:
+        x = self.number.setdefault(comp, len(self.number))
+        while x in self.alias:
+            x = self.alias[x]
+        return x
+
+    def links(self, node: int, comp: int, shingles: np.ndarray) -> list[tuple[int, int]]:
+        """Links of a probe to members of other components, one for each merger."""
+        own = self.label_of(comp)
+        open_ = self.label != own
+        if not open_.any():
+            return []
+        at = np.minimum(np.searchsorted(self.terms, shingles), len(self.terms) - 1)
+        at = at[self.terms[at] == shingles]
+        if not len(at):
+            return []
+        both = np.bincount(np.concatenate([self.postings[a:b] for a, b in zip(self.limits[at].tolist(), self.limits[at + 1].tolist(), strict=True)]), minlength=len(self.ids))
+        out = []
+        for j in np.flatnonzero(open_ & (100 * both >= self.percent * (len(shingles) + self.sizes - both))).tolist():
+            other = int(self.label[j])
+            if other != own:
+                out.append((node, self.ids[j]))
+                self.label[self.label == other] = own
+                self.alias[other] = own
+        return out
 
-def block_links(ids: list[int], comps: list[int], blocks: list[int], sets: list[np.ndarray], percent: int, across: bool) -> list[tuple[int, int]]:
-    """Links between different components that merge them, one for each merger.
 
-    ``across``: only pairs from different blocks are looked at.
-    """
-    n = len(ids)
-    label = np.unique(np.array(comps), return_inverse=True)[1]
-    if n < 2 or label.max() == 0:
-        return []
-    sizes = np.array([len(s) for s in sets])
-    block = np.array(blocks)
-    owner = np.repeat(np.arange(n), sizes)
-    terms, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(inverse, kind="stable")
-    postings, limits = owner[order], np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(terms)))])
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    largest = int(np.bincount(label).argmax())
-    out = []
-    for i in np.flatnonzero(label != largest).tolist():
-        open_ = label != label[i]
-        if across:
-            open_ &= block != block[i]
-        if not open_.any():
-            continue
-        mine = inverse[first[i] : first[i + 1]]
-        mine = mine[limits[mine + 1] - limits[mine] > 1]
-        if not len(mine):
-            continue
-        both = np.bincount(np.concatenate([postings[limits[t] : limits[t + 1]] for t in mine.tolist()]), minlength=n)
-        for j in np.flatnonzero(open_ & (100 * both >= percent * (sizes[i] + sizes - both))).tolist():
-            if label[j] != label[i]:
-                out.append((ids[i], ids[j]))
-                label[label == label[j]] = label[i]
-    return out
+#: A row of a search: its group and block, whether it only probes, whether it is a probe among the members, and the class.
+SEARCHED = ["group", "block", "probe", "minor", "id", "component", "shingles"]
 
 
-def _search_blocks(k: int, percent: int):
-    """Rows sorted by (bucket, b1, b2) to links between components."""
+def _search(percent: int):
+    """Rows of SEARCHED, sorted by group, block and probe, to links (u, v)."""
 
     def run(batches):
-        np.seterr(over="ignore")
-        powers, key, rows = Powers(), None, []
+        key, members, block = None, [], None
+        out: list[tuple[int, int]] = []
 
-        def found():
-            sets = distinct_sets(pa.array([r[3] for r in rows], pa.string()), k, powers)
-            return block_links([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], sets, percent, key[1] != key[2])
+        def ready() -> Block:
+            made = Block([m[1] for m in members], [m[2] for m in members], [m[3] for m in members], percent)
+            for minor, node, comp, of in members:
+                if minor:
+                    out.extend(made.links(node, comp, of))
+            return made
 
-        out: list[tuple[int, int]] = []
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "b1", "b2", "id", "component", "block", "text")), strict=True):
-                if r[:3] != key:
-                    if len(rows) > 1:
-                        out += found()
-                    key, rows = r[:3], []
-                rows.append(r[3:])
+            for group, number, probe, minor, node, comp, data in zip(*(batch.column(c).to_pylist() for c in SEARCHED), strict=True):
+                if (group, number) != key:
+                    if block is None and len(members) > 1 and any(m[0] for m in members):
+                        ready()
+                    key, members, block = (group, number), [], None
+                of = np.frombuffer(data, np.uint64)
+                if not probe:
+                    members.append((minor, node, comp, of))
+                elif members:
+                    block = block or ready()
+                    out += block.links(node, comp, of)
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], names=["u", "v"])
-            out = []
-        if len(rows) > 1:
-            out = found()
+            out.clear()
+        if block is None and len(members) > 1 and any(m[0] for m in members):
+            ready()
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], names=["u", "v"])
 
     return run
 
 
+def _set_bytes(k: int):
+    """A function from texts to their sorted distinct shingle hashes as bytes."""
+    powers = Powers()
+    return lambda texts: [[s.tobytes() for s in distinct_sets(texts, k, powers)]]
+
+
+def _blocks(n: str, shingles: str):
+    """The number of blocks of a group of so many classes and shingles."""
+    return F.ceil(F.greatest(F.col(n) / BLOCK_CLASSES, F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
+def _links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of rows (group, block, probe, minor, id, component), a block and its probes in one task."""
+    dealt = rows.join(sets, "id").repartition("group", "block").sortWithinPartitions("group", "block", "probe")
+    return dealt.select(*SEARCHED).mapInArrow(_search(percent), "u long, v long")
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
@@ -190,14 +198,11 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     members = own.select("id", "n_shingles", F.explode("bands").alias("bucket"))
     buckets = scratch.write(members.groupBy("bucket").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     shared = scratch.write(members.join(buckets, "bucket").select("bucket", "id", "n_shingles", "rep"))
-    texts = scratch.write(docs.join(shared.select("id").distinct(), "id", "left_semi"))
+    texts = docs.join(shared.select("id").distinct(), "id", "left_semi")
+    sets = scratch.write(map_text(texts, "text", [T.StructField("shingles", T.BinaryType())], lambda: _set_bytes(k), ["id"]))
 
-    pairs = shared.filter("id <> rep").select("id", "rep").distinct()
-    both = pairs.join(texts, "id").join(texts.select(F.col("id").alias("rep"), F.col("text").alias("rep_text")), "rep")
-    links = scratch.write(both.select("id", "rep", "text", "rep_text").mapInArrow(_confirm(k, percent), "u long, v long"))
-    component = scratch.write(connected_components(links, scratch))
-
-    component = _residual(shared, texts, component, scratch, k, percent)
+    component = scratch.write(connected_components(_stars(shared, sets, scratch, percent), scratch))
+    component = _residual(shared, sets, component, scratch, percent)
     of_class = classes.join(component, classes["rep"] == component["id"], "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     of_class = scratch.write(of_class)
     scratch.keep_only(sketch, of_class)
@@ -206,15 +211,28 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("id") == component_id, F.lit(True)).alias("kept"))
 
 
-def _residual(shared: DataFrame, texts: DataFrame, component: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+def _stars(shared: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links of the classes of buckets with the smallest id there, of sizes that allow one."""
+    sizes = shared.filter("id = rep").select("rep", F.col("n_shingles").alias("size")).distinct()
+    pairs = shared.filter("id <> rep").select("id", "rep", "n_shingles").distinct().join(sizes, "rep")
+    pairs = scratch.write(pairs.filter(100 * F.least("size", "n_shingles") >= percent * F.greatest("size", "n_shingles")).select("id", "rep", "n_shingles"))
+    hubs = scratch.write(pairs.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total")).select("rep", _blocks("n", "total").alias("blocks")))
+    members = pairs.join(hubs, "rep").select(F.col("rep").alias("group"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(False).alias("probe"), F.lit(False).alias("minor"), "id", F.col("id").alias("component"))
+    probes = hubs.select(F.col("rep").alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), F.lit(False).alias("minor"), F.col("rep").alias("id"), F.col("rep").alias("component"))
+    return scratch.write(_links(members.unionByName(probes), sets, percent))
+
+
+def _residual(shared: DataFrame, sets: DataFrame, component: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """component after the links between different components of the same bucket have been added."""
     labelled = scratch.write(shared.join(component, "id", "left").select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component")))
-    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
-    open_ = scratch.write(open_.filter("low <> high AND n > 2").select("bucket", F.ceil(F.greatest(F.col("n") / BLOCK_CLASSES, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
-    rows = labelled.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "id", "component", "block")
-    grouped = dealt.join(texts, "id").repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
-    links = grouped.select("bucket", "b1", "b2", "id", "component", "block", "text").mapInArrow(_search_blocks(k, percent), "u long, v long")
+    parts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+    open_ = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.max(F.struct("n", "component"))["component"].alias("largest"))
+    open_ = scratch.write(open_.filter("parts > 1 AND n > 2").select("bucket", "largest", _blocks("n", "total").alias("blocks")))
+    rows = labelled.join(open_, "bucket").select(F.col("bucket").alias("group"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "blocks", (F.col("component") != F.col("largest")).alias("minor"), "id", "component")
+    rows = scratch.write(rows)
+    members = rows.select("group", "block", F.lit(False).alias("probe"), "minor", "id", "component")
+    probes = rows.filter("minor AND blocks > 1").select("group", F.explode(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block"))).alias("block"), F.lit(True).alias("probe"), "minor", "id", "component")
+    links = _links(members.unionByName(probes), sets, percent)
     more = scratch.write(links.distinct())
     if more.isEmpty():
         return component
