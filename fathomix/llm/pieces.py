@@ -8,18 +8,25 @@ positions from which a piece can still start converge on one boundary.
 
 Where no piece of the model holds two neighbours of a kind (checked on loading, such as a letter and a
 space after it), all paths converge between any two of that kind; the stretches between such boundaries
-are looked up in a bounded memo.
+are encoded by the same walk, and the ids of short ones are kept in a bounded cache.
 
 Characters that are no piece become byte pieces.  U+2581 reads as a space, as in the model's own
-normalisation; all other texts decode to themselves.  Null and empty texts have no ids.
+normalisation; all other texts decode to themselves.
+
+Defined cases: null and empty texts have no ids, and they round-trip; very long texts, also without any
+space, are encoded whole, in a window of the same size; rows that repeat an id or a text are encoded row by row; an
+empty table gives no rows; kept columns named like a result give way to it, others pass through; a null
+list of ids decodes to null and an empty one to the empty text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from string import punctuation
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +36,7 @@ from fathomix.llm.arrow import map_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Stretches of up to so many characters are remembered, so many of them twice: a full memo becomes the older one.
+#: Stretches of up to so many characters are remembered, and so many of them.
 MEMO_CHARS, MEMO_SIZE = 32, 100_000
 #: Pairs of pieces whose verdict is remembered.
 PAIRS = 200_000
@@ -65,6 +72,27 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class Cache(dict):
+    """Ids of stretches: short ones are remembered, so many of them twice, as a full cache becomes the older one."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        found = self.older.get(part)
+        if found is None:
+            found = self.encode(part)
+            if len(part) > MEMO_CHARS:
+                return found
+        if len(self) >= MEMO_SIZE:
+            self.older = dict(self)
+            self.clear()
+        self[part] = found
+        return found
+
+
 class PieceModel:
     """A BPE piece model with byte fallback."""
 
@@ -105,8 +133,8 @@ class PieceModel:
         self.stretch = self._stretches()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.halves: dict[str, tuple[str, str] | None] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.cache = Cache(lambda part: self.ids_of(self.stream(part)))
+        self.widest = 0  # positions that a window held at most
 
     def _stretches(self) -> re.Pattern:
         """Cuts a text where no piece can lie across: before spaces, around line breaks, and between
@@ -178,60 +206,38 @@ class PieceModel:
 
     def stream(self, chars: str, stride: int = STRIDE) -> Iterator[str]:
         """The pieces of a text, each as soon as its end is certain."""
-        ids, longest, lengths, follows = self.ids, self.longest, self.lengths, self.follows
+        ids, longest, lengths, pairs, follows = self.ids, self.longest, self.lengths, self.pairs, self.follows
         base = 0  # the last committed boundary
         last: list[str | None] = [None]  # last[i - base]: the piece that ends at i
-        n = len(chars)
-        for i in range(1, n + 1):
-            room = i - base
-            for size in lengths.get(chars[i - 2 : i], ()) if room > 1 else ():
-                if size <= room:
-                    piece = chars[i - size : i]
-                    if piece in ids and follows(last[room - size], piece):
-                        last.append(piece)
-                        break
-            else:
-                last.append(chars[i - 1])
-            if i == n or i % stride == 0:
-                open_ = {i} if i == n else set(range(max(base, i - longest + 1), i + 1))
-                while len(open_) > 1:
-                    j = max(open_)
-                    open_.remove(j)
-                    open_.add(j - len(last[j - base]) if j > base else base)
-                boundary = open_.pop()
-                out, j = [], boundary
-                while j > base:
-                    out.append(last[j - base])
-                    j -= len(out[-1])
-                yield from reversed(out)
-                last, base = last[boundary - base :], boundary
-
-    def short(self, chars: str) -> list[str]:
-        """The pieces of a stretch that one window holds: as stream(), with one boundary, at the end."""
-        ids, lengths, pairs, follows = self.ids, self.lengths, self.pairs, self.follows
-        last: list[str | None] = [None]
-        for i in range(1, len(chars) + 1):
-            if i > 1:
-                for size in lengths.get(chars[i - 2 : i], ()):
-                    if size <= i:
+        n, i = len(chars), 0
+        while i < n:
+            for i in range(i + 1, min(n, i + stride) + 1):
+                room = i - base
+                for size in lengths.get(chars[i - 2 : i], ()) if room > 1 else ():
+                    if size <= room:
                         piece = chars[i - size : i]
                         if piece in ids:
-                            before = last[i - size]
+                            before = last[room - size]
                             ok = pairs.get((before, piece))
-                            if ok is None:
-                                ok = follows(before, piece)
-                            if ok:
+                            if follows(before, piece) if ok is None else ok:
                                 last.append(piece)
                                 break
                 else:
                     last.append(chars[i - 1])
-            else:
-                last.append(chars[0])
-        out, j = [], len(chars)
-        while j:
-            out.append(last[j])
-            j -= len(out[-1])
-        return out[::-1]
+            # Of all positions from which a piece can still start, the paths are followed back to where they meet.
+            open_ = {i} if i == n else set(range(max(base, i - longest + 1), i + 1))
+            while len(open_) > 1:
+                j = max(open_)
+                open_.remove(j)
+                open_.add(j - len(last[j - base]) if j > base else base)
+            boundary = open_.pop()
+            out, j = [], boundary
+            while j > base:
+                out.append(last[j - base])
+                j -= len(out[-1])
+            yield from reversed(out)
+            self.widest = max(self.widest, len(last))
+            last, base = last[boundary - base :], boundary
 
     def ids_of(self, pieces) -> tuple[int, ...]:
         out: list[int] = []
@@ -246,22 +252,7 @@ class PieceModel:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        out: list[int] = []
-        memo, older = self.memo, self.older
-        for part in self.stretch.findall(SPACE + text.replace(" ", SPACE)):
-            found = memo.get(part)
-            if found is None:
-                found = older.get(part)
-                if found is None:
-                    if len(part) > MEMO_CHARS:
-                        out += self.ids_of(self.stream(part))
-                        continue
-                    found = self.ids_of(self.short(part))
-                if len(memo) >= MEMO_SIZE:
-                    self.older, self.memo = older, memo = memo, {}
-                memo[part] = found
-            out += found
-        return out
+        return list(chain.from_iterable(map(self.cache.__getitem__, self.stretch.findall(SPACE + text.replace(" ", SPACE)))))
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
@@ -301,9 +292,13 @@ def encode_pieces(docs: DataFrame, text: str = "text", keep: list[str] | None =
 
         def run(texts: pa.Array) -> list:
             rows = texts.to_pylist()
-            ids = [m.encode(t) for t in rows]
-            same = [m.decode(i) == (t or "").replace(SPACE, " ") for i, t in zip(ids, rows, strict=True)]
-            return [ids, same]
+            limits, flat, same = [0], [], []
+            for t in rows:
+                ids = m.encode(t)
+                flat += ids
+                limits.append(len(flat))
+                same.append(m.decode(ids) == (t or "").replace(SPACE, " "))
+            return [pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(np.array(flat, np.int32))), same]
 
         return run
 
