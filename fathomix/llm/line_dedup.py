@@ -80,13 +80,14 @@ def _leaves(rows: DataFrame, match: float) -> DataFrame:
     """rows (line, check, words) with n and, for each path of a line, path and leaf."""
     split = rows.filter(~F.startswith("words", F.lit(" "))).withColumn("tokens", F.split("words", " ")).withColumn("n", F.size("tokens"))
     split = split.filter((F.col("n") >= SHORT) | (match * F.col("n") <= F.col("n") - 1))
-    n, t, path = F.col("n"), F.col("tokens"), F.col("path")
+    n, path, depth, start = map(F.col, ("n", "path", "depth", "start"))
     each = split.select(*rows.columns, "n", "tokens", F.explode(F.sequence(F.lit(0), F.when(n >= SHORT, PATHS - 1).otherwise(n - 1))).alias("path"))
-    depth = F.greatest(F.lit(3), F.least(F.lit(5), F.shiftright(n, 2)))
-    start = F.when(n >= SHORT, F.floor(path * (n - depth) / (PATHS - 1)).cast("int")).otherwise(path)
-    each = each.withColumn("depth", depth).withColumn("start", start)
-    lead = F.when(n >= SHORT, F.slice(t, F.col("start") + 1, F.col("depth"))).otherwise(F.concat(F.slice(t, 1, path), F.slice(t, path + 2, F.lit(SHORT))))
-    return each.select(*rows.columns, "n", "path", F.xxhash64("n", "start", lead).alias("leaf"))
+    each = each.withColumn("depth", F.greatest(F.lit(3), F.least(F.lit(5), F.shiftright("n", 2))))
+    each = each.withColumn("start", F.when(n >= SHORT, F.floor(path * (n - depth) / (PATHS - 1)).cast("int")).otherwise(path))
+    # The tokens in a row from start on, or of a short line all but the one at its path; null beyond them.
+    place = lambda i: F.when(n >= SHORT, F.when(depth > i, start + i)).when(path <= i, i + 1).otherwise(i)
+    leaf = F.xxhash64("n", "start", *(F.get("tokens", place(i)) for i in range(SHORT - 2)))
+    return each.select(*rows.columns, "n", "path", leaf.alias("leaf"))
 
 
 def _templates(lines: DataFrame, once: DataFrame, scratch: Scratch, min_texts: int, match: float) -> DataFrame:
@@ -137,8 +138,14 @@ def recurring_lines(lines: DataFrame, texts: DataFrame, scratch: Scratch, min_te
 
 def _sequences(text: Column) -> Column:
     """Different hashes of each SHINGLE words in a row; of all words if there are fewer."""
-    of = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))), lambda i: F.hash(F.slice(w, i, SHINGLE)))
-    return F.array_distinct(F.transform(F.array(F.split(_plain(F.lower(text)), " ")), of)[0])
+    rest = lambda x, k: F.slice(x, k + 1, F.greatest(F.size(x) - k, F.lit(0)))
+    both = lambda x, y: F.filter(F.zip_with(x, y, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))), lambda h: h.isNotNull())
+    bound = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  # x is evaluated once
+    # Hashes of 2, 4 and then 5 words in a row.
+    fives = lambda w: bound(both(w, rest(w, 1)), lambda two: bound(both(two, rest(two, 2)), lambda four: both(four, rest(w, 4))))
+    of = lambda w: F.when(F.size(w) < SHINGLE, F.array(F.xxhash64(w))).otherwise(fives(w))
+    words = F.split(_plain(F.lower(text)), " ")
+    return F.array_distinct(bound(F.transform(words, lambda x: F.xxhash64(x)), of))
 
 
 def _long_lines(lines: DataFrame, counted: DataFrame, texts: DataFrame, scratch: Scratch, min_texts: int) -> DataFrame:
