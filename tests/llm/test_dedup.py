@@ -98,6 +98,35 @@ def test_near_in_small_blocks(spark, monkeypatch):
     assert as_dict(near_dedup.near_groups(df)) == brute_components(rows)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_near_search_finds_each_merger(seed):
+    """Blocks, with probes from others, against all pairs of different components."""
+    np.seterr(over="ignore")
+    r = random.Random(seed)
+    texts = _family(60, words=60, seed=seed) + _chain(40, seed=seed)
+    sets = near_dedup.distinct_sets(pa.array(texts), 5, Powers())
+    comp = [r.randrange(12) for _ in texts]
+    largest = collections.Counter(comp).most_common(1)[0][0]
+    blocks = 4
+    rows = [(1, i % blocks, False, comp[i] != largest, i, comp[i], s.tobytes()) for i, s in enumerate(sets)]
+    rows += [(1, b, True, True, i, comp[i], s.tobytes()) for i, s in enumerate(sets) if comp[i] != largest for b in range(blocks) if b != i % blocks]
+    rows.sort(key=lambda x: (x[:3], x[4]))
+    batches = [pa.RecordBatch.from_pylist([dict(zip(near_dedup.SEARCHED, x, strict=True)) for x in rows[a : a + 50]]) for a in range(0, len(rows), 50)]
+
+    def merged(links):
+        root = list(range(12))
+        for u, v in links:
+            a, b = root[comp[u]], root[comp[v]]
+            root = [a if x == b else x for x in root]
+        return [min(i for i in range(12) if root[i] == x) for x in root]
+
+    found = [(x["u"], x["v"]) for b in near_dedup._search(85)(iter(batches)) for x in b.to_pylist()]
+    of = [shingle_set(t) for t in texts]
+    every = [(i, j) for i in range(len(of)) for j in range(i) if 100 * len(of[i] & of[j]) >= 85 * len(of[i] | of[j])]
+    assert set(map(frozenset, found)) <= set(map(frozenset, every))
+    assert merged(found) == merged(every)
+
+
 def test_near_edges(edges, no_docs):
     found = near_dedup.near_groups(edges).collect()
     assert len(found) == 10
@@ -110,19 +139,24 @@ def test_near_edges(edges, no_docs):
 
 
 def test_sketch_recall():
-    """Pairs at the threshold share a band nearly always."""
+    """Pairs at the threshold share a band nearly always: those of the query, and those of the pipeline at 0.8."""
     r = random.Random(4)
     np.seterr(over="ignore")
-    sketch = near_dedup.sketcher(5, near_dedup.BANDS, near_dedup.ROWS)
-    missed = 0
-    for _ in range(150):
-        base = [f"t{r.randrange(10**7)}" for _ in range(300)]
-        other = list(base)
-        for at in r.sample(range(0, 295, 6), 4):
-            other[at] = f"u{r.randrange(10**7)}"
-        bands = sketch(pa.array([" ".join(base), " ".join(other)]))[3].to_pylist()
-        missed += not set(bands[0]) & set(bands[1])
-    assert missed == 0
+    for percent, bands in ((85, near_dedup.BANDS), (80, 36)):
+        sketch = near_dedup.sketcher(5, bands, near_dedup.ROWS)
+        missed, least = 0, 1.0
+        for _ in range(400):
+            # n shingles, of which each word changed far from others takes 5: (n - 5 m) / (n + 5 m) at the threshold.
+            n, m = 370, 6 if percent == 85 else 8
+            base = [f"t{r.randrange(10**7)}" for _ in range(n + 4)]
+            other = list(base)
+            for at in r.sample(range(5, n - 5, 6), m):
+                other[at] = f"u{r.randrange(10**7)}"
+            a, b = shingle_set(" ".join(base)), shingle_set(" ".join(other))
+            least = min(least, len(a & b) / len(a | b))
+            found = sketch(pa.array([" ".join(base), " ".join(other)]))[3].to_pylist()
+            missed += not set(found[0]) & set(found[1])
+        assert missed == 0 and percent <= 100 * least < percent + 1
 
 
 def test_components(spark):

@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fathomix.llm import queries
+from fathomix.llm import pieces, queries
 from helpers import assert_same, connect
-from llm.test_dedup import brute_components
+from llm.test_dedup import brute_components, brute_tree
 from llm.test_texts import brute_contamination
 
 
@@ -43,9 +43,34 @@ def test_stages(spark, data, docs):
     assert ids.filter("NOT round_trip").count() == 0
 
 
-def test_run(spark, data):
+def test_run_matches_brute_force(spark, data, docs):
+    """All stages after the classifier, whose decisions the query gives, on plain Python."""
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
+    toxic = {r.doc_id for r in queries.op2_toxicity(spark, data).filter("predicted = 1").collect()}
+    rows = brute_tree([(r.doc_id, r.text) for r in docs.collect() if r.doc_id not in toxic])
+    one = {c for _, c in brute_components(rows.items(), 80).values()}
+    rows = {i: t for i, t in rows.items() if i in one}
+    bench = [tuple(r) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()]
+    hits = brute_contamination(rows.items(), bench)
     out = corpus_pipeline.run(spark, data)
-    assert out.columns == ["doc_id", "ids", "n_ids", "round_trip"] and out.count() == out.select("doc_id").distinct().count() > 50
+    assert out.columns == ["doc_id", "ids", "n_ids", "round_trip"]
+    found = {r.doc_id: r for r in out.collect()}
+    assert set(found) == {d for d, (n, h, _) in hits.items() if not (h and 20 * h >= n)} and len(found) > 50
+    for d, r in found.items():
+        assert r.round_trip and r.n_ids == len(r.ids)
+        if not hits[d][1]:
+            assert r.ids == (library.encode(rows[d]) if rows[d] else [])
+
+
+def test_stages_keep_clashing_columns(spark, data, docs):
+    """Extra columns named like those that operators use come through every stage but the last."""
+    names = ("score", "__score", "places", "line", "component_id", "kept", "items", "n_words", "shingles", "__doc", "doc", "row", "ids")
+    wide = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, data)
+        assert out.columns == wide.columns, name
+        assert out.select(*names).distinct().collect() == [tuple(range(len(names)))], name
+    assert corpus_pipeline.encode(spark, wide, data).columns == ["doc_id", "ids", "n_ids", "round_trip"]
 
 
 def test_run_on_odd_documents(spark, tmp_path, edges, data):
