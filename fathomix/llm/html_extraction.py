@@ -4,15 +4,18 @@ A page becomes a tree of block elements with runs of text as leaves.  Each node
 features give a potential of its own, and each parent and child share one that depends on the kind of
 the child.  Messages are passed up from the leaves and down from the root (sum-product), all pages of a
 slice at once by depth, which gives exact marginals.  Weights maximise the conditional likelihood of
-labelled pages, which are made here in varied layouts; the trained model has a fixed size.
+labelled pages, which are made here in varied layouts; the trained model has a fixed size.  No list of
+names decides: words of classes, ids and roles are hashed features, and in half of the training pages
+names tell nothing, so that element kinds, position in the tree and links must do.
 
 A run is kept if its marginal is 0.5 or more.  Runs are blocks: character references are decoded, white
 space becomes one space, ends are trimmed, and blocks are joined by an empty line in page order.  Text
 of scripts, styles, titles, templates and form controls is never content.
 
 Defined cases: null, empty and textless pages give the empty text; a page that is plain text is read as
-one block; unclosed or wrongly nested elements are read leniently; rows that repeat an id are extracted
-row by row; other columns are ignored.
+one block; unclosed or wrongly nested elements are read leniently, in time in proportion to the page, and a tag
+that the page's end cuts off is dropped; elements nested deeper than 512 count as children of the one there; rows that repeat an id are extracted
+row by row; an empty table gives no rows; other columns are ignored, and one with the name of the text gives way to it.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ from pyspark.sql import types as T
 
 from fathomix.llm.arrow import map_text
 from fathomix.llm.html_pages import MARK, labelled_pages
-from fathomix.llm.html_tree import FEATURES, Tree, parse
+from fathomix.llm.html_tree import FEATURES, N_FEATURES, Tree, parse
 
-TRAINING_PAGES = 400
+TRAINING_PAGES = 1200
 KEEP = 0.5
 
 
@@ -95,7 +98,7 @@ def labels(tree: Tree) -> np.ndarray:
     return out
 
 
-def fit(pages: list[str], rounds: int = 150, l2: float = 0.002) -> Model:
+def fit(pages: list[str], rounds: int = 200, l2: float = 0.0003) -> Model:
     """A model of pages whose elements carry MARK attributes."""
     trees = [parse(p, MARK) for p in pages]
     forest = Forest(trees)
@@ -105,12 +108,12 @@ def fit(pages: list[str], rounds: int = 150, l2: float = 0.002) -> Model:
     seen = np.zeros((2, 2, 2))
     parents = np.where(child, forest.parent, 0)
     np.add.at(seen, (forest.run[child], y[parents[child]].astype(int), y[child].astype(int)), 1)
-    theta = np.zeros(len(FEATURES) + 8)
+    theta = np.zeros(N_FEATURES + 8)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
         model = Model(theta[:-8], theta[-8:].reshape(2, 2, 2))
         p, joint = marginals(forest, model)
-        by_feature = np.bincount(forest.feature, (p - y)[forest.owner], len(FEATURES))
+        by_feature = np.bincount(forest.feature, (p - y)[forest.owner], N_FEATURES)
         expected = np.stack([joint[child & (forest.run == k)].sum(axis=0) for k in (0, 1)])
         grad = np.concatenate([by_feature, (expected - seen).ravel()]) / len(pages) + l2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from dataclasses import dataclass, field
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: A value in quotes may hold ">"; a quote elsewhere is a character like others.  What is open at the end of a page ends there.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)(?:>|(\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Element names by their role in HTML.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-DEAD = frozenset("head template svg math select button object canvas audio video datalist".split())
+DEAD = frozenset("head template svg select button canvas audio video datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var math mi mn mo ms mspace mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd semantics annotation".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 #: An opening element closes an open one of these, looked for up to one of those.
 IMPLIED = {
@@ -27,11 +29,13 @@ IMPLIED = {
     "body": (frozenset(["head"]), frozenset(["body"])),
 }
 TAGS = tuple("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption nav header footer aside form fieldset address menu details dialog".split())
-BAD_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright discuss disqus footer form gdpr header legal links login masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted promotion register related replies reply reader respond rss search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
-GOOD_NAMES = frozenset("article articlebody body content entry main news page post story text".split())
-ROLES = {"navigation": "bad", "banner": "bad", "contentinfo": "bad", "complementary": "bad", "search": "bad", "form": "bad", "dialog": "bad", "alert": "bad", "main": "good", "article": "good"}
+#: The names of classes, ids and roles are features by a hash of each of their words, so that their weights are learnt.
+NAME_BUCKETS = 4096
+#: Deeper elements become children of the deepest, as browsers do it.
+MAX_DEPTH = 512
 
-FEATURES = {name: i for i, name in enumerate([*(f"tag {t}" for t in TAGS), "tag other", "name bad", "name good", "role bad", "role good", "hidden", "run", *(f"run words {k}" for k in range(5)), *(f"run links {k}" for k in range(3)), "run ends", "run first letter", *(f"links {k}" for k in range(3)), *(f"words {k}" for k in range(5)), "root"])}
+FEATURES = {name: i for i, name in enumerate([*(f"tag {t}" for t in TAGS), "tag other", "hidden", "run", *(f"run words {k}" for k in range(5)), *(f"run links {k}" for k in range(3)), "run ends", "run first letter", *(f"links {k}" for k in range(3)), *(f"words {k}" for k in range(5)), "root"])}
+N_FEATURES = len(FEATURES) + NAME_BUCKETS
 
 
 @dataclass
@@ -48,6 +52,8 @@ class Tree:
     marks: list[str | None] = field(default_factory=lambda: [None])
 
     def add(self, parent: int, features: list[int], dead: bool) -> int:
+        if self.depth[parent] >= MAX_DEPTH:
+            parent = self.parent[parent]
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1)
         self.features.append(features)
@@ -70,14 +76,8 @@ def element_features(tag: str, attributes: str) -> list[int]:
     out = [FEATURES.get(f"tag {tag}", FEATURES["tag other"])]
     for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id"):
-            names = {x.lower() for x in NAME.findall(value)}
-            if names & BAD_NAMES:
-                out.append(FEATURES["name bad"])
-            if names & GOOD_NAMES:
-                out.append(FEATURES["name good"])
-        elif name == "role" and value.lower() in ROLES:
-            out.append(FEATURES[f"role {ROLES[value.lower()]}"])
+        if name in ("class", "id", "role"):
+            out += (len(FEATURES) + zlib.crc32(x.lower().encode()) % NAME_BUCKETS for x in NAME.findall(value))
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             out.append(FEATURES["hidden"])
     return list(dict.fromkeys(out))
@@ -86,14 +86,25 @@ def element_features(tag: str, attributes: str) -> list[int]:
 def parse(page: str | None, mark: str | None = None) -> Tree:
     """The tree of a page.  Unclosed, unopened and wrongly nested elements are read leniently.
 
-    ``mark``: an attribute of training pages whose value is noted for each element.
+    ``mark``: an attribute of training pages whose value is noted for each element.  The places of open
+    elements are kept by name, so that the time is in proportion to the page, whatever stays open.
     """
     tree = Tree()
     if not page:
         return tree
     stack: list[tuple[str, int]] = [("", 0)]
+    open_: dict[str, list[int]] = {}
     pieces: list[tuple[str, bool]] = []
-    links = 0
+
+    def linked() -> bool:
+        return bool(open_.get("a"))
+
+    def push(tag: str, node: int) -> None:
+        open_.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node))
+
+    def highest(names: frozenset[str]) -> int:
+        return max((open_[t][-1] for t in names if open_.get(t)), default=0)
 
     def flush() -> None:
         nonlocal pieces
@@ -114,34 +125,33 @@ def parse(page: str | None, mark: str | None = None) -> Tree:
         pieces = []
 
     def close(names: frozenset[str], up_to: frozenset[str] = frozenset()) -> None:
-        nonlocal links
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                if any(t not in INLINE for t, _ in stack[k:]):
-                    flush()
-                links -= sum(t == "a" for t, _ in stack[k:])
-                del stack[k:]
-                return
-            if stack[k][0] in up_to:
-                return
+        k = highest(names)
+        if not k or k < highest(up_to):
+            return
+        if any(t not in INLINE for t, _ in stack[k:]):
+            flush()
+        while len(stack) > k:
+            open_[stack.pop()[0]].pop()
 
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
         end = m.start() if m else n
         if end > at:
-            pieces.append((html.unescape(page[at:end]), links > 0))
+            pieces.append((html.unescape(page[at:end]), linked()))
         if not m:
             break
         at = m.end()
-        closing, tag, attributes = m.groups()
+        closing, tag, attributes, cut = m.groups()
         if tag is None:
             if m.group().startswith("<![CDATA["):
-                pieces.append((m.group()[9:].removesuffix("]]>"), links > 0))
+                pieces.append((m.group()[9:].removesuffix("]]>"), linked()))
             continue
+        if cut is not None:
+            break
         tag = tag.lower()
         if closing:
-            if tag == "p" and not any(t == "p" for t, _ in stack):
+            if tag == "p" and not open_.get("p"):
                 flush()
             close(frozenset([tag]))
         elif tag in RAW:
@@ -156,8 +166,7 @@ def parse(page: str | None, mark: str | None = None) -> Tree:
         elif tag in INLINE:
             if tag == "a":
                 close(frozenset(["a"]), frozenset("td th table div p li".split()))
-                links += 1
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
         else:
             flush()
             if tag in CLOSES_P:
@@ -167,7 +176,7 @@ def parse(page: str | None, mark: str | None = None) -> Tree:
             node = tree.add(stack[-1][1], element_features(tag, attributes), tag in DEAD)
             if mark and (found := re.search(rf'{mark}="([^"]*)"', attributes)):
                 tree.marks[node] = found[1]
-            stack.append((tag, node))
+            push(tag, node)
     flush()
     for i in range(len(tree.parent) - 1, 0, -1):
         tree.words[tree.parent[i]] += tree.words[i]
