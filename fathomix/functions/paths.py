@@ -158,9 +158,12 @@ class IgnoreRules:
         return out
 
     def prunes(self, folder: str) -> bool:
-        """Whether a folder need not be descended into."""
+        """Whether a folder, given relative to the root, need not be descended into: all below it is ignored,
+        and no later rule takes a file back."""
         out = False
         for regex, keep in self.rules:
-            if re.match(regex, folder + "/x") and re.match(regex, folder + "/.y"):
-                out = not keep
-        return out and not any(keep for _, keep in self.rules)
+            if keep:
+                out = False  # it may bring back what lies below
+            elif re.match(regex, folder + "/x") and re.match(regex, folder + "/.y"):
+                out = True
+        return out

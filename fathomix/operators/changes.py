@@ -52,6 +52,29 @@ def coalesced(events: DataFrame, *group: str | Column, path: str = "path", ts: s
     return kept.select(out.alias("row"), "n_events").select("row.*", "n_events")
 
 
+def events_by_path(events: DataFrame, path: str = "path", ts: str = "ts", kind: str = "type", event_id: str = "id", most: int = 10_000) -> DataFrame:
+    """path, part, n_events and types: each path's event types in the order of time, in parts of at most ``most``.
+
+    A path with very many events has several rows, so no row grows without bound.
+    """
+    n = F.row_number().over(Window.partitionBy(path).orderBy(ts, event_id)) - 1
+    cut = events.withColumn("__n", n).withColumn("part", F.floor(F.col("__n") / most))
+    out = cut.groupBy(path, "part").agg(F.count(F.lit(1)).alias("n_events"), F.array_sort(F.collect_list(F.struct("__n", kind))).alias("e"))
+    return out.select(path, "part", "n_events", F.col(f"e.{kind}").alias("types"))
+
+
+def latest_events(events: DataFrame, path: str = "path", ts: str = "ts", event_id: str = "id") -> DataFrame:
+    """The last event of each path; aggregated before it shuffles."""
+    row = F.max_by(F.struct(*events.columns), F.struct(ts, event_id))
+    return events.groupBy(path).agg(row.alias("row")).select("row.*")
+
+
+def mirror(rows: DataFrame, key: str, *columns: str, deleted_at: str = "deleted_at") -> DataFrame:
+    """The searchable copy of a table: the columns of its active rows, so that inserts, updates, soft and hard
+    deletes show in it as soon as it is derived again."""
+    return active(rows, deleted_at).select(key, *columns)
+
+
 def buffer_statistics(events: DataFrame, path: str = "path", ts: str = "ts", kind: str = "type", event_id: str = "id") -> DataFrame:
     """total_events, unique_paths, coalesced_events, compression_ratio and duration_s of a set of events."""
     per = events.groupBy(path).agg(F.count(F.lit(1)).alias("n"), F.min_by(kind, F.struct(ts, event_id)).alias("a"), F.max_by(kind, F.struct(ts, event_id)).alias("b"), F.min(ts).alias("t0"), F.max(ts).alias("t1"))

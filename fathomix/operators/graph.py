@@ -16,45 +16,108 @@ def call_maps(edges: DataFrame) -> DataFrame:
     return calls.join(called, "name", "full").select("name", F.coalesce("calls", none).alias("calls"), F.coalesce("called_by", none).alias("called_by"))
 
 
-def reachable(edges: DataFrame, roots: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
-    """root, name, depth: nodes within so many steps of each root, at their least depth; cyclic if the
+def usage_map(edges: DataFrame) -> DataFrame:
+    """callee, n_callers and first_caller of every name that is called."""
+    return edges.groupBy("callee").agg(F.count_distinct("caller").alias("n_callers"), F.min("caller").alias("first_caller"))
+
+
+def neighbours(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """name, calls, called_by of a few names; the edges of other nodes are dropped before they are gathered."""
+    few = F.broadcast(names.select("name").distinct())
+    calls = edges.join(few.withColumnRenamed("name", "caller"), "caller", "left_semi")
+    called = edges.join(few.withColumnRenamed("name", "callee"), "callee", "left_semi")
+    return call_maps(calls.select("caller", "callee").unionByName(called.select("caller", "callee"))).join(few, "name", "left_semi")
+
+
+def reachable(edges: DataFrame, roots: DataFrame, depth: int | None, reverse: bool = False) -> DataFrame:
+    """root, name, depth: nodes within so many steps of each root (any number if None), at their least depth; cyclic if the
     root reaches itself.
 
-    ``roots``: a frame with the column root.  A visited set is kept as a table, so a node is expanded once
-    for each root however many paths lead to it.
+    ``roots``: a frame with the column root.  All visited nodes are one table, rewritten each round with
+    the new front, so a node is expanded once for each root however many paths lead to it, and no plan grows
+    with the rounds.  A small front is broadcast after a check of its size.
     """
-    spark = edges.sparkSession
-    scratch = Scratch(spark, "reachable")
+    scratch = Scratch(edges.sparkSession, "reachable")
     a, b = ("callee", "caller") if reverse else ("caller", "callee")
     step = scratch.write(edges.select(F.col(a).alias("name"), F.col(b).alias("next")).distinct())
-    front = scratch.write(roots.select("root", F.col("root").alias("name")).distinct())
-    seen = None
-    for d in range(1, depth + 1):
-        found = front.join(step, "name").select("root", F.col("next").alias("name")).distinct()
-        if seen is not None:
-            found = found.join(seen, ["root", "name"], "left_anti")
-        front = scratch.write(found.withColumn("depth", F.lit(d)))
-        if front.isEmpty():
+    start = roots.select("root", F.col("root").alias("name")).distinct()
+    seen = scratch.write(start.withColumn("depth", F.lit(0)).limit(0))
+    front, d, n = scratch.write(start), 0, 0
+    while depth is None or d < depth:
+        d += 1
+        met = scratch.join_small(step, front, ["name"], "inner").select("root", F.col("next").alias("name"))
+        # One shuffle tells new nodes from seen ones: a node's least depth.
+        now = scratch.write(seen.unionByName(met.withColumn("depth", F.lit(d))).groupBy("root", "name").agg(F.min("depth").alias("depth")))
+        grown = now.count()
+        scratch.drop(seen, front)
+        seen = now
+        if grown == n:
             break
-        seen = front if seen is None else seen.unionByName(front)
-    return seen if seen is not None else front.withColumn("depth", F.lit(0)).limit(0)
+        n, front = grown, scratch.write(now.filter(F.col("depth") == d).select("root", "name"))
+    return seen
 
 
-def cycles(edges: DataFrame, depth: int = 8) -> DataFrame:
-    """cycle, an array of names from its least one on: each simple cycle of at most ``depth`` edges once.
+def strong_components(edges: DataFrame) -> DataFrame:
+    """name, component (the least name of it): the nodes that lie on cycles, of whatever length.
 
-    Paths start at the least node of a cycle and never return to a node, which a recursive query states.
+    Nodes without a way in or out are cut off; the least name that reaches a node is its colour; the nodes that
+    reach their colour's own node within the colour are its component, and the search goes on without
+    them.  Each round is a table of nodes; nothing is collected.
+    """
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.write(edges.select(F.col("caller").alias("a"), F.col("callee").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct())
+    out = scratch.write(now.select(F.col("a").alias("name"), F.col("b").alias("component")).limit(0))
+    while True:
+        size = -1
+        while (left := now.count()) != size:
+            size = left
+            inner = now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+            now = scratch.write(inner.select("a", "b"))
+        if not size:
+            return out
+        colour = scratch.write(now.select(F.col("a").alias("name")).distinct().withColumn("colour", F.col("name")))
+        while True:
+            offered = now.join(colour, now["a"] == colour["name"]).select(F.col("b").alias("name"), "colour")
+            less = scratch.write(colour.unionByName(offered).groupBy("name").agg(F.min("colour").alias("colour")))
+            changed = not less.join(colour, ["name", "colour"], "left_anti").isEmpty()
+            colour = less
+            if not changed:
+                break
+        within = now.join(colour.withColumnsRenamed({"name": "a", "colour": "ca"}), "a").join(colour.withColumnsRenamed({"name": "b", "colour": "cb"}), "b").filter("ca = cb").select("a", "b")
+        within = scratch.write(within)
+        found = scratch.write(colour.filter("name = colour").select("name", F.col("colour").alias("component")))
+        size = -1
+        while (left := found.count()) != size:
+            size = left
+            back = within.join(found, within["b"] == found["name"]).select(F.col("a").alias("name"), "component")
+            found = scratch.write(found.unionByName(back).distinct())
+        out = scratch.write(out.unionByName(found))
+        gone = found.select(F.col("name").alias("a"))
+        now = scratch.write(now.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b"))
+
+
+def cycles(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """cycle, an array of names from its least one on: each simple cycle once, of any number of edges, or of
+    at most ``depth`` where that is given.
+
+    Only edges within strong components are walked.  Paths start at the least node of a cycle and never
+    return to a node; a round lengthens all of them by an edge, and the closed ones are set aside.  The
+    number of simple cycles can be exponential; strong_components tells the nodes on cycles without listing them.
     """
-    edges.select(F.col("caller").alias("a"), F.col("callee").alias("b")).distinct().createOrReplaceTempView("__cycle_edges")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE p(root, last, path, closed) AS (
-            SELECT a, b, array(a), a = b FROM __cycle_edges WHERE b >= a
-            UNION ALL
-            SELECT p.root, e.b, concat(p.path, array(p.last)), e.b = p.root
-            FROM p JOIN __cycle_edges e ON e.a = p.last
-            WHERE NOT p.closed AND e.b >= p.root AND size(p.path) < {int(depth)} AND e.b <> p.last AND (e.b = p.root OR NOT array_contains(p.path, e.b))
-        )
-        SELECT DISTINCT path AS cycle FROM p WHERE closed""")
+    scratch = Scratch(edges.sparkSession, "cycles")
+    part = strong_components(edges)
+    e = edges.select(F.col("caller").alias("a"), F.col("callee").alias("b")).distinct()
+    e = scratch.write(e.join(part.select(F.col("name").alias("a"), F.col("component").alias("ca")), "a").join(part.select(F.col("name").alias("b"), F.col("component").alias("cb")), "b").filter("ca = cb").select("a", "b"))
+    paths = scratch.write(e.filter("b >= a").select(F.col("a").alias("root"), F.array("a").alias("path"), F.col("b").alias("next")))
+    closed, n = scratch.write(paths.filter("next = root").select(F.col("path").alias("cycle"))), 1
+    while depth is None or n < depth:
+        n += 1
+        open_ = paths.filter("next <> root").select("root", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("a"))
+        paths = scratch.write(open_.join(e, "a").filter((F.col("b") == F.col("root")) | ((F.col("b") > F.col("root")) & ~F.array_contains("path", F.col("b")))).select("root", "path", F.col("b").alias("next")))
+        if paths.isEmpty():
+            break
+        closed = closed.unionByName(scratch.write(paths.filter("next = root").select(F.col("path").alias("cycle"))))
+    return closed
 
 
 def unused(names: DataFrame, edges: DataFrame) -> DataFrame:
@@ -62,7 +125,7 @@ def unused(names: DataFrame, edges: DataFrame) -> DataFrame:
     return names.select("name").distinct().join(edges.filter("caller <> callee").select(F.col("callee").alias("name")).distinct(), "name", "left_anti")
 
 
-def call_hierarchy(edges: DataFrame, root: str, depth: int = 5, reverse: bool = False) -> DataFrame:
+def call_hierarchy(edges: DataFrame, root: str, depth: int | None = 5, reverse: bool = False) -> DataFrame:
     """name, depth and has_cycle of everything that a root calls, or that calls it."""
     roots = edges.sparkSession.createDataFrame([(root,)], "root string")
     found = reachable(edges, roots, depth, reverse)

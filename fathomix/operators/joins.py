@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,11 +22,24 @@ def nearest_following(left: DataFrame, right: DataFrame, keys: list[str], at: st
     return near.groupBy("left_id").agg(F.min(F.struct(gap.alias("distance"), "right_id")).alias("m")).select("left_id", "m.right_id", "m.distance")
 
 
-def innermost_container(points: DataFrame, spans: DataFrame, keys: list[str], start: str, end: str, point_id: str, span_id: str, condition: Column | None = None) -> DataFrame:
-    """point_id, span_id: for each point the shortest span of the same keys that contains its start and end."""
+def innermost_container(points: DataFrame, spans: DataFrame, keys: list[str], start: str, end: str, point_id: str, span_id: str, width: int = 64, ends: tuple[str, str] | None = None) -> DataFrame:
+    """point_id, span_id: for each point the shortest span of the same keys that contains its start and end.
+
+    ``ends``: the columns of a span's start and end, if they have other names than a point's.  A span is listed at a level of its length, the least ``width`` * 4**level that is no shorter, in the two buckets of that width
+    that it can reach into; a point looks into its bucket of each level that occurs.  So spans and points of one group meet only
+    where they are near, and each row is repeated as often as there are levels.
+    """
     p = points.select(*keys, F.col(start).alias("ps"), F.col(end).alias("pe"), F.col(point_id).alias("point_id"))
-    s = spans.select(*keys, F.col(start).alias("ss"), F.col(end).alias("se"), F.col(span_id).alias("span_id"))
-    inside = p.join(s, keys).filter((F.col("ss") <= F.col("ps")) & (F.col("se") >= F.col("pe")))
+    a, b = ends or (start, end)
+    s = spans.select(*keys, F.col(a).alias("ss"), F.col(b).alias("se"), F.col(span_id).alias("span_id")).filter("se >= ss")
+    level = F.greatest(F.ceil(F.log(4.0, F.greatest((F.col("se") - F.col("ss")).cast("double"), F.lit(1.0)) / width)), F.lit(0)).cast("int")
+    size = lambda c: F.lit(float(width)) * F.pow(F.lit(4.0), c)
+    s = s.withColumn("level", level)
+    levels = [r[0] for r in s.select("level").distinct().collect()]  # the logarithm of the longest span at most
+    bucket = lambda c: F.floor(F.col(c) / size(F.col("level")))
+    s = s.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket("ss"), bucket("se")))))
+    p = p.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("bucket", bucket("ps"))
+    inside = p.join(s, [*keys, "level", "bucket"]).filter((F.col("ss") <= F.col("ps")) & (F.col("se") >= F.col("pe")))
     return inside.groupBy("point_id").agg(F.min(F.struct((F.col("se") - F.col("ss")).alias("n"), "span_id")).alias("m")).select("point_id", "m.span_id")
 
 
@@ -36,8 +49,8 @@ def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -> D
 
 
 def enrich(results: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """results with the columns of their documents, if any; ranked results are few and go to the documents."""
-    return docs.join(F.broadcast(results), key, "right") if set(results.columns) & set(docs.columns) == {key} else results.join(docs, key, "left")
+    """results with the columns of their documents, if any; how they meet is left to the measured sizes."""
+    return results.join(docs, key, "left")
 
 
 def cascade(parent_keys: DataFrame, child: DataFrame, key: str) -> DataFrame:

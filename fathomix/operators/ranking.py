@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomix.functions import paths as P
+from fathomix.storage import Scratch
 
 #: Priorities of symbol types.
 SYMBOL_PRIORITY = {"function": 100, "class": 95, "interface": 90, "type": 85, "method": 80, "constant": 75, "variable": 70, "property": 65, "string_literal": 30, "comment": 20, "unknown": 10}
@@ -138,7 +139,8 @@ def break_ties(results: DataFrame, query: str, ties: list[str], config: RankingC
     """results with tie_score and final score: where scores lie within the threshold of the best of their
     group, symbol type, path, language and identifier decide.
 
-    results: file_path, symbol_type, symbol_name, language, score; a list that ranking has already cut.
+    results: file_path, symbol_type, symbol_name, language, score.  Ties are looked for among the candidate
+    limit's best rows; all others follow them with a tie_score of 0 and no group.
     """
     c = config or RankingConfig()
     w = c.tie_weights
@@ -147,7 +149,11 @@ def break_ties(results: DataFrame, query: str, ties: list[str], config: RankingC
     language = F.col("language").isin(*languages) if languages else F.lit(False)
     identifier = F.lower("symbol_name").isin(*words) if words else F.lit(False)
     combined = w["symbol"] * symbol_priority(F.col("symbol_type")) + w["path"] * P.priority(F.col("file_path")) + w["language"] * F.coalesce(language.cast("int"), F.lit(0)) + w["identifier"] * F.coalesce(identifier.cast("int"), F.lit(0))
-    listed = results.withColumn("combined", combined).orderBy(F.desc("score"), *ties).limit(c.candidate_limit)
+    scratch = Scratch(results.sparkSession, "ties")
+    listed = scratch.write(results.withColumn("combined", combined).orderBy(F.desc("score"), *ties).limit(c.candidate_limit))
+    # Repeated rows count one by one: what is left of each, after the ones listed.
+    columns = results.columns
+    rest = results.exceptAll(listed.select(*columns))
     rows = listed.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), *ties, F.struct(*listed.columns).alias("row")))).alias("rows"))
     zero = F.struct(F.lit(None).cast("double").alias("head"), F.lit(0).alias("no"), F.expr("CAST(array() AS array<int>)").alias("groups"))
 
@@ -158,5 +164,6 @@ def break_ties(results: DataFrame, query: str, ties: list[str], config: RankingC
 
     grouped = rows.select(F.explode(F.arrays_zip("rows", F.aggregate("rows", zero, step, lambda a: a["groups"]).alias("groups"))).alias("x")).select("x.rows.row.*", F.col("x.groups").alias("tie_group"))
     tied = F.count(F.lit(1)).over(Window.partitionBy("tie_group")) > 1
-    out = grouped.withColumn("tie_score", F.when(tied, c.gamma * F.col("combined")).otherwise(0.0)).drop("combined")
+    out = grouped.withColumn("tie_score", F.when(tied, c.gamma * F.col("combined")).otherwise(0.0)).select(*columns, "tie_group", "tie_score")
+    out = out.unionByName(rest.select(*columns, F.lit(None).cast("int").alias("tie_group"), F.lit(0.0).alias("tie_score")))
     return out.withColumn("final_score", F.col("score") + F.col("tie_score"))

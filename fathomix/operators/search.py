@@ -8,15 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomix.functions import vectors as V
-from fathomix.operators.sparse import sparse_scores
+from fathomix.operators.sparse import index_scores, sparse_scores
+from fathomix.storage import Scratch
 
 DENSE_WEIGHT, SPARSE_WEIGHT = 0.6, 0.4
 K1, B = 1.2, 0.75
-#: What makes a query look like code.
-CODE_QUERY = re.compile(r"[{}();.:<>]|\b[A-Z][a-zA-Z0-9_]*\b|\w+\(\)|\.(ts|js|tsx|jsx)\b")
+#: Signs of code in a query, any of which is enough.
+CODE_SIGNS = {
+    "braces": re.compile(r"[{}\[\]]"),
+    "statement end": re.compile(r";"),
+    "call": re.compile(r"[A-Za-z_]\w*\s*\("),
+    "member": re.compile(r"[A-Za-z_]\w*(?:\.|::|->)[A-Za-z_]"),
+    "operator": re.compile(r"=>|==|[<>]"),
+    "capital": re.compile(r"(?<![A-Za-z0-9_])[A-Z]\w*"),
+    "file extension": re.compile(r"\.[a-z]{1,4}(?![a-z0-9])"),
+}
 WORDS = r"([\p{L}\p{N}_]+)"
 
 
+def looks_like_code(query: str) -> bool:
+    return any(sign.search(query) for sign in CODE_SIGNS.values())
+
+
 def literal_vector(vector: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in vector))
 
@@ -33,7 +46,7 @@ def top(rows: DataFrame, score: str, k: int, *ties: str) -> DataFrame:
 
 def weights_for(query: str, sparse: float = SPARSE_WEIGHT) -> tuple[float, float]:
     """(dense, sparse) weights; a query that looks like code moves 0.15 to the sparse side."""
-    w = sparse + 0.15 if CODE_QUERY.search(query) else sparse
+    w = sparse + 0.15 if looks_like_code(query) else sparse
     return max(0.0, 1 - w), w
 
 
@@ -45,8 +58,24 @@ def hybrid_search(docs: DataFrame, dense: DataFrame, query: str, query_vector: l
     docs = docs.filter(where) if where is not None else docs
     sparse = sparse_scores(docs.select(doc_id, text), text, query).select(doc_id, "sparse_score")
     scored = dense_scores(dense, vector, query_vector).select(F.col(dense_id or doc_id).alias(doc_id), "dense_score")
-    both = sparse.join(scored, doc_id).withColumn("score", dense_weight * F.col("dense_score") + sparse_weight * F.col("sparse_score"))
-    return top(both.select(doc_id, "score", "dense_score", "sparse_score"), "score", k, doc_id)
+    return _weighted(sparse.join(scored, doc_id), k, doc_id, dense_weight, sparse_weight)
+
+
+def stored_search(ids: DataFrame, vectors: DataFrame, dense: DataFrame, query: str, query_vector: list[float], k: int = 10, doc_id: str = "doc_id", dense_id: str | None = None, vector: str = "embedding", dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT, where: Column | None = None) -> DataFrame:
+    """The same from a stored index: no text is read, and of the sparse vectors only the query's buckets.
+
+    ``ids``: a row for each document, with the columns of ``where``.  A document that shares no bucket
+    has a sparse score of 0.
+    """
+    ids = (ids.filter(where) if where is not None else ids).select(doc_id)
+    scored = dense_scores(dense, vector, query_vector).select(F.col(dense_id or doc_id).alias(doc_id), "dense_score")
+    both = ids.join(scored, doc_id).join(index_scores(vectors, doc_id, query), doc_id, "left")
+    return _weighted(both.withColumn("sparse_score", F.coalesce("sparse_score", F.lit(0.0))), k, doc_id, dense_weight, sparse_weight)
+
+
+def _weighted(both: DataFrame, k: int, doc_id: str, dense_weight: float, sparse_weight: float) -> DataFrame:
+    scored = both.withColumn("score", dense_weight * F.col("dense_score") + sparse_weight * F.col("sparse_score"))
+    return top(scored.select(doc_id, "score", "dense_score", "sparse_score"), "score", k, doc_id)
 
 
 def federated(results: list[DataFrame], k: int, *ties: str) -> DataFrame:
@@ -62,30 +91,68 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORDS), 1)
 
 
+def query_terms(spark, query: str, stem=None) -> list[str]:
+    """The different words of a query, or their stems."""
+    terms = sorted(set(re.findall(r"[^\W]+", query.lower())))
+    if stem and terms:
+        terms = sorted({t for t in spark.range(1).select(stem(F.array(*map(F.lit, terms)))).first()[0]})
+    return terms
+
+
+def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stem=None) -> DataFrame:
+    """(id, term, tf, n): the words of each document, how often it holds them, and how many it holds in all.
+
+    A document without words has one row with a null term, so that it counts in the corpus.
+    """
+    tokens = words(F.col(text))
+    each = docs.select(doc_id, F.coalesce(stem(tokens) if stem else tokens, F.array().cast("array<string>")).alias("w"))
+    each = each.select(doc_id, F.size("w").alias("n"), F.explode_outer("w").alias("term"))
+    return each.groupBy(doc_id, "n", "term").agg(F.count("term").alias("tf")).select(doc_id, "term", "tf", "n")
+
+
+def corpus_statistics(posting: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """One row: the documents of a postings table, and their mean number of words."""
+    return posting.select(doc_id, "n").distinct().agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean"))
+
+
+def _bm25(tf: Column, n: Column, df: int, total: int, mean: float) -> Column:
+    idf = F.log(F.lit(1 + (total - df + 0.5) / (df + 0.5)))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / (mean or 1.0)))
+
+
+def bm25_stored(posting: DataFrame, statistics: DataFrame, query: str, k: int = 200, doc_id: str = "doc_id", stem=None) -> DataFrame:
+    """id and bm25 of the k best documents, from stored postings: only the rows of the query's words are read."""
+    terms = query_terms(posting.sparkSession, query, stem)
+    found = posting.filter(F.col("term").isin(*terms)) if terms else posting.limit(0)
+    total, mean = statistics.first()
+    counts = {r["term"]: r["count"] for r in found.groupBy("term").count().collect()}  # at most the query's words
+    score = F.lit(0.0)
+    for term, df in counts.items():
+        score = F.when(F.col("term") == term, _bm25(F.col("tf"), F.col("n"), df, total, mean)).otherwise(score)
+    return top(found.groupBy(doc_id).agg(F.sum(score).alias("bm25")), "bm25", k, doc_id)
+
+
 def bm25(docs: DataFrame, query: str, k: int = 200, doc_id: str = "doc_id", text: str = "text", stem=None) -> DataFrame:
-    """id and bm25 of the k best documents that hold a word of the query.
+    """id and bm25 of the k best documents that hold a word of the query, in one pass over the texts.
 
-    One pass sums the corpus statistics of the query's words, a row in all; one pass scores.  Nothing
-    else is shuffled.  ``stem``: a column function for each word list, such as porter().
+    Words are cut once for each text; what is stored for the second step, which needs the corpus
+    statistics, is a row of counts for each document that holds a word of the query.
+    ``stem``: a column function for each word list, such as porter().
     """
-    terms = sorted(set(re.findall(r"[^\W]+", query.lower())))
-    tokens = stem(words(F.col(text))) if stem else words(F.col(text))
-    if stem:
-        terms = sorted({t for t in docs.sparkSession.range(1).select(stem(F.array(*map(F.lit, terms)))).first()[0]})
+    terms = query_terms(docs.sparkSession, query, stem)
     if not terms:
         return docs.select(doc_id, F.lit(0.0).alias("bm25")).limit(0)
-
-    def occurrences(term: str) -> Column:
-        return F.greatest(F.size(F.filter("w", lambda x: x == term)), F.lit(0))
-
-    counted = docs.select(doc_id, tokens.alias("w")).select(doc_id, F.greatest(F.size("w"), F.lit(0)).alias("n"), *(occurrences(t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    tokens = stem(words(F.col(text))) if stem else words(F.col(text))
+    # Of a text's words, those of the query: what array_position finds is looked up once a word.
+    wanted = F.array(*map(F.lit, terms))
+    cut = docs.select(doc_id, tokens.alias("w")).select(doc_id, F.greatest(F.size("w"), F.lit(0)).alias("n"), F.filter(F.transform("w", lambda x: F.array_position(wanted, x).cast("int")), lambda p: p > 0).alias("hits"))
+    scratch = Scratch(docs.sparkSession, "bm25")
+    counted = scratch.write(cut.select(doc_id, "n", *(F.greatest(F.size("hits") - F.size(F.array_remove("hits", i + 1)), F.lit(0)).alias(f"tf{i}") for i in range(len(terms)))))
     stats = counted.agg(F.count(F.lit(1)), F.coalesce(F.avg("n"), F.lit(0.0)), *(F.count_if(F.col(f"tf{i}") > 0) for i in range(len(terms)))).first()
-    total, mean, found = stats[0], stats[1] or 1.0, stats[2:]
+    total, mean, found = stats[0], stats[1], stats[2:]
     score = F.lit(0.0)
     for i, df in enumerate(found):
-        idf = F.log(F.lit(1 + (total - df + 0.5) / (df + 0.5)))
-        tf = F.col(f"tf{i}")
-        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / mean))).otherwise(0.0)
+        score = score + F.when(F.col(f"tf{i}") > 0, _bm25(F.col(f"tf{i}"), F.col("n"), df, total, mean)).otherwise(0.0)
     return top(counted.select(doc_id, score.alias("bm25")).filter("bm25 > 0"), "bm25", k, doc_id)
 
 
@@ -94,11 +161,18 @@ def pattern_of(query: str, regex: bool = False, ignore_case: bool = False, whole
     return ("(?i)" if ignore_case else "") + (rf"\b(?:{p})\b" if whole_word else p)
 
 
-def text_search(docs: DataFrame, query: str, regex: bool = False, ignore_case: bool = False, whole_word: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, line (from 1) and context of every line with a match; documents are filtered before lines are."""
+def text_search(docs: DataFrame, query: str, regex: bool = False, ignore_case: bool = False, whole_word: bool = False, doc_id: str = "doc_id", text: str = "text", limit: int | None = None, offset: int = 0) -> DataFrame:
+    """id, line (from 1) and context of every line with a match; documents are filtered before lines are.
+
+    With a limit or an offset, a page of them in the order of id and line.
+    """
     p = pattern_of(query, regex, ignore_case, whole_word)
     found = docs.filter(F.col(text).rlike(p))
-    return found.select(doc_id, F.posexplode(F.split(text, "\n")).alias("line", "context")).filter(F.col("context").rlike(p)).withColumn("line", F.col("line") + 1)
+    out = found.select(doc_id, F.posexplode(F.split(text, "\n")).alias("line", "context")).filter(F.col("context").rlike(p)).withColumn("line", F.col("line") + 1)
+    if limit is not None or offset:
+        out = out.orderBy(doc_id, "line").offset(offset)
+        out = out.limit(limit) if limit is not None else out
+    return out
 
 
 def relevance(matches: Column, size: Column, mean_line: Column, exact: Column) -> Column:

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LOW, HIGH, BUCKETS = 3, 5, 1 << 18
-#: The same characters as functions.text.SPACE.
+#: The characters that count as white space, the same as functions.text.SPACE.
 SPACE = re.compile(r"[\t\n\x0b\x0c\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
+#: Fixed value: what is a word of the hash embedding.
 TOKEN = re.compile(r"[a-z0-9_]+|[^\s]")
 
 
@@ -40,6 +41,27 @@ def gram_counts(text: str | None, low: int = LOW, high: int = HIGH, buckets: int
     return np.unique(gram_hashes(text or "", low, high) % np.uint32(buckets), return_counts=True)
 
 
+def _batch_cells(texts: list[str | None], low: int, high: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, count) of several texts, by row and bucket."""
+    hashes = [gram_hashes(t or "", low, high) for t in texts]
+    rows = np.repeat(np.arange(len(texts), dtype=np.int64), [len(h) for h in hashes])
+    cells, counts = np.unique(rows * buckets + np.concatenate([*hashes, np.zeros(0, np.uint32)]).astype(np.int64) % buckets, return_counts=True)
+    return cells // buckets, cells % buckets, counts
+
+
+def _parts(texts: pa.Array, most: int = 1 << 20):
+    """(first, texts) of parts of about so many characters."""
+    first, part, size = 0, [], 0
+    for i, t in enumerate(texts.to_pylist()):
+        part.append(t)
+        size += len(t or "")
+        if size >= most:
+            yield first, part
+            first, part, size = i + 1, [], 0
+    if part:
+        yield first, part
+
+
 def sparse_vectors(docs: DataFrame, doc_id: str, text: str, low: int = LOW, high: int = HIGH, buckets: int = BUCKETS) -> DataFrame:
     """(id, bucket, tf, weight), one row for each bucket of each document; no shuffle."""
     kind = docs.schema[doc_id].dataType
@@ -47,10 +69,10 @@ def sparse_vectors(docs: DataFrame, doc_id: str, text: str, low: int = LOW, high
 
     def run(batches):
         for batch in batches:
-            for key, value in zip(batch.column(0), batch.column(1), strict=True):
-                b, n = gram_counts(value.as_py(), low, high, buckets)
-                if len(b):
-                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(b), batch.schema.field(0).type), pa.array(b.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(n / np.sqrt((n * n).sum()))], names=[doc_id, "bucket", "tf", "weight"])
+            for first, part in _parts(batch.column(1)):
+                row, bucket, n = _batch_cells(part, low, high, buckets)
+                norm = np.sqrt(np.bincount(row, n * n, len(part)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + first)), pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(n / norm[row])], names=[doc_id, "bucket", "tf", "weight"])
 
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
@@ -61,24 +83,28 @@ def sparse_scores(docs: DataFrame, text: str, query: str, name: str = "sparse_sc
 
     @F.pandas_udf(T.DoubleType())
     def score(texts):
+        import pandas as pd
+
         table = np.zeros(buckets)
         table[qb] = qn / max(np.sqrt((qn * qn).sum()), 1e-300)
-
-        def one(t):
-            b, n = gram_counts(t, low, high, buckets)
-            return float(table[b] @ n / np.sqrt((n * n).sum())) if len(b) else 0.0
-
-        return texts.map(one)
+        out = np.zeros(len(texts))
+        for first, part in _parts(pa.array(texts, pa.string(), from_pandas=True)):
+            row, bucket, n = _batch_cells(part, low, high, buckets)
+            dot, squared = np.bincount(row, table[bucket] * n, len(part)), np.bincount(row, n * n, len(part))
+            out[first : first + len(part)] = dot / np.sqrt(np.maximum(squared, 1))
+        return pd.Series(out)
 
     return docs.withColumn(name, score(F.lower(F.col(text))))
 
 
 def index_scores(vectors: DataFrame, doc_id: str, query: str, name: str = "sparse_score", low: int = LOW, high: int = HIGH, buckets: int = BUCKETS) -> DataFrame:
-    """(id, score) from stored vectors: the query's few buckets are broadcast, sums meet by document."""
+    """(id, score) from stored vectors: the query's few buckets are a filter that reaches the scan, sums meet by document."""
     qb, qn = gram_counts(query.lower(), low, high, buckets)
-    size = float(np.sqrt((qn * qn).sum())) or 1.0
-    q = vectors.sparkSession.createDataFrame([(int(b), float(n) / size) for b, n in zip(qb, qn, strict=True)], "bucket int, q double")
-    return vectors.join(F.broadcast(q), "bucket").groupBy(doc_id).agg(F.sum(F.col("weight") * F.col("q")).alias(name))
+    if not len(qb):
+        return vectors.select(doc_id, F.lit(0.0).alias(name)).limit(0)
+    size = float(np.sqrt((qn * qn).sum()))
+    weights = F.create_map(*(F.lit(x) for b, n in zip(qb.tolist(), qn.tolist(), strict=True) for x in (int(b), float(n) / size)))
+    return vectors.filter(F.col("bucket").isin(qb.tolist())).groupBy(doc_id).agg(F.sum(F.col("weight") * F.element_at(weights, F.col("bucket"))).alias(name))
 
 
 def compressed_rows(vectors: DataFrame, doc_id: str) -> DataFrame:

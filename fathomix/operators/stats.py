@@ -17,6 +17,59 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def table_sizes(spark: SparkSession, folders: dict[str, str], indexes: tuple[str, ...] = ()) -> DataFrame:
+    """table_name, n_rows, bytes, mean_row and index_overhead of stored tables.
+
+    Bytes are those of the files, which the file system tells without reading them; the overhead is the
+    share of the tables named as ``indexes`` in all bytes, in percent.
+    """
+    conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    sizes = []
+    for name, folder in folders.items():
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        sizes.append((name, path.getFileSystem(conf).getContentSummary(path).getLength(), name in indexes))
+    total = sum(b for _, b, _ in sizes)
+    overhead = 100.0 * sum(b for _, b, index in sizes if index) / total if total else 0.0
+    counts = table_counts({n: spark.read.parquet(f) for n, f in folders.items()})
+    known = spark.createDataFrame([(n, b) for n, b, _ in sizes], "table_name string, bytes long")
+    out = counts.join(F.broadcast(known), "table_name")
+    return out.select("table_name", "n_rows", "bytes", F.when(F.col("n_rows") > 0, F.col("bytes") / F.col("n_rows")).otherwise(0.0).alias("mean_row"), F.lit(overhead).alias("index_overhead"))
+
+
+def index_tables(indexes: DataFrame, tables: DataFrame) -> DataFrame:
+    """Each index of a catalog with its table, and whether that is there: index_name, table_name, present."""
+    known = tables.select(F.col("table_name")).distinct().withColumn("present", F.lit(True))
+    return indexes.select("index_name", "table_name").join(known, "table_name", "left").select("index_name", "table_name", F.coalesce("present", F.lit(False)).alias("present"))
+
+
+def compare_catalog(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """table_name and status (present, missing, extra) of two lists of tables."""
+    a = found.select("table_name").distinct().withColumn("a", F.lit(True))
+    b = expected.select("table_name").distinct().withColumn("b", F.lit(True))
+    both = a.join(b, "table_name", "full")
+    return both.select("table_name", F.when(F.col("a").isNull(), "missing").when(F.col("b").isNull(), "extra").otherwise("present").alias("status"))
+
+
+def alerts(samples: DataFrame, at: str, *group: str, memory_mb: float = 500, cpu_percent: float = 80, lag_ms: float = 100) -> DataFrame:
+    """samples with cpu_percent, of the time since the sample before, and alerts: which limits it exceeds.
+
+    samples: memory_mb, cpu_ms (a running total), lag_ms; ``at`` is the time of a sample in ms.  Memory of
+    half as much again as its limit is critical.
+    """
+    w = Window.partitionBy(*group).orderBy(at)
+    elapsed = F.col(at) - F.lag(at).over(w)
+    out = samples.withColumn("cpu_percent", F.when(elapsed > 0, 100.0 * (F.col("cpu_ms") - F.lag("cpu_ms").over(w)) / elapsed))
+    found = [F.when(F.col("memory_mb") > 1.5 * memory_mb, "memory critical").when(F.col("memory_mb") > memory_mb, "memory"), F.when(F.col("lag_ms") > lag_ms, "event loop"), F.when(F.col("cpu_percent") > cpu_percent, "cpu")]
+    return out.withColumn("alerts", F.array_compact(F.array(*found)))
+
+
+def first_failure(results: DataFrame, order: list[str], *group: str) -> DataFrame:
+    """ok and error of each group of results (ok, error): all are well, or the error of the first that is not."""
+    bad = ~F.coalesce(F.col("ok"), F.lit(False))
+    first = F.min_by(F.when(bad, F.coalesce("error", F.lit("unknown"))), F.when(bad, F.struct(*order)))
+    return results.groupBy(*group).agg(F.bool_and(~bad).alias("ok"), first.alias("error"))
+
+
 def storage(rows: DataFrame, size: Column, *group: str) -> DataFrame:
     """n, total_size and mean_size, which is 0 without rows."""
     return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("total_size"), F.coalesce(F.avg(size), F.lit(0.0)).alias("mean_size"))

@@ -192,7 +192,7 @@ def str04_debounce_sessions(spark, d):
 @query()
 def str08_streamed_changes(spark, d):
     """The events' changes applied batch by batch as a stream; the state of every path at the end."""
-    return streams.replay(change_events(spark, d), f"{d}/events.parquet")
+    return streams.replay(change_events(spark, d))
 
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, min(value) AS least, max(value) AS greatest, round(avg(value), 6) AS mean FROM events GROUP BY event_type")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomix.functions import text as X
-from fathomix.sources import python_parser, script_parser
+from fathomix.sources import brace_parser, python_parser, script_parser
 from fathomix.sources.schemas import PARSED
 
-PARSERS = {"python": python_parser.parse, "javascript": script_parser.parse, "typescript": script_parser.parse}
+PARSERS = {"python": python_parser.parse, "javascript": script_parser.parse, "typescript": script_parser.parse} | {name: partial(brace_parser.parse, language=name) for name in brace_parser.LANGUAGES}
 PARTS = ("symbols", "imports", "exports", "calls", "comments", "errors")
 NOTHING = {p: [] for p in PARTS}
 
@@ -75,7 +77,10 @@ def documented(comments: DataFrame, symbols: DataFrame, most: int = 5) -> DataFr
 
     c = comments.filter(F.col("kind").isin("jsdoc", "docstring")).select("file_path", F.col("line").alias("comment_line"), "text")
     s = symbols.filter(F.col("kind").isin("function", "class", "interface")).select("file_path", "name", "kind", "line")
-    near = c.join(s, "file_path").filter((F.col("line") - F.col("comment_line")).between(1, most))
+    # Rows meet in buckets of so many lines, a comment in two of them.
+    bucket = lambda x: F.floor(F.col(x) / most)
+    c = c.withColumn("__b", F.explode(F.array(bucket("comment_line"), bucket("comment_line") + 1)))
+    near = c.join(s.withColumn("__b", bucket("line")), ["file_path", "__b"]).filter((F.col("line") - F.col("comment_line")).between(1, most))
     best = F.min(F.struct((F.col("line") - F.col("comment_line")).alias("distance"), kind_rank("kind").alias("r"), "name"))
     return near.groupBy("file_path", "comment_line", "text").agg(best.alias("b")).select("file_path", "comment_line", "text", "b.name", "b.distance")
 

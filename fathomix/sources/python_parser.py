@@ -6,6 +6,8 @@ import ast
 import io
 import tokenize
 
+from fathomix.sources.script_parser import chained
+
 
 def _doc(node) -> str | None:
     return ast.get_docstring(node)
@@ -21,7 +23,7 @@ def _called(node: ast.expr) -> tuple[str | None, str | None]:
     if isinstance(node, ast.Name):
         return node.id, None
     if isinstance(node, ast.Attribute):
-        return node.attr, ast.unparse(node.value)[:200]
+        return node.attr, ast.unparse(node.value)
     return None, None
 
 
@@ -30,6 +32,7 @@ class Visitor(ast.NodeVisitor):
         self.symbols, self.imports, self.calls = [], [], []
         self.classes: list[str] = []
         self.functions: list[str] = []
+        self.seen: set[int] = set()
 
     def symbol(self, node, name, kind, **more):
         self.symbols.append({"name": name, "kind": kind, "line": node.lineno, "end_line": node.end_lineno, "exported": not name.split(".")[-1].startswith("_") and not self.functions, "modifiers": [], "extends": [], "implements": [], **more})
@@ -69,7 +72,7 @@ class Visitor(ast.NodeVisitor):
             for t in node.targets:
                 if isinstance(t, ast.Name):
                     kind = "property" if self.classes else "constant"
-                    self.symbol(node, f"{self.classes[-1]}.{t.id}" if self.classes else t.id, kind, value=ast.unparse(node.value)[:500], parent=self.classes[-1] if self.classes else None)
+                    self.symbol(node, f"{self.classes[-1]}.{t.id}" if self.classes else t.id, kind, value=ast.unparse(node.value), parent=self.classes[-1] if self.classes else None)
         self.generic_visit(node)
 
     def visit_Import(self, node):
@@ -80,12 +83,26 @@ class Visitor(ast.NodeVisitor):
         self.imports += [{"source": source, "kind": "namespace" if a.name == "*" else "named", "imported": a.name, "local": a.asname or a.name, "line": node.lineno} for a in node.names]
 
     def visit_Call(self, node):
-        name, receiver = _called(node.func)
-        if name:
-            caller = self.functions[-1] if self.functions else self.classes[-1] if self.classes else None
-            self.calls.append({"caller": caller, "callee": name, "receiver": receiver, "n_args": len(node.args) + len(node.keywords), "line": node.lineno})
+        if id(node) not in self.seen:
+            links, inner = [], node
+            while isinstance(inner, ast.Call):  # a chain is met at its last call
+                self.seen.add(id(inner))
+                links.append(self.call(inner))
+                f = inner.func
+                while isinstance(f, (ast.Attribute, ast.Subscript)):
+                    f = f.value
+                inner = f
+            self.calls += chained([x for x in links[::-1] if x])
         self.generic_visit(node)
 
+    def call(self, node) -> dict | None:
+        name, receiver = _called(node.func)
+        if not name:
+            name, receiver = "<dynamic>", ast.unparse(node.func)
+        kind = "dynamic" if name == "<dynamic>" else "method" if receiver else "constructor" if name[:1].isupper() else "function"
+        caller = self.functions[-1] if self.functions else self.classes[-1] if self.classes else None
+        return {"caller": caller, "callee": name, "receiver": receiver, "n_args": len(node.args) + len(node.keywords), "line": node.lineno, "kind": kind}
+
 
 def comments_of(text: str) -> list[dict]:
     out = []

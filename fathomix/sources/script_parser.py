@@ -18,6 +18,16 @@ NOT_CALLED = frozenset("if for while switch catch function return typeof await a
 MODIFIERS = frozenset("public private protected static async readonly abstract override get set declare accessor export default const".split())
 
 
+def chained(links: list[dict]) -> list[dict]:
+    """The calls of one chain with their place in it and their neighbours; a single call has none."""
+    many = len(links) > 1
+    for i, x in enumerate(links):
+        x["chain_position"] = i if many else None
+        x["chain_previous"] = links[i - 1]["callee"] if i else None
+        x["chain_next"] = links[i + 1]["callee"] if i + 1 < len(links) else None
+    return links
+
+
 class Token:
     __slots__ = ("end", "kind", "line", "start", "text")
 
@@ -182,9 +192,21 @@ class Parser:
         if name == "require" and self.at() == "(" and self.kind(1) == "string":
             self.imports.append({"source": self.at(1).strip("\"'"), "kind": "require", "imported": "*", "local": self.t[self.i - 3].text if self.i >= 3 and self.t[self.i - 2].text == "=" else None, "line": self.line()})
 
+    def arguments(self, opening: int) -> tuple[int, int]:
+        """(number of arguments, the token after the closing bracket) of a call whose bracket is given."""
+        end = self.closing(opening)
+        inner = self.t[opening + 1 : end - 1]
+        depth, commas = 0, 0
+        for x in inner:
+            depth += (x.text in "([{") - (x.text in ")]}")
+            commas += x.text == "," and depth == 0
+        return commas + 1 if inner else 0, end
+
     def chain(self, k: int):
-        """Notes the calls of a chain of names that starts at k."""
+        """Notes the calls of a chain of names that starts at k; what is called without a name is <dynamic>."""
         receiver: list[str] = []
+        links: list[dict] = []
+        before = self.t[k - 1].text if k else ""
         j = k
         while j < len(self.t):
             name = self.t[j].text
@@ -193,20 +215,23 @@ class Parser:
                 end = self.t[after].start + len(m.group()) - 1
                 after = next((n for n in range(after, len(self.t)) if self.t[n].start >= end), after)
             called = after < len(self.t) and self.t[after].text == "("
+            nxt = self.closing(after) if called else j + 1
             if called and name not in NOT_CALLED and name != "require":
-                end = self.closing(after)
-                inner = self.t[after + 1 : end - 1]
-                depth, commas = 0, 0
-                for x in inner:
-                    depth += (x.text in "([{") - (x.text in ")]}")
-                    commas += x.text == "," and depth == 0
-                self.calls.append({"caller": self.owner(), "callee": name.lstrip("#"), "receiver": ".".join(receiver) or None, "n_args": commas + 1 if inner else 0, "line": self.t[j].line})
+                kind = "constructor" if before == "new" and not links else "method" if receiver else "function"
+                links.append({"caller": self.owner(), "callee": name.lstrip("#"), "receiver": ".".join(receiver) or None, "n_args": self.arguments(after)[0], "line": self.t[j].line, "kind": kind})
             receiver.append(name)
-            nxt = self.closing(after) if called else j + 1
+            while nxt < len(self.t) and self.t[nxt].text in ("[", "("):
+                if self.t[nxt].text == "(" and not (called or self.t[nxt - 1].text == "]"):
+                    break
+                if self.t[nxt].text == "(":
+                    links.append({"caller": self.owner(), "callee": "<dynamic>", "receiver": ".".join(receiver), "n_args": self.arguments(nxt)[0], "line": self.t[nxt].line, "kind": "dynamic"})
+                called = True
+                nxt = self.closing(nxt)
             if nxt < len(self.t) - 1 and self.t[nxt].text in (".", "?.") and self.t[nxt + 1].kind == "name":
                 j = nxt + 1
             else:
-                return
+                break
+        self.calls += chained(links)
 
     def function(self, name, kind, line, exported, marks, parent=None):
         """From the parameters on; the body's brace is left open."""
@@ -341,7 +366,7 @@ class Parser:
             end = a
             while end < len(self.t) and self.t[end].text not in (";",) and not (end > a and self.t[end].line > self.t[end - 1].line and self.t[end].kind == "name"):
                 end = self.closing(end) if self.t[end].text in ("{", "(", "[") else end + 1
-            s = self.symbol(name, "constant", line, exported, value=self.text(a, end)[:500], modifiers=marks)
+            s = self.symbol(name, "constant", line, exported, value=self.text(a, end), modifiers=marks)
             s["end_line"] = self.t[min(end, len(self.t)) - 1].line
         elif exported:
             self.exports.append({"source": None, "kind": "named", "local": name, "exported": name, "line": line})

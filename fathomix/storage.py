@@ -28,6 +28,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file of any store that Spark reads, hidden ones too."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 class Scratch:
     """Tables that cut lineage and survive lost executors.
 

@@ -33,28 +33,46 @@ def debounced(events: DataFrame, gap: str = "500 milliseconds", late: str = "10
     return kept.select("path", F.when(created, F.col("first_id")).otherwise(F.col("last_id")).alias("id"), F.when(created, F.col("a")).otherwise(F.col("b")).alias("type"), F.when(F.col("m") | created, F.col("t0")).otherwise(F.col("t1")).alias("ts"), "n_events")
 
 
-def retryable(events: DataFrame, most: int = 3) -> DataFrame:
-    return events.filter((F.col("status") == "FAILED") & (F.col("retry_count") < most))
+def retryable(events: DataFrame, most: int = 3, first_ms: int = 1000, longest_ms: int = 30_000) -> DataFrame:
+    """Failed events that may be tried again, with the delay before the next attempt, doubled each time."""
+    out = events.filter((F.col("status") == "FAILED") & (F.col("retry_count") < most))
+    return out.withColumn("delay_ms", F.least(F.lit(first_ms) * F.pow(F.lit(2), "retry_count"), F.lit(longest_ms)).cast("long"))
 
 
 class IndexTable:
-    """The state of each path, as a table of versions; a batch writes the next version."""
+    """The state of each path, as a table of versions; a batch writes the next version.
+
+    The newest complete version is read from the folder, so a stream that starts again goes on from it.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.version: int | None = None
 
-    def read(self) -> DataFrame:
-        if self.version is None:
+    def _versions(self) -> list[int]:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        names = [s.getPath() for s in fs.listStatus(path)]
+        return sorted(int(p.getName()[1:]) for p in names if p.getName()[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    @property
+    def version(self) -> int | None:
+        return max(self._versions(), default=None)
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """The newest version, or the newest one before a number."""
+        known = [v for v in self._versions() if before is None or v < before]
+        if not known:
             return self.spark.createDataFrame([], "path string, id long, type string, ts timestamp")
-        return self.spark.read.parquet(f"{self.folder}/v{self.version}")
+        return self.spark.read.parquet(f"{self.folder}/v{known[-1]}")
 
     def apply(self, batch: DataFrame, number: int) -> None:
         """Upserts and deletes of a micro-batch.  A batch that is run again writes the same version."""
         now = coalesced(batch.select("path", "id", "type", "ts")).select("path", "id", "type", "ts")
-        kept = self.read().join(now.select("path"), "path", "left_anti")
+        kept = self.read(number).join(now.select("path"), "path", "left_anti")
         kept.unionByName(now.filter("type <> 'delete'")).write.mode("overwrite").parquet(f"{self.folder}/v{number}")
-        self.version = number
 
 
 def apply_stream(events: DataFrame, index: IndexTable, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -62,7 +80,7 @@ def apply_stream(events: DataFrame, index: IndexTable, checkpoint: str, once: bo
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def replay(events: DataFrame, path: str) -> DataFrame:
+def replay(events: DataFrame) -> DataFrame:
     """The index after a table of events has gone through apply_stream in four batches of time."""
     spark = events.sparkSession
     scratch = Scratch(spark, "replay")

@@ -72,11 +72,11 @@ def test_python_parser():
 
 
 def test_scan(spark, tree):
-    found = {r.file_path: r.language for r in files.scan(spark, tree, files.rules_of(tree)).collect()}
+    found = {r.file_path: r.language for r in files.scan(spark, tree, files.rules_of(spark, tree)).collect()}
     assert found == {"README.md": "markdown", "lib/config.py": "python", "lib/measure.js": "javascript", "src/broken.py": "python", "src/broken.ts": "typescript", "src/log.js": "javascript", "src/shapes.ts": "typescript", "blob.js": "javascript"}
-    flat = files.scan(spark, tree, files.rules_of(tree), max_depth=0)
+    flat = files.scan(spark, tree, files.rules_of(spark, tree), max_depth=0)
     assert {r.file_path: r.content is None for r in flat.collect()} == {"README.md": False, "blob.js": True}
-    assert {(r.name, r.is_folder) for r in files.listing(files.scan(spark, tree, files.rules_of(tree), extensions=[".py", ".md"])).collect()} == {("README.md", False), ("lib", True), ("src", True)}
+    assert {(r.name, r.is_folder) for r in files.listing(files.scan(spark, tree, files.rules_of(spark, tree), extensions=[".py", ".md"])).collect()} == {("README.md", False), ("lib", True), ("src", True)}
 
 
 def test_definitions(engine):
@@ -107,7 +107,7 @@ def test_files(engine):
     assert not engine.open_at("nowhere.ts", 1).first().exists
     assert engine.symbols("lib/measure.js", "function").count() == 2
     assert engine.stats().first().n_files == 8
-    assert engine.doctor().count() == 9
+    assert {r.status for r in engine.doctor().collect()} == {"present"}
     kinds = {r.chunk_type for r in engine.chunks().collect()}
     assert {"function", "method", "async_method", "constructor", "class", "property"} <= kinds
     assert {r.name for r in engine.documented().collect()} >= {"Shape"}
