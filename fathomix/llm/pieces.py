@@ -37,7 +37,7 @@ from fathomix.llm.arrow import map_text
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stretches of up to so many characters are remembered, and so many of them.
-MEMO_CHARS, MEMO_SIZE = 32, 100_000
+MEMO_CHARS, MEMO_SIZE = 32, 200_000
 #: Pairs of pieces whose verdict is remembered.
 PAIRS = 200_000
 #: Characters between two searches for a common boundary.
@@ -125,10 +125,11 @@ class PieceModel:
         self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.silent else p.encode() for i, p in enumerate(self.pieces)]
         ranks = {x: r for r, x in enumerate(sorted({self.scores[i] for i in self.ids.values()}, reverse=True))}
         self.rank = {p: ranks[self.scores[i]] for p, i in self.ids.items() if len(p) > 1}
+        # The lengths of the pieces of two characters or more that end with three (or are those two), longest first.
         ends: dict[str, set[int]] = {}
         for p in self.ids:
             if len(p) > 1:
-                ends.setdefault(p[-2:], set()).add(len(p))
+                ends.setdefault(p[-3:], set()).add(len(p))
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         self.stretch = self._stretches()
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -213,17 +214,25 @@ class PieceModel:
         while i < n:
             for i in range(i + 1, min(n, i + stride) + 1):
                 room = i - base
-                for size in lengths.get(chars[i - 2 : i], ()) if room > 1 else ():
-                    if size <= room:
-                        piece = chars[i - size : i]
+                found = chars[i - 1]
+                if room > 1:
+                    for size in lengths.get(chars[i - 3 : i], ()) if room > 2 else ():
+                        if size <= room:
+                            piece = chars[i - size : i]
+                            if piece in ids:
+                                before = last[room - size]
+                                ok = pairs.get((before, piece))
+                                if follows(before, piece) if ok is None else ok:
+                                    found = piece
+                                    break
+                    else:
+                        piece = chars[i - 2 : i]
                         if piece in ids:
-                            before = last[room - size]
+                            before = last[room - 2]
                             ok = pairs.get((before, piece))
                             if follows(before, piece) if ok is None else ok:
-                                last.append(piece)
-                                break
-                else:
-                    last.append(chars[i - 1])
+                                found = piece
+                last.append(found)
             # Of all positions from which a piece can still start, the paths are followed back to where they meet.
             open_ = {i} if i == n else set(range(max(base, i - longest + 1), i + 1))
             while len(open_) > 1:
