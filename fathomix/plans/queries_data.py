@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomix.functions.text import epoch_micros
-from fathomix.operators import changes, graph, joins, search, stats
+from fathomix.operators import changes, graph, joins, search, stats, symbols
 from fathomix.plans.queries_retrieval import paths
 from fathomix.plans.registry import query, table
+from fathomix.sources import maintenance
 from fathomix.streaming import changes as streams
 
 #: Calls between parts: each calls the ones of twice and thrice its key.
@@ -27,7 +28,9 @@ def gr02_call_maps(spark, d):
 
 @query(f"WITH {_EDGES} SELECT DISTINCT caller FROM e WHERE callee = '600'")
 def gr01_direct_callers(spark, d):
-    return edge_table(spark, d).filter("callee = '600'").select("caller").distinct()
+    edges = edge_table(spark, d).withColumn("file_path", F.lit("a"))
+    none = spark.createDataFrame([], "file_path string, name string, line int")
+    return symbols.callers(edges, none, "600").select("caller")
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, r AS (SELECT callee AS name, 1 AS depth FROM e WHERE caller = '7' UNION SELECT e.callee, depth + 1 FROM r JOIN e ON e.caller = r.name WHERE depth < 6)
@@ -53,7 +56,7 @@ def flow_edges(spark, d) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_FLOW}, p AS (SELECT caller AS root, callee AS last, [caller] AS path, caller = callee AS closed FROM f WHERE callee >= caller
-UNION ALL SELECT p.root, f.callee, list_append(p.path, p.last), f.callee = p.root FROM p JOIN f ON f.caller = p.last WHERE NOT p.closed AND f.callee >= p.root AND len(p.path) < 8 AND f.callee <> p.last AND (f.callee = p.root OR NOT list_contains(p.path, f.callee)))
+UNION ALL SELECT p.root, f.callee, list_append(p.path, p.last), f.callee = p.root FROM p JOIN f ON f.caller = p.last WHERE NOT p.closed AND f.callee >= p.root AND f.callee <> p.last AND (f.callee = p.root OR NOT list_contains(p.path, f.callee)))
 SELECT DISTINCT array_to_string(path, '>') AS cycle FROM p WHERE closed""")
 def gr04_cycles(spark, d):
     return graph.cycles(flow_edges(spark, d)).select(F.array_join("cycle", ">").alias("cycle"))
@@ -67,13 +70,18 @@ def join15_unused_functions(spark, d):
 
 @query(f"WITH {_EDGES} SELECT callee, count(DISTINCT caller) AS n_callers, min(caller) AS first_caller FROM e GROUP BY callee")
 def agg15_usage_map(spark, d):
-    return edge_table(spark, d).groupBy("callee").agg(F.count_distinct("caller").alias("n_callers"), F.min("caller").alias("first_caller"))
+    return graph.usage_map(edge_table(spark, d))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+@query("""WITH x AS (SELECT 'f' || (p_partkey % 50) AS file_path, CASE WHEN p_partkey % 9 = 0 THEN 'default' ELSE p_name END AS exported FROM part), i AS (SELECT 'f' || (l_partkey % 50) AS file_path, CASE WHEN l_quantity > 49 AND l_partkey % 50 = 7 THEN '*' ELSE p_name END AS imported FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 48)
+SELECT DISTINCT file_path, exported FROM x WHERE exported <> 'default' AND (file_path, exported) NOT IN (SELECT file_path, imported FROM i) AND file_path NOT IN (SELECT file_path FROM i WHERE imported = '*')""")
 def join14_unused_exports(spark, d):
-    """Parts that no large line of an order uses."""
-    return joins.orphans(table(spark, d, "part"), table(spark, d, "lineitem").filter("l_quantity > 49"), "p_partkey", "l_partkey").select("p_partkey", "p_name")
+    """Names of parts that files export and no large line of an order imports."""
+    k = F.col("p_partkey")
+    exports = table(spark, d, "part").select(F.concat(F.lit("f"), k % 50).alias("file_path"), F.when(k % 9 == 0, "default").otherwise(F.col("p_name")).alias("exported"))
+    lines = table(spark, d, "lineitem").filter("l_quantity > 48").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    imports = lines.select(F.concat(F.lit("f"), k % 50).alias("resolved"), F.when((F.col("l_quantity") > 49) & (k % 50 == 7), "*").otherwise(F.col("p_name")).alias("imported"))
+    return graph.unused_exports(exports, imports)
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
@@ -82,18 +90,72 @@ def join11_key_violations(spark, d):
     return joins.orphans(table(spark, d, "orders"), table(spark, d, "customer").filter("c_acctbal > 0"), "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
 
 
-@query("""SELECT name, (['definition', 'import', 'export', 'call'])[CAST(min(r) AS INT)] AS reference_type FROM (SELECT c_custkey AS name, 1 AS r FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT o_custkey, 2 FROM orders WHERE o_orderstatus = 'F'
-UNION ALL SELECT o_custkey, 3 FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT o_custkey, 4 FROM orders) GROUP BY name""")
+@query("""SELECT file_path, (['definition', 'import', 'export', 'call'])[CAST(min(r) AS INT)] AS reference_type FROM (SELECT 'c' || c_custkey AS file_path, 1 AS r FROM customer WHERE c_nationkey % 7 = 3 UNION ALL SELECT 'c' || o_custkey, 2 FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 7 = 3
+UNION ALL SELECT 'c' || o_custkey, 3 FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderkey % 5 = 3 UNION ALL SELECT 'c' || o_custkey, 4 FROM orders WHERE o_orderkey % 3 = 0) GROUP BY file_path""")
 def flt08_references(spark, d):
-    """Each customer with the first of four kinds of reference."""
-    o = table(spark, d, "orders")
-    parts = [(table(spark, d, "customer").filter("c_acctbal > 5000"), "c_custkey"), (o.filter("o_orderstatus = 'F'"), "o_custkey"), (o.filter("o_orderpriority LIKE '1%'"), "o_custkey"), (o, "o_custkey")]
-    every = None
-    for i, (df, c) in enumerate(parts):
-        one = df.select(F.col(c).alias("name"), F.lit(i).alias("r"))
-        every = one if every is None else every.unionByName(one)
-    names = F.array(*map(F.lit, ("definition", "import", "export", "call")))
-    return every.groupBy("name").agg(names[F.min("r")].alias("reference_type"))
+    """Customers as files that define, import, export or call the name n3."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    name = lambda k, m: F.concat(F.lit("n"), F.col(k) % m)
+    path = lambda k: F.concat(F.lit("c"), F.col(k)).alias("file_path")
+    defined = c.select(path("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, name("c_nationkey", 7)).otherwise(F.concat(F.lit("K."), name("c_nationkey", 7))).alias("name"))
+    imports = o.filter("o_orderstatus = 'F'").select(path("o_custkey"), name("o_orderkey", 7).alias("imported"), F.lit(None).cast("string").alias("local"))
+    exports = o.filter("o_orderpriority LIKE '1%'").select(path("o_custkey"), F.lit("x").alias("exported"), name("o_orderkey", 5).alias("local"))
+    calls = o.filter("o_orderkey % 3 = 0").select(path("o_custkey"), F.lit("n3").alias("callee"))
+    return symbols.references(defined, calls, imports, exports, "n3")
+
+
+@query("""WITH x AS (SELECT 'c' || (o_custkey % 20) AS file_path, 'f' || (o_orderkey % 30) AS caller, 'f' || (o_orderkey % 41) AS callee FROM orders), s AS (SELECT 'c' || (k % 20) AS file_path, 'f' || (k % 30) AS name, CAST(k AS INT) AS line, (['function', 'class'])[CAST(k % 2 + 1 AS INT)] AS kind FROM (SELECT c_custkey AS k FROM customer))
+SELECT c.callee, s.file_path, s.kind, CAST(s.line AS BIGINT) AS line FROM (SELECT DISTINCT callee FROM x WHERE caller = 'f7') c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY name ORDER BY kind <> 'function', file_path, line) AS n FROM s) s ON s.name = c.callee AND n = 1""")
+def join06_callees(spark, d):
+    """What the function f7 calls, with the first definition of each."""
+    return symbols.callees(_named_calls(spark, d), _named_symbols(spark, d), "f7").select("callee", "file_path", "kind", F.col("line").cast("long").alias("line"))
+
+
+@query("""WITH x AS (SELECT DISTINCT 'c' || (o_custkey % 20) AS file_path, 'f' || (o_orderkey % 30) AS caller FROM orders WHERE o_orderkey % 41 = 7), s AS (SELECT 'c' || (c_custkey % 20) AS file_path, 'f' || (c_custkey % 30) AS name, CAST(c_custkey AS INT) AS line FROM customer)
+SELECT file_path, caller, CAST(line AS BIGINT) AS line FROM (SELECT x.file_path, x.caller, min(s.line) AS line, row_number() OVER (PARTITION BY x.file_path ORDER BY min(s.line) NULLS FIRST, x.caller) AS n FROM x LEFT JOIN s ON s.file_path = x.file_path AND s.name = x.caller GROUP BY 1, 2) WHERE n = 1""")
+def join05_callers(spark, d):
+    """One caller a file of the function f7."""
+    return symbols.callers(_named_calls(spark, d), _named_symbols(spark, d), "f7", one_per_file=True).select("file_path", "caller", F.col("line").cast("long").alias("line"))
+
+
+def _named_calls(spark, d) -> DataFrame:
+    name = lambda k, m: F.concat(F.lit("f"), F.col(k) % m)
+    return table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey") % 20).alias("file_path"), name("o_orderkey", 30).alias("caller"), name("o_orderkey", 41).alias("callee"))
+
+
+def _named_symbols(spark, d) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(F.concat(F.lit("c"), k % 20).alias("file_path"), F.concat(F.lit("f"), k % 30).alias("name"), k.cast("int").alias("line"), F.when(k % 2 == 0, "function").otherwise("class").alias("kind"))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, r AS (SELECT DISTINCT caller AS a, callee AS b FROM e UNION SELECT r.a, e.callee FROM r JOIN e ON e.caller = r.b)
+SELECT x.a AS name, min(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a""")
+def gr04_nodes_on_cycles(spark, d):
+    """Parts whose calls come back to them, however many calls it takes."""
+    return graph.strong_components(edge_table(spark, d))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def join10_cascade(spark, d):
+    """Orders that are left when customers in debt are deleted."""
+    return joins.cascade(table(spark, d, "customer").filter("c_acctbal < 0").withColumnRenamed("c_custkey", "o_custkey"), table(spark, d, "orders"), "o_custkey").select("o_orderkey", "o_custkey")
+
+
+_CATALOG = "(VALUES ('region'), ('nation'), ('lost'), ('part'))"
+
+
+@query(f"SELECT coalesce(a.t, b.t) AS table_name, CASE WHEN a.t IS NULL THEN 'missing' WHEN b.t IS NULL THEN 'extra' ELSE 'present' END AS status FROM (SELECT table_name AS t FROM information_schema.tables WHERE table_name IN ('region', 'nation', 'customer', 'part', 'orders')) a FULL JOIN {_CATALOG} b(t) ON a.t = b.t")
+def join17_catalog_compare(spark, d):
+    """Tables that are there against those expected."""
+    found = spark.createDataFrame([(n,) for n in ("region", "nation", "customer", "part", "orders")], "table_name string")
+    return stats.compare_catalog(found, spark.createDataFrame([(n,) for n in ("region", "nation", "lost", "part")], "table_name string"))
+
+
+@query("SELECT 'i' || n_nationkey AS index_name, 'r' || n_regionkey AS table_name, r_regionkey IS NOT NULL AS present FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey <> 2) ON r_regionkey = n_regionkey")
+def join16_index_tables(spark, d):
+    """Nations as indexes of regions, one of which is missing."""
+    indexes = table(spark, d, "nation").select(F.concat(F.lit("i"), "n_nationkey").alias("index_name"), F.concat(F.lit("r"), "n_regionkey").alias("table_name"))
+    return stats.index_tables(indexes, table(spark, d, "region").filter("r_regionkey <> 2").select(F.concat(F.lit("r"), "r_regionkey").alias("table_name")))
 
 
 @query("""SELECT left_id, arg_min(right_id, (gap, right_id)) AS right_id, CAST(min(gap) AS BIGINT) AS distance FROM (SELECT a.event_id AS left_id, b.event_id AS right_id, floor(epoch(b.ts) / 60) - floor(epoch(a.ts) / 60) AS gap FROM events a JOIN events b ON a.user_id = b.user_id
@@ -189,12 +251,70 @@ def str04_debounce_sessions(spark, d):
     return changes.sessions(table(spark, d, "events"), "user_id", "ts", "6 hours", "event_type", "event_id")
 
 
+@query(f"""WITH {_EVENTS}, g AS (SELECT path, list({{'id': id, 'type': type, 'ts': ts}} ORDER BY ts, id) AS l FROM e GROUP BY path)
+SELECT path, l[-1].id AS id, l[-1].type AS type, l[-1].ts AS ts FROM g WHERE l[-1].type <> 'delete'""")
+def str07_latest_events(spark, d):
+    """The last change of each path that still exists."""
+    return changes.latest_events(change_events(spark, d)).filter("type <> 'delete'").select("path", "id", "type", "ts")
+
+
+@query(f"WITH {_EVENTS} SELECT path, CAST(floor(n / 5) AS BIGINT) AS part, count(*) AS n_events, string_agg(type, ',' ORDER BY n) AS types FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts, id) - 1 AS n FROM e) GROUP BY 1, 2")
+def agg14_events_by_path(spark, d):
+    """Each path's changes in order, in parts of five."""
+    out = changes.events_by_path(change_events(spark, d), most=5)
+    return out.select("path", F.col("part").cast("long").alias("part"), "n_events", F.array_join("types", ",").alias("types"))
+
+
+@query("""SELECT user_id, bool_and(event_type <> 'error') AS ok, arg_min(CASE WHEN event_type = 'error' THEN 'E' || event_id END, CASE WHEN event_type = 'error' THEN (ts, event_id) END) AS error FROM events GROUP BY user_id""")
+def agg16_first_failure(spark, d):
+    """Whether all of a user's events went well, else the first error."""
+    results = table(spark, d, "events").select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("ok"), F.concat(F.lit("E"), "event_id").alias("error"))
+    return stats.first_failure(results, ["ts", "event_id"], "user_id")
+
+
+@query("""WITH s AS (SELECT *, lag(ms) OVER w AS before, lag(cpu) OVER w AS cpu_before FROM (SELECT event_id, user_id, CAST(epoch_ms(ts) AS BIGINT) AS ms, value AS mem, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) * 100000 AS cpu, event_id % 150 AS lag FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id))
+SELECT event_id, array_to_string(list_filter([CASE WHEN mem > 90 THEN 'memory critical' WHEN mem > 60 THEN 'memory' END, CASE WHEN lag > 100 THEN 'event loop' END, CASE WHEN ms > before AND 100.0 * (cpu - cpu_before) / (ms - before) > 80 THEN 'cpu' END], lambda x: x IS NOT NULL), ',') AS alerts FROM s""")
+def str10_alerts(spark, d):
+    """Samples of each user's events beyond limits of memory, lag and processor time."""
+    total = F.sum("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")) * 100000
+    samples = table(spark, d, "events").select("event_id", "user_id", F.struct(F.floor(epoch_micros(F.col("ts")) / 1000).alias("ms"), "event_id").alias("o"), F.floor(epoch_micros(F.col("ts")) / 1000).alias("ms"), F.col("value").alias("memory_mb"), total.alias("cpu_ms"), (F.col("event_id") % 150).alias("lag_ms"))
+    return stats.alerts(samples, "ms", "user_id", memory_mb=60).select("event_id", F.array_join("alerts", ",").alias("alerts"))
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_acctbal >= 0")
+def snk13_search_mirror(spark, d):
+    """The searchable copy of customers, of which those in debt are softly deleted."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") < 0, F.lit(1)).alias("deleted_at"))
+    return changes.mirror(rows, "id", "name")
+
+
+@query("SELECT event_id, CAST(least(1000 * pow(2, event_id % 5), 30000) AS BIGINT) AS delay_ms FROM events WHERE event_type = 'error' AND event_id % 5 < 3")
+def str07_retries(spark, d):
+    """Failed events that may be tried again, and when."""
+    rows = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "error", "FAILED").otherwise("DONE").alias("status"), (F.col("event_id") % 5).cast("int").alias("retry_count"))
+    return streams.retryable(rows).select("event_id", "delay_ms")
+
+
 @query()
 def str08_streamed_changes(spark, d):
     """The events' changes applied batch by batch as a stream; the state of every path at the end."""
     return streams.replay(change_events(spark, d))
 
 
+@query("SELECT 'null' AS kind, count(*) FILTER (WHERE text IS NULL) AS n FROM documents UNION ALL SELECT 'rows', count(*) FROM documents")
+def snk15_column_statistics(spark, d):
+    """Null texts and rows of documents, of the statistics of its columns."""
+    one = maintenance.column_statistics(table(spark, d, "documents")).filter("column_name = 'text'")
+    return one.select(F.explode(F.array(F.struct(F.lit("null").alias("kind"), F.col("n_null").alias("n")), F.struct(F.lit("rows").alias("kind"), F.col("n_rows").alias("n")))).alias("x")).select("x.*")
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows, true AS has_bytes FROM {n}" for n in ("region", "part", "orders")))
+def agg05_table_sizes(spark, d):
+    """Rows of stored tables; their bytes depend on the writer."""
+    out = stats.table_sizes(spark, {n: f"{d}/{n}.parquet" for n in ("region", "part", "orders")})
+    return out.select("table_name", "n_rows", ((F.col("bytes") > 0) & (F.abs(F.col("mean_row") * F.col("n_rows") - F.col("bytes")) < 1)).alias("has_bytes"))
+
+
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, min(value) AS least, max(value) AS greatest, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def agg09_percentiles(spark, d):
     return stats.percentiles(table(spark, d, "events"), "value", "event_type").withColumn("mean", F.round("mean", 6))

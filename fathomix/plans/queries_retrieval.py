@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from fathomix.functions import paths as P
 from fathomix.functions import text as X
 from fathomix.functions import vectors as V
 from fathomix.operators import ranking, search, sparse, symbols
-from fathomix.plans.registry import query, table
+from fathomix.plans.registry import ORACLE_SQL, query, table
+from fathomix.storage import shared_folder
 
 QUERY = "the intention of this and that"
 
@@ -86,7 +89,7 @@ def join03_sparse_index(spark, d):
     return sparse.index_scores(sparse.sparse_vectors(docs, "doc_id", "text"), "doc_id", QUERY).select("doc_id", F.round("sparse_score", 6).alias("sparse_score"))
 
 
-@query()
+@query(f"WITH docs AS (SELECT doc_id, text FROM documents), {_GRAMS.replace('lower(text)', 'text')} SELECT v.doc_id, count(*) AS n_buckets, round(sum((tf / norm) * (tf / norm)), 6) AS squared FROM v JOIN n USING (doc_id) GROUP BY v.doc_id")
 def rnk05_compressed_rows(spark, d):
     """Vectors as sorted rows and back, summarised."""
     docs = table(spark, d, "documents")
@@ -132,6 +135,38 @@ def rnk12_hybrid_search(spark, d):
     return best.select("doc_id", *(F.round(c, 5).alias(c) for c in ("score", "dense_score", "sparse_score")))
 
 
+_STORED: dict[tuple, dict[str, str]] = {}
+
+
+def stored_index(spark, d) -> dict[str, DataFrame]:
+    """vectors, postings and lengths of documents, as an index keeps them: written once an application, sorted
+    by what searches look for."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        docs = table(spark, d, "documents").select("doc_id", "text")
+        folder = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+        posting = search.postings(docs)
+        tables = {
+            "vectors": (sparse.sparse_vectors(docs.withColumn("text", F.lower("text")), "doc_id", "text").select("doc_id", "bucket", "weight"), "bucket"),
+            "postings": (posting.filter("term IS NOT NULL"), "term"),
+            "lengths": (posting.select("doc_id", "n").distinct(), "doc_id"),
+        }
+        for name, (df, by) in tables.items():
+            df.repartitionByRange(by).sortWithinPartitions(by).write.parquet(f"{folder}/{name}")
+        _STORED[key] = {name: f"{folder}/{name}" for name in tables}
+    return {name: spark.read.parquet(path) for name, path in _STORED[key].items()}
+
+
+@query(f"""{_SPARSE}, dense AS (SELECT vec_id AS doc_id, {_DOT.format(a='embedding', b=_QUERY_VECTOR)} AS dense_score FROM embeddings)
+SELECT doc_id, round(0.6 * dense_score + 0.4 * coalesce(sparse_score, 0), 5) AS score, round(dense_score, 5) AS dense_score, round(coalesce(sparse_score, 0), 5) AS sparse_score
+FROM documents JOIN dense USING (doc_id) LEFT JOIN sparse USING (doc_id) ORDER BY 0.6 * dense_score + 0.4 * coalesce(sparse_score, 0) DESC, doc_id LIMIT 10""")
+def src14_stored_search(spark, d):
+    """The same from a stored index: no text is read."""
+    index = stored_index(spark, d)
+    best = search.stored_search(index["lengths"], index["vectors"], table(spark, d, "embeddings"), QUERY, _vector(spark, d), dense_id="vec_id")
+    return best.select("doc_id", *(F.round(c, 5).alias(c) for c in ("score", "dense_score", "sparse_score")))
+
+
 @query(f"""{_SPARSE}, dense AS (SELECT vec_id AS doc_id, {_DOT.format(a='embedding', b=_QUERY_VECTOR)} AS dense_score FROM embeddings)
 SELECT doc_id, round(0.45 * dense_score + 0.55 * sparse_score, 5) AS score FROM sparse JOIN dense USING (doc_id) JOIN documents USING (doc_id) WHERE lang = 'en'
 ORDER BY 0.45 * dense_score + 0.55 * sparse_score DESC, doc_id LIMIT 20""")
@@ -142,11 +177,14 @@ def rnk13_code_aware_search(spark, d):
     return best.select("doc_id", F.round("score", 5).alias("score"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+|[^\s]')) AS w FROM documents), c AS (SELECT w, [ascii(x) FOR x IN string_split(w, '')] AS u FROM (SELECT DISTINCT w FROM w)),
+h AS (SELECT w, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), [CAST(x AS BIGINT) FOR x IN u]), lambda a, x: (xor(a, x) * 16777619) & 4294967295) AS h FROM c), b AS (SELECT doc_id, h % 384 AS b, count(*) AS n FROM w JOIN h USING (w) GROUP BY 1, 2),
+f AS (SELECT doc_id, count(*) AS n_used, max(n) / sqrt(sum(n * n)) AS g FROM b GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_used, 0) AS BIGINT) AS n_used, round(coalesce(g, 0), 6) AS greatest FROM documents LEFT JOIN f USING (doc_id)""")
 def rnk08_hash_embedding(spark, d):
     """Hash embeddings of all documents, summarised."""
     e = sparse.hash_embedding(table(spark, d, "documents"), "text", 384)
-    return e.select("doc_id", F.size(F.filter("embedding", lambda x: x > 0)).alias("n_used"), F.round(F.array_max("embedding"), 6).alias("greatest"))
+    return e.select("doc_id", F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("n_used"), F.round(F.array_max("embedding"), 6).alias("greatest"))
 
 
 @query(f"""WITH a AS (SELECT 0 AS index_no, vec_id, {_DOT.format(a='embedding', b=_QUERY_VECTOR)} AS s FROM embeddings WHERE label < 5), b AS (SELECT 1 AS index_no, vec_id, {_DOT.format(a='embedding', b=_QUERY_VECTOR)} AS s FROM embeddings WHERE label >= 5)
@@ -166,6 +204,14 @@ def rnk34_bm25(spark, d):
     return search.bm25(table(spark, d, "documents"), "the intention thing ver").select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
+@query(ORACLE_SQL["rnk34_bm25"])
+def rnk34_stored_bm25(spark, d):
+    """The same from stored postings."""
+    index = stored_index(spark, d)
+    statistics = index["lengths"].agg(F.count(F.lit(1)), F.coalesce(F.avg("n"), F.lit(0.0)))
+    return search.bm25_stored(index["postings"], statistics, "the intention thing ver").select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
 def _line_search(condition: str) -> str:
     return f"SELECT * FROM (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS line, unnest(string_split(text, chr(10))) AS context FROM documents) WHERE {condition}"
 
@@ -180,6 +226,19 @@ def flt20_search_word(spark, d):
     return search.text_search(table(spark, d, "documents"), "THING", ignore_case=True, whole_word=True).withColumn("line", F.col("line").cast("long"))
 
 
+@query(_line_search("contains(context, 'thing')") + " ORDER BY doc_id, line LIMIT 20 OFFSET 15")
+def flt20_search_page(spark, d):
+    """A page of matching lines."""
+    return search.text_search(table(spark, d, "documents"), "thing", limit=20, offset=15).withColumn("line", F.col("line").cast("long"))
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {PATH_SQL.format(k='doc_id')} AS p FROM documents) WHERE (p LIKE 'src/%' OR p LIKE '%.py') AND NOT p LIKE '%test%'")
+def flt19_path_filters(spark, d):
+    """Documents by patterns of their paths, and without others."""
+    p = F.col("file_path")
+    return paths(table(spark, d, "documents")).filter(P.matches_any(p, ["src/*", "*.py"]) & ~P.matches_any(p, ["*test*"])).select("doc_id")
+
+
 @query(_line_search("regexp_matches(context, 'th[aeiou]{2}r\\w+')"))
 def flt20_search_regex(spark, d):
     return search.text_search(table(spark, d, "documents"), r"th[aeiou]{2}r\w+", regex=True).withColumn("line", F.col("line").cast("long"))
