@@ -295,7 +295,10 @@ def str07_retries(spark, d):
     return streams.retryable(rows).select("event_id", "delay_ms")
 
 
-@query()
+@query(f"""WITH {_EVENTS}, t AS (SELECT *, least(CAST(floor(4.0 * (epoch_us(ts) - lo) / greatest(1, hi - lo)) AS INT), 3) AS b FROM e, (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM e)),
+g AS (SELECT path, b, count(*) AS n, list({{'id': id, 'type': type, 'ts': ts}} ORDER BY ts, id) AS l, bool_and(type = 'modify') AS m FROM t GROUP BY path, b),
+c AS (SELECT path, b, CASE WHEN m THEN {{'id': l[-1].id, 'type': l[-1].type, 'ts': l[1].ts}} WHEN l[1].type = 'create' AND l[-1].type = 'modify' THEN l[1] ELSE l[-1] END AS r FROM g WHERE NOT (l[1].type = 'create' AND l[-1].type = 'delete' AND n > 1))
+SELECT path, r.id AS id, r.type AS type, r.ts AS ts FROM (SELECT path, arg_max(r, b) AS r FROM c GROUP BY path) WHERE r.type <> 'delete'""")
 def str08_streamed_changes(spark, d):
     """The events' changes applied batch by batch as a stream; the state of every path at the end."""
     return streams.replay(change_events(spark, d))

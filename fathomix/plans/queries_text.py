@@ -52,7 +52,11 @@ def sc07_marked_preview(spark, d):
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", X.marked_preview(F.col("text"), F.lit(3)).alias("preview"))
 
 
-@query()
+_DEDENT = r"""l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), i AS (SELECT doc_id, l, list_min([length(regexp_extract(x, '^\s*')) FOR x IN l IF regexp_matches(x, '\S')]) AS n FROM l),
+d AS (SELECT doc_id, CASE WHEN n IS NULL THEN '' ELSE regexp_replace(array_to_string([CASE WHEN length(x) >= n THEN substr(x, CAST(n + 1 AS BIGINT)) ELSE x END FOR x IN l], chr(10)), '^\s+|\s+$', '', 'g') END AS t FROM i)"""
+
+
+@query(f"WITH {_DEDENT} SELECT doc_id, sha256(t) AS chunk_hash, true AS same_indented FROM d")
 def sc08_chunk_ids(spark, d):
     """Hashes of dedented texts, which indentation does not change."""
     docs = table(spark, d, "documents").filter("text IS NOT NULL")
@@ -95,12 +99,12 @@ def src06_ignore_rules(spark, d):
 
 
 @query("""SELECT o_orderkey, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN printf('%.2f KB', floor(n / 1024.0 * 100 + 0.5) / 100) ELSE printf('%.2f MB', floor(n / 1048576.0 * 100 + 0.5) / 100) END AS size, printf('%.3f', o_totalprice) AS score, 'f' || ':' || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(4, length(CAST(o_orderkey AS VARCHAR))) AS INT), ' ') || ': ' || o_orderstatus AS match, '****' || right(o_orderpriority, 4) AS masked,
-'f:' || CAST(o_orderkey AS VARCHAR) || ':1' AS anchor, CAST(floor(least(1000.0 * pow(2, o_orderkey % 7), 30000)) AS BIGINT) AS delay, CASE o_orderstatus WHEN 'F' THEN 'unknown' ELSE 'unknown' END AS status FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders)""")
+'f:' || CAST(o_orderkey AS VARCHAR) || ':1' AS anchor, CAST(floor(least(1000.0 * pow(2, o_orderkey % 7), 30000)) AS BIGINT) AS delay, (['added', 'modified', 'deleted', 'renamed', 'copied', 'type_changed', 'unmerged', 'unknown'])[CAST(o_orderkey % 8 + 1 AS INT)] AS status FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders)""")
 def sc19_formats(spark, d):
     """Sizes, scores, matches, masked keys, anchors and delays as text."""
     o = table(spark, d, "orders")
     key = F.col("o_orderkey")
-    return o.select("o_orderkey", X.format_bytes(F.floor("o_totalprice")).alias("size"), X.format_score(F.col("o_totalprice")).alias("score"), X.format_match(F.lit("f"), key, F.col("o_orderstatus")).alias("match"), X.mask_key(F.col("o_orderpriority")).alias("masked"), X.anchor(F.lit("f"), key, F.lit(1)).alias("anchor"), X.retry_delay(key % 7 + 1).cast("long").alias("delay"), X.file_status(F.col("o_orderstatus")).alias("status"))
+    return o.select("o_orderkey", X.format_bytes(F.floor("o_totalprice")).alias("size"), X.format_score(F.col("o_totalprice")).alias("score"), X.format_match(F.lit("f"), key, F.col("o_orderstatus")).alias("match"), X.mask_key(F.col("o_orderpriority")).alias("masked"), X.anchor(F.lit("f"), key, F.lit(1)).alias("anchor"), X.retry_delay(key % 7 + 1).cast("long").alias("delay"), X.file_status(F.element_at(F.array(*map(F.lit, (" A", "M", "d", "R100", "C075", "T", "U", "?"))), (key % 8 + 1).cast("int"))).alias("status"))
 
 
 _CHUNKS = "c AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, (['function', 'method', 'class', 'property', 'generator'])[CAST(doc_id % 5 + 1 AS INT)] AS chunk_type, (['typescript', 'javascript', 'python'])[CAST(doc_id % 3 + 1 AS INT)] AS language, source AS file_id, text AS content, n_chars AS character_count, CAST(len(string_split(text, chr(10))) AS BIGINT) AS line_count FROM documents)"
@@ -127,7 +131,54 @@ def agg06_chunk_stats(spark, d):
 
 @query(f"WITH {_CHUNKS} SELECT id, chunk_type FROM c WHERE file_id = 'src3'")
 def flt12_chunks_by_file(spark, d):
-    return chunk_table(spark, d).filter("file_id = 'src3'").select("id", "chunk_type")
+    return chunks.by_file(chunk_table(spark, d).withColumn("start_line", F.col("doc_id")), "src3").select("id", "chunk_type")
+
+
+@query(f"WITH {_CHUNKS} SELECT id, chunk_type FROM c WHERE id = '7' UNION ALL SELECT id, 'left' FROM c WHERE file_id <> 'src3' OR file_id IS NULL")
+def flt12_chunk_lookup(spark, d):
+    """A chunk by its hash, and those that are left when a file's chunks are deleted."""
+    rows = chunk_table(spark, d).withColumn("chunk_hash", F.col("id"))
+    return chunks.by_hash(rows, "7").select("id", "chunk_type").unionByName(chunks.without(rows, "file_id", "src3").select("id", F.lit("left").alias("chunk_type")))
+
+
+@query(f"""WITH {_CHUNKS}, v AS (SELECT id, chunk_type, language, doc_id, line_count, CASE WHEN doc_id % 4 = 1 THEN 'x' ELSE sha256(id) END AS h FROM c)
+SELECT id, doc_id % 4 <> 1 AND doc_id % 5 <> 2 AND doc_id % 7 <> 3 AND doc_id % 11 <> 4 AS is_valid FROM v""")
+def ext27_chunk_validity(spark, d):
+    """Chunks some of which have a wrong hash, range, count of lines or name."""
+    k, n = F.col("doc_id"), F.col("line_count")
+    rows = chunk_table(spark, d).withColumns({
+        "chunk_hash": F.when(k % 4 == 1, "x").otherwise(F.sha2("id", 256)), "start_line": F.lit(10), "end_line": F.when(k % 5 == 2, F.lit(9)).otherwise(9 + n),
+        "start_byte": F.lit(0), "end_byte": F.lit(1), "line_count": F.when(k % 7 == 3, n + 1).otherwise(n), "name": F.when(k % 11 == 4, " ").otherwise("f"),
+    })
+    return chunks.with_validity(rows).select("id", "is_valid")
+
+
+@query(f"WITH {_CHUNKS}, n AS (SELECT id AS chunk_hash, content, doc_id FROM c WHERE doc_id % 3 = 0) SELECT id AS chunk_hash, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM c WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def ext28_chunk_upsert(spark, d):
+    """Chunks of even documents, into which those of every third one are stored."""
+    rows = chunk_table(spark, d).select(F.col("id").alias("chunk_hash"), F.coalesce("content", F.lit("")).alias("content"), "doc_id")
+    stored, new = rows.filter("doc_id % 2 = 0").withColumn("state", F.lit("old")), rows.filter("doc_id % 3 = 0").withColumn("state", F.lit("new"))
+    return chunks.upsert(stored, new).select("chunk_hash", "state")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand || '.' WHEN p_partkey % 3 = 1 THEN 'ns.' ELSE '' END || p_name AS qualified, trim(regexp_replace(p_name || '<b>' || chr(7) || ';' || p_brand, '[\x00-\x1F\x7F<>|;&$`\\\"'']', '', 'g')) AS clean, CASE WHEN p_partkey % 9 < 8 THEN 'transient' ELSE 'permanent' END AS category, p_partkey % 2 = 0 AS is_id FROM part")
+def sc16_names_and_checks(spark, d):
+    """Qualified names, inputs without control characters, categories of errors, and hashes that are ids."""
+    k = F.col("p_partkey")
+    none = F.lit(None).cast("string")
+    code = F.element_at(F.array(*map(F.lit, (*X.RETRYABLE_CODES, "EACCES"))), (k % 9 + 1).cast("int"))
+    qualified = X.qualified_name(F.when(k % 3 == 0, F.col("p_brand")).otherwise(F.lit("")), F.when(k % 3 < 2, F.lit("ns")).otherwise(none), F.col("p_name"))
+    value = F.when(k % 2 == 0, F.sha2("p_name", 256)).otherwise(F.upper(F.sha2("p_name", 256)))
+    return table(spark, d, "part").select("p_partkey", qualified.alias("qualified"), X.sanitise_input(F.concat("p_name", F.lit("<b>\x07;"), "p_brand")).alias("clean"), X.error_category(code).alias("category"), X.is_chunk_id(value).alias("is_id"))
+
+
+@query("SELECT p_partkey, true AS same, true AS differs, 16 AS size FROM part")
+def sc11_semantic_hashes(spark, d):
+    """Hashes that comments and white space do not change, and that code does."""
+    body = F.concat(F.lit("return "), "p_name", F.lit(";"))
+    noisy = F.concat(F.lit("// note\n  return  "), "p_name", F.lit("; /* why */"))
+    hash_of = lambda b: X.semantic_hash(F.col("p_brand"), b)
+    return table(spark, d, "part").select("p_partkey", (hash_of(body) == hash_of(noisy)).alias("same"), (hash_of(body) != hash_of(F.concat(body, F.lit("x")))).alias("differs"), F.length(hash_of(body)).alias("size"))
 
 
 @query("SELECT text AS content FROM documents GROUP BY text HAVING count(DISTINCT lang) > 1")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fathomix.functions.text import epoch_micros
 from fathomix.operators.changes import coalesced
 from fathomix.storage import Scratch
 
@@ -80,11 +81,17 @@ def apply_stream(events: DataFrame, index: IndexTable, checkpoint: str, once: bo
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def replay(events: DataFrame) -> DataFrame:
-    """The index after a table of events has gone through apply_stream in four batches of time."""
+def replay(events: DataFrame, batches: int = 4) -> DataFrame:
+    """The index after a table of events has gone through apply_stream in batches of equal spans of event time."""
     spark = events.sparkSession
     scratch = Scratch(spark, "replay")
-    events.select("path", "id", "type", "ts").repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{scratch.root}/in")
+    micros = epoch_micros(F.col("ts"))
+    low, high = events.agg(F.min(micros), F.max(micros)).first()
+    number = F.least(F.floor(F.lit(batches) * (micros - F.lit(low or 0)) / F.lit(max(1, (high or 0) - (low or 0)))), F.lit(batches - 1))
+    rows = events.select("path", "id", "type", "ts", number.cast("int").alias("batch"))
+    for b in range(batches):
+        # Files are read in the order in which they were written, one a batch.
+        rows.filter(F.col("batch") == b).drop("batch").coalesce(1).write.mode("append").parquet(f"{scratch.root}/in")
     index = IndexTable(spark, f"{scratch.root}/index")
     stream = spark.readStream.schema("path string, id long, type string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{scratch.root}/in")
     query = apply_stream(stream, index, f"{scratch.root}/checkpoint")
