@@ -3,6 +3,8 @@
 import datetime
 
 import pandas as pd
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +213,74 @@ def test_nearest_and_container(spark):
 def test_mmr_without_rows():
     out = ranking.mmr(pd.DataFrame({"path": ["a"], "score": [1.0]}), ranking.RankingConfig())
     assert list(out.final_rank) == [1]
+
+
+def test_cycles_of_any_length(spark):
+    """Two rings, of 9 and of 30 nodes, with a way between them that is no cycle."""
+    ring = lambda p, n: [(f"{p}{i:02}", f"{p}{(i + 1) % n:02}") for i in range(n)]
+    e = spark.createDataFrame([*ring("a", 9), *ring("b", 30), ("a03", "b05"), ("x", "a00"), ("b01", "y"), ("s", "s"), (None, "a00")], "caller string, callee string")
+    assert sorted(r.cycle for r in graph.cycles(e).collect()) == [[f"a{i:02}" for i in range(9)], [f"b{i:02}" for i in range(30)], ["s"]]
+    part = {r.name: r.component for r in graph.strong_components(e).collect()}
+    assert part == {**{f"a{i:02}": "a00" for i in range(9)}, **{f"b{i:02}": "b00" for i in range(30)}, "s": "s"}
+    assert [r.cycle for r in graph.cycles(e, depth=8).collect()] == [["s"]] and graph.strong_components(e.limit(0)).count() == 0
+    far = {r.name: r.depth for r in graph.call_hierarchy(e, "x", None).collect()}
+    assert far["y"] == 32 and len(far) == 40 and max(far.values()) == 34
+    assert {r.name for r in graph.call_hierarchy(e, "x", 3).collect()} == {"a00", "a01", "a02"}
+
+
+def test_neighbours(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "b"), ("d", "e")], "caller string, callee string")
+    names = spark.createDataFrame([("b",), ("z",)], "name string")
+    assert [(r.name, r.calls, r.called_by) for r in graph.neighbours(e, names).collect()] == [("b", ["c"], ["a", "d"])]
+
+
+def test_ties_keep_all_rows(spark):
+    """Rows beyond the candidates follow with no tie score; repeated rows are rows."""
+    rows = [(f"src/f{i % 250}.py", "function", "x", "python", 1 - i / 10_000) for i in range(260)] + [("src/f0.py", "function", "x", "python", 0.0)] * 2
+    df = spark.createDataFrame(rows, "file_path string, symbol_type string, symbol_name string, language string, score double")
+    out = ranking.break_ties(df, "q", ["file_path"]).collect()
+    assert len(out) == 262 and sum(r.tie_group is None for r in out) == 62 and all(r.tie_score == 0 for r in out if r.tie_group is None)
+
+
+def test_innermost_of_any_width(spark):
+    """Against all pairs, with spans from one line to very many."""
+    r = random.Random(5)
+    spans = [(r.choice("ab"), s, s + r.choice([0, 1, 5, 63, 64, 65, 700, 40_000]), i) for i in range(300) for s in [r.randrange(3000)]]
+    points = [(r.choice("abc"), p, p + r.choice([0, 1, 3]), i) for i in range(200) for p in [r.randrange(4000)]]
+    found = {x.point_id: x.span_id for x in joins.innermost_container(spark.createDataFrame(points, "k string, s int, e int, id int"), spark.createDataFrame(spans, "k string, s int, e int, id int"), ["k"], "s", "e", "id", "id").collect()}
+    expected = {}
+    for k, s, e, i in points:
+        inside = [(b - a, j) for c, a, b, j in spans if c == k and a <= s and b >= e]
+        if inside:
+            expected[i] = min(inside)[1]
+    assert found == expected
+
+
+def test_stored_search_matches_one_pass(spark):
+    texts = ["the cat sat", "a dog", "", None, "the cat", "dog and cat"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    dense = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "doc_id int, embedding array<double>")
+    lowered = df.withColumn("text", F.lower("text"))
+    one = search.hybrid_search(df, dense, "Cat dog", [0.1, 0.2], 6)
+    stored = search.stored_search(df.select("doc_id"), sparse.sparse_vectors(lowered, "doc_id", "text"), dense, "Cat dog", [0.1, 0.2], 6)
+    assert [(r.doc_id, round(r.score, 9)) for r in one.collect()] == [(r.doc_id, round(r.score, 9)) for r in stored.collect()]
+    posting = search.postings(df)
+    one, stored = (rows(x) for x in (search.bm25(df, "cat dog"), search.bm25_stored(posting, search.corpus_statistics(posting), "cat dog")))
+    assert [r[0] for r in one] == [r[0] for r in stored] and [r[1] for r in one] == pytest.approx([r[1] for r in stored])
+    assert search.bm25_stored(posting, search.corpus_statistics(posting), "!!").count() == 0
+
+
+def test_code_signs():
+    assert all(search.looks_like_code(q) for q in ("f(x)", "a;", "foo.bar", "MyClass", "x => y", "index.ts", "a[0]", "std::sort"))
+    assert not any(search.looks_like_code(q) for q in ("how to sort a list", "read the file", "1.5 times"))
+
+
+def test_alerts(spark):
+    df = spark.createDataFrame([(0, 10.0, 0, 5), (1000, 600.0, 100, 5), (2000, 900.0, 1000, 500)], "ms long, memory_mb double, cpu_ms long, lag_ms int")
+    assert [r.alerts for r in stats.alerts(df, "ms").orderBy("ms").collect()] == [[], ["memory"], ["memory critical", "event loop", "cpu"]]
+
+
+def test_grouped_events_stay_bounded(spark):
+    df = spark.createDataFrame([("a", i, "modify", i) for i in range(25)] + [("b", 1, "create", 1)], "path string, ts long, type string, id long")
+    parts = {(r.path, r.part): r.n_events for r in changes.events_by_path(df, most=10).collect()}
+    assert parts == {("a", 0): 10, ("a", 1): 10, ("a", 2): 5, ("b", 0): 1}
