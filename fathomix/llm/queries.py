@@ -120,6 +120,17 @@ p AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, spe
 SELECT conv_id, speaker, segment, count(*) AS n_turns, count(*) FILTER (WHERE mine) AS n_target, string_agg(head || body, '' ORDER BY pos) AS text,
        coalesce(string_agg(CAST(CAST(stop - length(body) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE mine), '') AS mask
 FROM p GROUP BY conv_id, speaker, segment
+""",
+    "op5_near_dedup": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, doc_id, array_to_string(w[p : p + 4], ' ') AS words FROM (SELECT r, doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+b AS (SELECT a.r AS x, b.r AS y, a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.words = b.words AND a.r < b.r GROUP BY ALL),
+k AS (SELECT u, v FROM b JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+e AS (SELECT u, v FROM k UNION SELECT v, u FROM k),
+m AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT e.v, m.c FROM m JOIN e ON e.u = m.doc_id),
+g AS (SELECT doc_id, min(c) AS component_id FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (r) JOIN g USING (doc_id)
 """,
     "op9_exact_dedup": r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
