@@ -58,6 +58,11 @@ def _plain(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
 
 
+def _has_tokens(words: Column, n: int) -> Column:
+    """Whether there are so many tokens; no more of them than that are looked at."""
+    return F.substring_index(words, " ", n - 1) != words
+
+
 def _lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int) -> DataFrame:
     """id, text_hash, and for each line struct(line, check, words); null for short and for empty lines."""
 
@@ -114,7 +119,8 @@ def _templates(lines: DataFrame, once: DataFrame, scratch: Scratch, min_texts: i
 
 def _by_chance(each: DataFrame, members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(leaf): short templates whose tokens meet by chance about as often as they do."""
-    short = scratch.write(each.withColumn("n", F.size(F.split("words", " "))).filter((F.col("n") < SHORT) & ~F.startswith("words", F.lit(" "))).groupBy(*LINE).agg(F.first("n").alias("n"), F.first("words").alias("words")))
+    short = each.filter(~_has_tokens(F.col("words"), SHORT) & ~F.startswith("words", F.lit(" "))).withColumn("n", F.size(F.split("words", " ")))
+    short = scratch.write(short.groupBy(*LINE).agg(F.first("n").alias("n"), F.first("words").alias("words")))
     lengths = short.groupBy("n").agg(F.count(F.lit(1)).alias("lines"))  # fewer than SHORT rows
     shares = short.select("n", F.explode(F.split("words", " ")).alias("token")).groupBy("n", "token").agg(F.count(F.lit(1)).alias("count"))
     shares = shares.join(F.broadcast(lengths), "n").select("n", "token", (F.col("count") / (F.col("n") * F.col("lines"))).alias("share"))
@@ -151,7 +157,7 @@ def _sequences(text: Column) -> Column:
 def _long_lines(lines: DataFrame, counted: DataFrame, texts: DataFrame, scratch: Scratch, min_texts: int) -> DataFrame:
     """(line, check): long lines in two or more texts, though not in ``min_texts``, that are no near copies."""
     rare = counted.filter((F.col("texts") >= 2) & (F.col("texts") < min_texts)).select(*LINE)
-    long = F.filter("lines", lambda x: x.isNotNull() & (F.size(F.split(x["words"], " ")) >= LONG_TOKENS))
+    long = F.filter("lines", lambda x: x.isNotNull() & _has_tokens(x["words"], LONG_TOKENS) & ~F.startswith(x["words"], F.lit(" ")))
     each = lines.select("text_hash", F.explode(F.array_distinct(F.transform(long, lambda x: F.struct(x["line"].alias("line"), x["check"].alias("check"))))).alias("x")).select("text_hash", "x.*")
     held = scratch.write(each.join(rare, LINE, "left_semi").distinct().withColumnRenamed("text_hash", "a"))
     pairs = scratch.write(held.join(held.withColumnRenamed("a", "b"), LINE).filter("a < b"))  # fewer than min_texts texts a line
