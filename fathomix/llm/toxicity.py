@@ -76,21 +76,18 @@ class Model:
         return self.of_buckets(gram_buckets(text))
 
 
-def _counts(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The number of rows of each class that hold each bucket."""
-    out = np.zeros((2, 1 << BITS))
-    for d, label in zip(docs, y, strict=True):
-        out[int(label), d] += 1
-    return out
+def _strength(counts: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log ratio, its difference from none in standard errors) of each bucket, of the rows of each class that hold it."""
+    p, q = counts[1] + 1.0, counts[0] + 1.0
+    ratio = np.log(p / (y.sum() + 2)) - np.log(q / (len(y) - y.sum() + 2))
+    return ratio, np.where(counts.sum(axis=0) >= LEAST_ROWS, np.abs(ratio) / np.sqrt(1 / p + 1 / q), 0)
 
 
 def _regression(docs: list[np.ndarray], y: np.ndarray, counts: np.ndarray, cut: float, l2: float, features: int, rounds: int) -> Model:
     """A logistic regression over the scaled n-grams whose ratio differs from none by ``cut`` standard errors."""
-    p, q = counts[1] + 1, counts[0] + 1
-    ratio = np.log(p / (y.sum() + 2)) - np.log(q / (len(y) - y.sum() + 2))
-    strength = np.where(counts.sum(axis=0) >= LEAST_ROWS, np.abs(ratio) / np.sqrt(1 / p + 1 / q), 0)
-    kept = np.argsort(-strength, kind="stable")[:features]
-    kept = np.sort(kept[strength[kept] > cut])
+    ratio, strength = _strength(counts, y)
+    kept = np.flatnonzero(strength > cut)
+    kept = np.sort(kept[np.argsort(-strength[kept], kind="stable")[:features]])
     slot = np.full(1 << BITS, -1, np.int32)
     slot[kept] = np.arange(len(kept))
     cols = [s[s >= 0] for s in (slot[d] for d in docs)]
@@ -104,22 +101,31 @@ def _regression(docs: list[np.ndarray], y: np.ndarray, counts: np.ndarray, cut:
         error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
         grad = np.append(np.bincount(col, error[owner], len(kept)) * value / len(docs) + l2 * w, error.mean())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        step = 0.04 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
     return Model(slot, w * value, float(b))
 
 
-def fit(rows: list[tuple[str | None, int]], features: int = FEATURES, rounds: int = 300) -> Model:
-    """A model of rows (text, 0 or 1); its strictness is chosen on folds of them."""
+def fit(rows: list[tuple[str | None, int]], features: int = FEATURES, rounds: int = 150) -> Model:
+    """A model of rows (text, 0 or 1); its strictness is chosen on folds of them.
+
+    Texts are read twice: once to count n-grams, and once for those that some model may use, so that
+    what is held is small.
+    """
     y = np.array([r[1] for r in rows], np.float64)
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
         return Model(np.full(1 << BITS, -1, np.int32), np.zeros(0), 500.0 if share else -500.0)
-    with np.errstate(over="ignore"):
-        docs = [np.unique(gram_buckets(t)).astype(np.int32) for t, _ in rows]
     fold = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % FOLDS for t, _ in rows])
-    parts = [_counts([docs[i] for i in np.flatnonzero(fold == f)], y[fold == f]) for f in range(FOLDS)]
-    total = sum(parts)
+    parts = np.zeros((FOLDS, 2, 1 << BITS), np.int32)
+    with np.errstate(over="ignore"):
+        for (text, label), f in zip(rows, fold, strict=True):
+            parts[f, int(label), np.unique(gram_buckets(text))] += 1
+        total = parts.sum(axis=0)
+        usable = _strength(total, y)[1] > min(CUTS)
+        for f in range(FOLDS):
+            usable |= _strength(total - parts[f], y[fold != f])[1] > min(CUTS)
+        docs = [np.unique(b[usable[b]]).astype(np.int32) for b in (gram_buckets(t) for t, _ in rows)]
     loss = dict.fromkeys(itertools.product(CUTS, PENALTIES), 0.0)
     for f in range(FOLDS):
         inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
