@@ -22,7 +22,10 @@ def _recounted(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic; it is trained on labelled rows of its input."""
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"), held_out=held_out)
-    return toxicity.score(docs, model, name="__score").filter(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
+    name = "score"
+    while name in docs.columns:  # a column of the documents keeps its name
+        name += "_"
+    return toxicity.score(docs, model, name=name).filter(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
