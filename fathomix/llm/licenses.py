@@ -11,8 +11,10 @@ key words of a template are its longest, so many that a text without any of them
 tokenised only if they hold one.  Stretches are bounded by the template, so a text costs in proportion
 to its key words.  Of overlapping finds the one with more aligned words stays.
 
-Defined cases: null, empty and wordless texts have no licenses; a notice that occurs twice is found
-twice; rows that repeat an id are reported row by row; other columns are ignored.
+Defined cases: null, empty and wordless texts have no licenses; a notice that occurs several times is found
+as often; of overlapping finds with equally many aligned words the one of greater coverage stays, then the first,
+then the one whose name sorts first; very long texts are read whole, in time in proportion to their key words; rows that repeat an id are
+reported row by row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -197,6 +197,15 @@ def test_exact(spark, docs, edges, monkeypatch, least):
         assert all(r.kept == (r.doc_id == r.keep_id) for r in found)
 
 
+@pytest.mark.parametrize("top_k", [1, 3])
+def test_exact_with_more_hot_digests_than_winners(spark, monkeypatch, top_k):
+    """What the sketch has no room for goes the ordinary way."""
+    monkeypatch.setattr(exact_dedup, "LEAST_HOT", 2)
+    rows = [(i, f"text  {i % 10}") for i in range(300)] + [(1000 + i, f"own {i}") for i in range(50)]
+    found = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), top_k=top_k, tracked=16).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in found), key=str) == brute_exact(rows)
+
+
 def test_exact_is_native(docs):
     plan = exact_dedup.exact_groups(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan
