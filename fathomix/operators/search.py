@@ -44,6 +44,13 @@ def top(rows: DataFrame, score: str, k: int, *ties: str) -> DataFrame:
     return rows.orderBy(F.desc(score), *ties).limit(k)
 
 
+def dense_topk(vectors: DataFrame, vector: str, query: list[float], k: int, *ties: str, where: Column | None = None) -> DataFrame:
+    """The k vectors nearest to a query among those that a condition allows, such as a model or a partition; it
+    reaches the scan, so a partition that it rules out is not read."""
+    allowed = vectors.filter(where) if where is not None else vectors
+    return top(dense_scores(allowed, vector, query), "dense_score", k, *ties)
+
+
 def weights_for(query: str, sparse: float = SPARSE_WEIGHT) -> tuple[float, float]:
     """(dense, sparse) weights; a query that looks like code moves 0.15 to the sparse side."""
     w = sparse + 0.15 if looks_like_code(query) else sparse

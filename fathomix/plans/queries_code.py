@@ -197,16 +197,40 @@ def ext04_ruby_symbols(spark, d):
     return _parsed_symbols(spark, d, text, "rb", "ruby")
 
 
+def _declared(spark, d) -> DataFrame:
+    """Symbols of TypeScript files with an interface, a class, an enum, a type and a constant for each part."""
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = F.concat(F.lit("export interface I"), k, F.lit(" extends J { a: number; }\nexport class C"), k, F.lit(" extends B"), size, F.lit(" implements I"), k, F.lit(" {\n  private static async get(a: string) { return a; }\n}\nexport enum E"), k, F.lit(" { A, B }\nexport type T"), k, F.lit(" = string | number;\nconst V"), k, F.lit(" = "), size, F.lit(";"))
+    return extract.tables(extract.parse_files(_by_tens(spark, d, text, "ts", "typescript")))["symbols"].filter("kind <> 'property'")
+
+
 @query(f"""WITH {_FILES}, x AS (SELECT *, unnest(['class', 'interface', 'enum', 'type', 'constant', 'get']) AS what FROM p) SELECT file_path, CASE what WHEN 'class' THEN 'C' || k WHEN 'interface' THEN 'I' || k WHEN 'enum' THEN 'E' || k WHEN 'type' THEN 'T' || k WHEN 'constant' THEN 'V' || k ELSE 'C' || k || '.get' END AS name, CASE what WHEN 'get' THEN 'method' ELSE what END AS kind,
 CASE what WHEN 'class' THEN 'B' || s WHEN 'interface' THEN 'J' ELSE '' END AS extends, CASE what WHEN 'class' THEN 'I' || k ELSE '' END AS implements, what = 'get' AS is_static FROM x""")
 def ext09_declarations(spark, d):
     """Bases, modifiers and kinds of the declarations in TypeScript files."""
-    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
-    text = F.concat(F.lit("export interface I"), k, F.lit(" extends J { a: number; }\nexport class C"), k, F.lit(" extends B"), size, F.lit(" implements I"), k, F.lit(" {\n  private static async get(a: string) { return a; }\n}\nexport enum E"), k, F.lit(" { A, B }\nexport type T"), k, F.lit(" = string | number;\nconst V"), k, F.lit(" = "), size, F.lit(";"))
-    found = extract.tables(extract.parse_files(_by_tens(spark, d, text, "ts", "typescript")))["symbols"].filter("kind <> 'property'")
+    found = _declared(spark, d)
     return found.select("file_path", "name", "kind", F.array_join("extends", ",").alias("extends"), F.array_join("implements", ",").alias("implements"), F.array_contains("modifiers", "static").alias("is_static"))
 
 
+@query(f"""WITH {_FILES}, x AS (SELECT *, unnest(['class.definition', 'class.extends', 'interface.definition', 'method.definition', 'method.async', 'method.static']) AS capture FROM p)
+SELECT {_path_of('ts')}, capture, CASE WHEN capture LIKE 'class%' THEN 'C' || k WHEN capture LIKE 'interface%' THEN 'I' || k ELSE 'C' || k || '.get' END AS name FROM x""")
+def ext19_captures(spark, d):
+    """What syntax patterns name in TypeScript files."""
+    return extract.captures(_declared(spark, d)).select("file_path", "capture", "name")
+
+
+@query(f"WITH {_FILES} SELECT file_path, CASE WHEN f % 3 = 0 THEN 'added' ELSE 'f_' || min(k) END AS first_name FROM p WHERE f % 5 <> 0 GROUP BY file_path, f")
+def ext18_reparse(spark, d):
+    """Parsed files after edits of every third and the loss of every fifth."""
+    files = source_files(spark, d)
+    number = F.regexp_extract("file_path", r"(\d+)", 1).cast("long")
+    edited = files.filter((number % 3 == 0) | (number % 5 == 0))
+    now = files.filter(number % 5 != 0).withColumn("content", F.when(number % 3 == 0, F.concat(F.lit("function added() {}\n"), "content")).otherwise(F.col("content")))
+    out = extract.reparse(extract.parse_files(files), now, edited)
+    names = F.transform("symbols", lambda s: s["name"])
+    return out.select("file_path", F.when(names[0] == "added", "added").otherwise(F.concat(F.lit("f_"), F.array_min(F.transform(names, lambda n: F.substring(n, 3, 20).cast("int"))))).alias("first_name"))
+
+
 @query(f"WITH {_FILES} SELECT file_path, count(*) AS n_function, count(*) AS n_exports, count(*) AS n_comments, count(*) AS n_calls, CAST(1 AS BIGINT) AS n_imports, count(*) AS n_symbols, true AS has_symbols, CAST(0 AS BIGINT) AS n_after_error FROM p GROUP BY file_path")
 def ext20_document_statistics(spark, d):
     out = documents.document_statistics(extract.parse_files(source_files(spark, d)))

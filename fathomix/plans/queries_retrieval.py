@@ -111,6 +111,13 @@ def rnk35_dense_topk(spark, d):
     return best.select("vec_id", F.round("dense_score", 5).alias("dense_score"))
 
 
+@query(f"SELECT vec_id, label, round({_DOT.format(a='embedding', b=_QUERY_VECTOR)}, 5) AS dense_score FROM embeddings WHERE label IN (1, 3) ORDER BY {_DOT.format(a='embedding', b=_QUERY_VECTOR)} DESC, vec_id LIMIT 10")
+def rnk35_filtered_topk(spark, d):
+    """The 10 nearest vectors of two labels."""
+    best = search.dense_topk(table(spark, d, "embeddings"), "embedding", _vector(spark, d), 10, "vec_id", where=F.col("label").isin(1, 3))
+    return best.select("vec_id", "label", F.round("dense_score", 5).alias("dense_score"))
+
+
 @query(f"SELECT vec_id, round({_DOT.format(a='embedding', b=_QUERY_VECTOR)} / sqrt({_DOT.format(a='embedding', b='embedding')} * {_DOT.format(a=_QUERY_VECTOR, b=_QUERY_VECTOR)}), 5) AS cosine FROM embeddings")
 def rnk10_cosine(spark, d):
     """Full cosine of every vector and a query vector."""

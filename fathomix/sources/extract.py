@@ -108,6 +108,34 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(first, "stem", "left").drop("stem")
 
 
+def reparse(parsed: DataFrame, files: DataFrame, edited: DataFrame) -> DataFrame:
+    """parsed after edits: the rows of files whose paths ``edited`` holds are parsed again from ``files``, all others are kept
+    as they are; a file that is gone loses its row."""
+    paths = edited.select("file_path").distinct()
+    return parsed.join(paths, "file_path", "left_anti").select(*parsed.columns).unionByName(parse_files(files.join(paths, "file_path", "left_semi")))
+
+
+def captures(symbols: DataFrame) -> DataFrame:
+    """file_path, capture, name, line, end_line: what the usual syntax patterns name, one row for each that a symbol meets."""
+    has = lambda mark: F.array_contains("modifiers", mark)
+    method, function = F.col("kind") == "method", F.col("kind") == "function"
+    found = {
+        "function.definition": function,
+        "function.async": function & has("async"),
+        "function.generator": function & has("generator"),
+        "method.definition": method,
+        "method.async": method & has("async"),
+        "method.static": method & (has("static") | has("staticmethod")),
+        "method.constructor": method & F.col("name").rlike(r"\.(constructor|__init__)$"),
+        "class.definition": F.col("kind") == "class",
+        "class.extends": (F.col("kind") == "class") & (F.size("extends") > 0),
+        "interface.definition": F.col("kind") == "interface",
+        "documented": F.coalesce(F.length("doc"), F.lit(0)) > 0,
+    }
+    names = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in found.items())), lambda x: x.isNotNull())
+    return symbols.select("file_path", F.explode(names).alias("capture"), "name", "line", "end_line")
+
+
 CHUNK_KINDS = ("function", "method", "class", "property", "interface", "type", "enum", "constant")
 
 

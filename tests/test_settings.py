@@ -116,6 +116,25 @@ def test_refresh_keeps_options(spark, tmp_path, capsys):
     assert "f1.py" in capsys.readouterr().out.split()
 
 
+def test_other_embedder(spark, tmp_path):
+    """Any function from texts to vectors may take the place of the hashed words."""
+    from fathomix.operators import sparse, stats
+
+    sparse.Embedders.register("lengths", lambda texts: [[1.0, len(t) / 100] for t in texts])
+    tree = tmp_path / "t"
+    tree.mkdir()
+    (tree / "a.py").write_text("def short(): pass\n")
+    (tree / "b.py").write_text("def quite_a_long_name_that_goes_on_and_on(): pass\n" * 5)
+    e = Engine(spark, str(tmp_path / "i"), embedder="lengths", parts=1)
+    e.index(str(tree))
+    assert [r.file_path for r in e.search("x", dense_weight=1.0, sparse_weight=0.0).collect()] == ["b.py", "a.py"]
+    stats.write_log(e.stats(), str(tmp_path / "log"))
+    stats.write_log(e.stats(), str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+    sized = {r.table_name: r for r in stats.table_sizes(spark, {n: str(tmp_path / "i" / "v1" / n) for n in ("files", "vectors")}, ("vectors",)).collect()}
+    assert sized["files"].n_rows == 2 and 0 < sized["vectors"].index_overhead < 100
+
+
 def test_command_line_prints_all_rows(spark, capsys):
     cli.show(spark.range(1500), "table")
     assert len(capsys.readouterr().out.splitlines()) == 1501
