@@ -114,10 +114,8 @@ def benchmark(rows: DataFrame, files: str, size: str, seconds: str, memory: str)
 
 def catalog_tables(spark: SparkSession, expected: list[str] | None = None) -> DataFrame:
     """Tables of the catalog: present, missing or extra against those expected."""
-    there = {t.name for t in spark.catalog.listTables()}
-    names = sorted(there | set(expected or there))
-    status = lambda n: "present" if n in there and n in (expected or there) else "missing" if n not in there else "extra"
-    return spark.createDataFrame([(n, status(n)) for n in names], "table_name string, status string")
+    there = spark.createDataFrame([(t.name,) for t in spark.catalog.listTables()], "table_name string")
+    return compare_catalog(there, there if expected is None else spark.createDataFrame([(n,) for n in expected], "table_name string"))
 
 
 def analyse_plan(df: DataFrame) -> dict:

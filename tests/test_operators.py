@@ -284,3 +284,11 @@ def test_grouped_events_stay_bounded(spark):
     df = spark.createDataFrame([("a", i, "modify", i) for i in range(25)] + [("b", 1, "create", 1)], "path string, ts long, type string, id long")
     parts = {(r.path, r.part): r.n_events for r in changes.events_by_path(df, most=10).collect()}
     assert parts == {("a", 0): 10, ("a", 1): 10, ("a", 2): 5, ("b", 0): 1}
+
+
+def test_catalog(spark):
+    spark.range(1).createOrReplaceTempView("here_it_is")
+    found = {r.table_name: r.status for r in stats.catalog_tables(spark, ["here_it_is", "gone"]).collect()}
+    assert found["here_it_is"] == "present" and found["gone"] == "missing"
+    assert {r.status for r in stats.catalog_tables(spark).collect()} == {"present"}
+    spark.catalog.dropTempView("here_it_is")
