@@ -18,10 +18,10 @@ pair of them, which near dedup decides on, neither loses the lines.  Lines of fe
 tokens always stay, as do lines without a token; with ``EVERY_LINE`` all others count.  A line of one or
 two variable fields has nothing constant, so it counts by its own tokens.
 
-All decisions are a set of line hashes of 128 bits.  Documents shuffle hashes only; counts are
-aggregated before they shuffle, so that a line in a third of all documents is one row for each map
-task.  The set is joined by hash, never collected.  Tokens are shuffled only of lines in leaves of
-two or more different lines.
+All decisions are a set of line hashes of 128 bits.  A table of hashes, one row a line, is all that is
+shuffled of most lines; counts are aggregated before they shuffle, so that a line in a third of all
+documents is one row for each map task.  The set is joined by hash, never collected.  The tokens of lines in leaves of
+two or more different lines are cut once more, from one text each.
 
 Defined cases: null stays null, empty stays empty; a text whose lines all go becomes the empty text;
 rows that repeat an id keep their own texts; an empty table gives no rows; other columns pass through,
@@ -58,14 +58,11 @@ def _plain(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
 
 
-def _has_tokens(words: Column, n: int) -> Column:
-    """Whether there are so many tokens; no more of them than that are looked at."""
-    return F.substring_index(words, " ", n - 1) != words
-
-
-def _lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int) -> DataFrame:
-    """id, text_hash, and for each line struct(line, check, words); null for short and for empty lines."""
+def _words(docs: DataFrame, text: str) -> DataFrame:
+    """The other columns of docs with place and words of each line that has any: its masked tokens, apart by one blank.
 
+    The words of a line of one or two variable fields are its own, behind a blank.
+    """
     # A step each, as an expression that is named twice within a function is evaluated twice.
     text_ = F.col(text)
     blanks = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+|\x20[\x20\x09\x0B-\x0D]++"
@@ -76,33 +73,62 @@ def _lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int) -> DataFram
     plain = F.transform(F.split(even, "\n"), lambda x: F.trim(x))
     masked = F.transform(plain, lambda x: F.when(F.rlike(x, F.lit("[0-9]")), F.struct(x.alias("own"), F.regexp_replace(x, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>").alias("masked"))).otherwise(F.struct(F.lit(None).cast("string").alias("own"), x.alias("masked"))))
     words = F.transform(masked, lambda x: F.when(x["masked"].isin("<*>", "<*> <*>") & x["own"].isNotNull(), F.concat(F.lit(" "), x["own"])).otherwise(x["masked"]))
-    some = (lambda x: x != "") if min_tokens <= 1 else (lambda x: (x != "") & (F.size(F.split(F.trim(x), " ")) >= min_tokens))
-    lines = F.transform(words, lambda x: F.when(some(x), F.struct(F.xxhash64(x).alias("line"), F.xxhash64(F.lit(1), x).alias("check"), x.alias("words"))))
-    return docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), lines.alias("lines"))
-
-
-def _leaves(rows: DataFrame, match: float) -> DataFrame:
-    """rows (line, check, words) with n and, for each path of a line, path and leaf."""
-    split = rows.filter(~F.startswith("words", F.lit(" "))).withColumn("tokens", F.split("words", " ")).withColumn("n", F.size("tokens"))
-    split = split.filter((F.col("n") >= SHORT) | (match * F.col("n") <= F.col("n") - 1))
-    n, path, depth, start = map(F.col, ("n", "path", "depth", "start"))
-    each = split.select(*rows.columns, "n", "tokens", F.explode(F.sequence(F.lit(0), F.when(n >= SHORT, PATHS - 1).otherwise(n - 1))).alias("path"))
-    each = each.withColumn("depth", F.greatest(F.lit(3), F.least(F.lit(5), F.shiftright("n", 2))))
-    each = each.withColumn("start", F.when(n >= SHORT, F.floor(path * (n - depth) / (PATHS - 1)).cast("int")).otherwise(path))
-    # The tokens in a row from start on, or of a short line all but the one at its path; null beyond them.
-    place = lambda i: F.when(n >= SHORT, F.when(depth > i, start + i)).when(path <= i, i + 1).otherwise(i)
-    leaf = F.xxhash64("n", "start", *(F.get("tokens", place(i)) for i in range(SHORT - 2)))
-    return each.select(*rows.columns, "n", "path", leaf.alias("leaf"))
-
-
-def _templates(lines: DataFrame, once: DataFrame, scratch: Scratch, min_texts: int, match: float) -> DataFrame:
+    others = [c for c in docs.columns if c != text]
+    # An outer explode, as Spark would add a filter on the size of the array to the other, and build it twice.
+    return docs.select(*others, words.alias("all")).select(*others, F.posexplode_outer("all").alias("place", "words")).filter("words <> ''")
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"line": F.xxhash64("words"), "check": F.xxhash64(F.lit(1), F.col("words"))})
+
+
+def _lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int) -> DataFrame:
+    """id, text_hash, place, line, check, n (tokens), leaves of a longer line, and words of a shorter one.
+
+    A line that counts by its own tokens has neither leaves nor words, and n is 0.
+    """
+    rows = _words(docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), "text")
+    rows = _hashed(rows).withColumn("own", F.startswith("words", F.lit(" "))).withColumn("tokens", F.split("words", " ")).withColumn("size", F.size("tokens"))
+    if min_tokens > 1:
+        rows = rows.filter(F.when(F.col("own"), F.col("size") - 1).otherwise(F.col("size")) >= min_tokens)
+    n, t = F.col("size"), F.col("tokens")
+    depth = F.greatest(F.lit(3), F.least(F.lit(5), F.shiftright(n, 2)))
+    rows = rows.withColumn("depth", depth)
+    depth = F.col("depth")
+
+    def leaf(path: int) -> Column:
+        start = F.floor(path * (n - depth) / (PATHS - 1)).cast("int")
+        return F.xxhash64(n, start, *(F.get(t, start + i) for i in range(3)), *(F.when(depth > i, F.get(t, start + i)) for i in (3, 4)))
+
+    rows = rows.withColumn("leaves", F.array(*map(leaf, range(PATHS))))
+    long = ~F.col("own") & (n >= SHORT)
+    return rows.select("id", "text_hash", "place", "line", "check", F.when(F.col("own"), 0).otherwise(n).alias("n"), F.when(long, F.col("leaves")).alias("leaves"), F.when(~F.col("own") & (n < SHORT), F.col("words")).alias("words"))
+
+
+def _leaves(lines: DataFrame, match: float) -> DataFrame:
+    """text_hash, line, check, n, path (of a short line) and leaf of each path that a line takes."""
+    columns = ["text_hash", *LINE, "n"]
+    long = lines.filter("leaves IS NOT NULL").select(*columns, F.lit(None).cast("int").alias("path"), F.explode("leaves").alias("leaf"))
+    n, t, path = F.col("n"), F.split("words", " "), F.col("path")
+    each = lines.filter(F.col("words").isNotNull() & (match * n <= n - 1)).select(*columns, t.alias("tokens"), F.explode(F.sequence(F.lit(0), n - 1)).alias("path"))
+    lead = F.concat(F.slice("tokens", 1, path), F.slice("tokens", path + 2, F.lit(SHORT)))
+    return long.unionByName(each.select(*columns, "path", F.xxhash64("n", "path", lead).alias("leaf")))
+
+
+def _templates(lines: DataFrame, once: DataFrame, texts: DataFrame, scratch: Scratch, min_texts: int, match: float) -> DataFrame:
     """(line, check): the lines of templates that recur."""
-    each = lines.select(F.explode(F.array_distinct("lines")).alias("x")).filter("x IS NOT NULL").select("x.*")
-    met = _leaves(each, match).groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.min("line").alias("low"), F.max("line").alias("high"), F.bit_xor("line").alias("all"))
+    met = _leaves(lines, match).groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.min("line").alias("low"), F.max("line").alias("high"), F.bit_xor("line").alias("all"))
     # Of leaves that hold the same lines one is enough.
     met = met.filter((F.col("rows") >= min_texts) & (F.col("low") != F.col("high"))).groupBy("rows", "low", "high", "all").agg(F.min("leaf").alias("leaf"))
     met = scratch.write(met.select("leaf"))
-    held = scratch.write(scratch.join_small(_leaves(each, match), met, ["leaf"], "left_semi").groupBy("leaf", *LINE).agg(F.first("words").alias("words"), F.first("n").alias("n"), F.first("path").alias("path")))
+    met_lines = scratch.join_small(_leaves(lines, match), met, ["leaf"], "left_semi").groupBy("leaf", *LINE).agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("path").alias("path"))
+    met_lines = scratch.write(met_lines)
+
+    # Their words, from one text that holds them.
+    wanted = scratch.write(met_lines.groupBy(*LINE).agg(F.min("text_hash").alias("text_hash")))
+    sources = scratch.join_small(texts, scratch.write(wanted.select("text_hash").distinct()), ["text_hash"], "left_semi")
+    words = scratch.join_small(_hashed(_words(sources, "text")), wanted, ["text_hash", *LINE], "left_semi").groupBy(*LINE).agg(F.first("words").alias("words"))
+    held = scratch.write(met_lines.drop("text_hash").join(words, LINE))
 
     long = held.filter(F.col("n") >= SHORT)
     votes = long.select("leaf", F.posexplode(F.split("words", " ")).alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
@@ -111,16 +137,15 @@ def _templates(lines: DataFrame, once: DataFrame, scratch: Scratch, min_texts: i
     agreed = F.aggregate(F.zip_with(F.split("words", " "), "template", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
     members = scratch.write(long.join(template, "leaf").filter(agreed >= match * F.col("n")).select("leaf", *LINE, "n", "words", "path").unionByName(held.filter(F.col("n") < SHORT).select("leaf", *LINE, "n", "words", "path")))
 
-    texts = members.select("leaf", *LINE).join(once, LINE).select("leaf", "text_hash").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"))
-    texts = scratch.write(texts.filter(F.col("texts") >= min_texts))
-    recurring = scratch.write(texts.join(_by_chance(each, members, texts, scratch), "leaf", "left_anti").select("leaf"))
+    supported = members.select("leaf", *LINE).join(once, LINE).select("leaf", "text_hash").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"))
+    supported = scratch.write(supported.filter(F.col("texts") >= min_texts))
+    recurring = scratch.write(supported.join(_by_chance(lines, members, supported, scratch), "leaf", "left_anti").select("leaf"))
     return members.join(recurring, "leaf", "left_semi").select(*LINE)
 
 
-def _by_chance(each: DataFrame, members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def _by_chance(lines: DataFrame, members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(leaf): short templates whose tokens meet by chance about as often as they do."""
-    short = each.filter(~_has_tokens(F.col("words"), SHORT) & ~F.startswith("words", F.lit(" "))).withColumn("n", F.size(F.split("words", " ")))
-    short = scratch.write(short.groupBy(*LINE).agg(F.first("n").alias("n"), F.first("words").alias("words")))
+    short = scratch.write(lines.filter("words IS NOT NULL").groupBy(*LINE).agg(F.first("n").alias("n"), F.first("words").alias("words")))
     lengths = short.groupBy("n").agg(F.count(F.lit(1)).alias("lines"))  # fewer than SHORT rows
     shares = short.select("n", F.explode(F.split("words", " ")).alias("token")).groupBy("n", "token").agg(F.count(F.lit(1)).alias("count"))
     shares = shares.join(F.broadcast(lengths), "n").select("n", "token", (F.col("count") / (F.col("n") * F.col("lines"))).alias("share"))
@@ -134,11 +159,10 @@ def _by_chance(each: DataFrame, members: DataFrame, texts: DataFrame, scratch: S
 
 def recurring_lines(lines: DataFrame, texts: DataFrame, scratch: Scratch, min_texts: int, match: float) -> DataFrame:
     """(line, check): the hashes of the lines to drop; ``texts`` has text_hash and text."""
-    hashes = F.transform("lines", lambda x: F.when(x.isNotNull(), F.struct(x["line"].alias("line"), x["check"].alias("check"))))
-    once = scratch.write(lines.select("text_hash", F.explode(F.array_distinct(hashes)).alias("x")).filter("x IS NOT NULL").select("text_hash", "x.*").distinct())
+    once = scratch.write(lines.select("text_hash", *LINE).distinct())
     counted = scratch.write(once.groupBy(*LINE).agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min(2, min_texts)))
     exact = counted.filter(F.col("texts") >= min_texts).select(*LINE)
-    template = _templates(lines, once, scratch, min_texts, match)
+    template = _templates(lines, once, texts, scratch, min_texts, match)
     return scratch.write(exact.union(template).union(_long_lines(lines, counted, texts, scratch, min_texts)).distinct())
 
 
@@ -157,8 +181,7 @@ def _sequences(text: Column) -> Column:
 def _long_lines(lines: DataFrame, counted: DataFrame, texts: DataFrame, scratch: Scratch, min_texts: int) -> DataFrame:
     """(line, check): long lines in two or more texts, though not in ``min_texts``, that are no near copies."""
     rare = counted.filter((F.col("texts") >= 2) & (F.col("texts") < min_texts)).select(*LINE)
-    long = F.filter("lines", lambda x: x.isNotNull() & _has_tokens(x["words"], LONG_TOKENS) & ~F.startswith(x["words"], F.lit(" ")))
-    each = lines.select("text_hash", F.explode(F.array_distinct(F.transform(long, lambda x: F.struct(x["line"].alias("line"), x["check"].alias("check"))))).alias("x")).select("text_hash", "x.*")
+    each = lines.filter(F.col("n") >= LONG_TOKENS).select("text_hash", *LINE)
     held = scratch.write(each.join(rare, LINE, "left_semi").distinct().withColumnRenamed("text_hash", "a"))
     pairs = scratch.write(held.join(held.withColumnRenamed("a", "b"), LINE).filter("a < b"))  # fewer than min_texts texts a line
     ends = scratch.write(pairs.select("a", "b").distinct().select("a", "b", F.explode(F.array("a", "b")).alias("text_hash")))
@@ -175,8 +198,7 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     scratch = Scratch(docs.sparkSession, "line-dedup")
     lines = scratch.write(_lines(docs, doc_id, text, min_tokens))
     dropped = recurring_lines(lines, docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), scratch, min_texts, match)
-    placed = lines.select("id", "text_hash", F.posexplode(F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["check"].alias("check")))).alias("place", "x")).select("id", "text_hash", "place", "x.*")
-    hit = placed.filter("line IS NOT NULL").join(dropped, LINE)
+    hit = lines.select("id", "text_hash", "place", *LINE).join(dropped, LINE)
     places = scratch.write(hit.groupBy("id", "text_hash").agg(F.collect_set("place").alias("places")))
     scratch.keep_only(places)
     # Columns of docs travel in one struct, so that none of their names meets one of these.
