@@ -83,9 +83,8 @@ def _hashed(rows: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int) -> DataFrame:
-    """id, text_hash, place, line, check, n (tokens), leaves of a longer line, and words of a shorter one.
-
-    A line that counts by its own tokens has neither leaves nor words, and n is 0.
+    """id, text_hash, place, line, check, n (tokens), leaves, which hold for lines of SHORT tokens or more, and words of
+    shorter ones.  A line that counts by its own tokens has an n of 0 and no words.
     """
     rows = _words(docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), "text")
     rows = _hashed(rows).withColumn("own", F.startswith("words", F.lit(" "))).withColumn("tokens", F.split("words", " ")).withColumn("size", F.size("tokens"))
@@ -101,14 +100,14 @@ def _lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int) -> DataFram
         return F.xxhash64(n, start, *(F.get(t, start + i) for i in range(3)), *(F.when(depth > i, F.get(t, start + i)) for i in (3, 4)))
 
     rows = rows.withColumn("leaves", F.array(*map(leaf, range(PATHS))))
-    long = ~F.col("own") & (n >= SHORT)
-    return rows.select("id", "text_hash", "place", "line", "check", F.when(F.col("own"), 0).otherwise(n).alias("n"), F.when(long, F.col("leaves")).alias("leaves"), F.when(~F.col("own") & (n < SHORT), F.col("words")).alias("words"))
+    # Leaves of all lines, as a condition would have each of them computed from its own copy of the tokens.
+    return rows.select("id", "text_hash", "place", "line", "check", F.when(F.col("own"), 0).otherwise(n).alias("n"), "leaves", F.when(~F.col("own") & (n < SHORT), F.col("words")).alias("words"))
 
 
 def _leaves(lines: DataFrame, match: float) -> DataFrame:
     """text_hash, line, check, n, path (of a short line) and leaf of each path that a line takes."""
     columns = ["text_hash", *LINE, "n"]
-    long = lines.filter("leaves IS NOT NULL").select(*columns, F.lit(None).cast("int").alias("path"), F.explode("leaves").alias("leaf"))
+    long = lines.filter(F.col("n") >= SHORT).select(*columns, F.lit(None).cast("int").alias("path"), F.explode("leaves").alias("leaf"))
     n, t, path = F.col("n"), F.split("words", " "), F.col("path")
     each = lines.filter(F.col("words").isNotNull() & (match * n <= n - 1)).select(*columns, t.alias("tokens"), F.explode(F.sequence(F.lit(0), n - 1)).alias("path"))
     lead = F.concat(F.slice("tokens", 1, path), F.slice("tokens", path + 2, F.lit(SHORT)))
