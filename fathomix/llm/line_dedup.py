@@ -71,8 +71,12 @@ def _words(docs: DataFrame, text: str) -> DataFrame:
         odd |= F.contains(text_, F.lit(c))
     even = F.when(odd, F.regexp_replace(text_, blanks, " ")).otherwise(text_)
     plain = F.transform(F.split(even, "\n"), lambda x: F.trim(x))
-    masked = F.transform(plain, lambda x: F.when(F.rlike(x, F.lit("[0-9]")), F.struct(x.alias("own"), F.regexp_replace(x, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>").alias("masked"))).otherwise(F.struct(F.lit(None).cast("string").alias("own"), x.alias("masked"))))
-    words = F.transform(masked, lambda x: F.when(x["masked"].isin("<*>", "<*> <*>") & x["own"].isNotNull(), F.concat(F.lit(" "), x["own"])).otherwise(x["masked"]))
+
+    def mask(x: Column) -> Column:
+        masked = F.regexp_replace(x, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>")
+        return F.when(F.rlike(x, F.lit("[0-9]")), F.when(masked.isin("<*>", "<*> <*>"), F.concat(F.lit(" "), x)).otherwise(masked)).otherwise(x)
+
+    words = F.when(F.rlike(text_, F.lit("[0-9]")), F.transform(plain, mask)).otherwise(plain)
     others = [c for c in docs.columns if c != text]
     # An outer explode, as Spark would add a filter on the size of the array to the other, and build it twice.
     return docs.select(*others, words.alias("all")).select(*others, F.posexplode_outer("all").alias("place", "words")).filter("words <> ''")
@@ -167,8 +171,8 @@ def recurring_lines(lines: DataFrame, texts: DataFrame, scratch: Scratch, min_te
 
 def _sequences(text: Column) -> Column:
     """Different hashes of each SHINGLE words in a row; of all words if there are fewer."""
+    both = lambda x, y: F.zip_with(F.slice(x, 1, F.size(y)), y, lambda a, b: F.xxhash64(a, b))
     rest = lambda x, k: F.slice(x, k + 1, F.greatest(F.size(x) - k, F.lit(0)))
-    both = lambda x, y: F.filter(F.zip_with(x, y, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))), lambda h: h.isNotNull())
     bound = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  # x is evaluated once
     # Hashes of 2, 4 and then 5 words in a row.
     fives = lambda w: bound(both(w, rest(w, 1)), lambda two: bound(both(two, rest(two, 2)), lambda four: both(four, rest(w, 4))))
