@@ -20,6 +20,7 @@ row by row; an empty table gives no rows; other columns are ignored, and one wit
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -121,7 +122,9 @@ def fit(pages: list[str], rounds: int = 200, l2: float = 0.0003) -> Model:
     return Model(theta[:-8], theta[-8:].reshape(2, 2, 2))
 
 
+@functools.cache
 def train(pages: int = TRAINING_PAGES) -> Model:
+    """The model of made pages; they are always the same, so a process trains it once."""
     return fit(labelled_pages(pages))
 
 
