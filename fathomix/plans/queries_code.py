@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from fathomix.plans.engine import Engine
 from fathomix.plans.queries_retrieval import _GRAMS, QUERY
 from fathomix.plans.registry import query, table
 from fathomix.sources import extract, store
-from fathomix.storage import shared_folder
+from fathomix.storage import temporary_folder
 
 #: A file for ten parts: an import, and four lines for each part: a comment, a function's head, a call, its end.
 _FILES = "p AS (SELECT p_partkey AS k, p_size AS s, p_name, CAST(floor(p_partkey / 10) AS BIGINT) AS f, row_number() OVER (PARTITION BY CAST(floor(p_partkey / 10) AS BIGINT) ORDER BY p_partkey) AS i, 'src/file_' || CAST(CAST(floor(p_partkey / 10) AS BIGINT) AS VARCHAR) || '.ts' AS file_path FROM part)"
@@ -282,7 +280,7 @@ def engine(spark, d) -> Engine:
     """The index of the files of parts, built once an application."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _ENGINES:
-        folder = f"{shared_folder(spark).rstrip('/')}/engine-{uuid.uuid4().hex}"
+        folder = temporary_folder(spark, "engine")
         files = source_files(spark, d).select("file_path", F.lit(1.0).alias("mtime_ms"), F.octet_length("content").cast("long").alias("bytes"), "language", "content")
         Engine(spark, folder, parts=2).index_frame(files)
         _ENGINES[key] = folder

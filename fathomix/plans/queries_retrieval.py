@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from fathomix.functions import text as X
 from fathomix.functions import vectors as V
 from fathomix.operators import ranking, search, sparse, symbols
 from fathomix.plans.registry import ORACLE_SQL, query, table
-from fathomix.storage import shared_folder
+from fathomix.storage import temporary_folder
 
 QUERY = "the intention of this and that"
 
@@ -151,7 +149,7 @@ def stored_index(spark, d) -> dict[str, DataFrame]:
     key = (spark.sparkContext.applicationId, d)
     if key not in _STORED:
         docs = table(spark, d, "documents").select("doc_id", "text")
-        folder = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+        folder = temporary_folder(spark, "stored")
         posting = search.postings(docs)
         tables = {
             "vectors": (sparse.sparse_vectors(docs.withColumn("text", F.lower("text")), "doc_id", "text").select("doc_id", "bucket", "weight"), "bucket"),

@@ -28,6 +28,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share and that is deleted when the application ends."""
+    folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(p)
+    files.deleteOnExit(p)
+    return folder
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """A small text file of any store that Spark reads, hidden ones too."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -48,7 +58,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = temporary_folder(spark, name)
         self.n = 0
         self.tables: dict[int, tuple[DataFrame, str]] = {}
 
@@ -61,9 +71,6 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
-        if self.n == 1:
-            files, root = self._path(self.root)
-            files.deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.tables[id(out)] = (out, path)
         return out
