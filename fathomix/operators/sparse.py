@@ -20,6 +20,8 @@ LOW, HIGH, BUCKETS = 3, 5, 1 << 18
 SPACE = re.compile(r"[\t\n\x0b\x0c\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
 #: Fixed value: what is a word of the hash embedding.
 TOKEN = re.compile(r"[a-z0-9_]+|[^\s]")
+#: Characters of the texts that are hashed at once: about a hundred bytes of memory for each.
+PART_CHARS = 1 << 18
 
 
 def gram_hashes(text: str, low: int = LOW, high: int = HIGH) -> np.ndarray:
@@ -49,10 +51,11 @@ def _batch_cells(texts: list[str | None], low: int, high: int, buckets: int) ->
     return cells // buckets, cells % buckets, counts
 
 
-def _parts(texts: pa.Array, most: int = 1 << 20):
+def _parts(texts: pa.Array, most: int = PART_CHARS):
     """(first, texts) of parts of about so many characters."""
     first, part, size = 0, [], 0
-    for i, t in enumerate(texts.to_pylist()):
+    for i, t in enumerate(texts):
+        t = t.as_py()
         part.append(t)
         size += len(t or "")
         if size >= most:
@@ -77,6 +80,27 @@ def sparse_vectors(docs: DataFrame, doc_id: str, text: str, low: int = LOW, high
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
+def sparse_rows(docs: DataFrame, doc_id: str, text: str, low: int = LOW, high: int = HIGH, buckets: int = BUCKETS) -> DataFrame:
+    """(id, columns, values): the vector of each document that has a bucket as a row, by bucket.
+
+    The same as compressed_rows of sparse_vectors, but cells are never rows of their own, so nothing is shuffled.
+    """
+    kind = docs.schema[doc_id].dataType
+    schema = T.StructType([T.StructField(doc_id, kind), T.StructField("columns", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            for first, part in _parts(batch.column(1)):
+                row, bucket, n = _batch_cells(part, low, high, buckets)
+                norm = np.sqrt(np.bincount(row, n * n, len(part)))
+                some = np.unique(row)
+                starts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(part))[some])]).astype(np.int32))
+                cells = [pa.array(bucket.astype(np.int32)), pa.array(n / norm[row])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some + first)), *(pa.ListArray.from_arrays(starts, c) for c in cells)], names=[doc_id, "columns", "values"])
+
+    return docs.select(doc_id, text).mapInArrow(run, schema)
+
+
 def sparse_scores(docs: DataFrame, text: str, query: str, name: str = "sparse_score", low: int = LOW, high: int = HIGH, buckets: int = BUCKETS) -> DataFrame:
     """docs with the sparse cosine of each text and a query, in one pass over the texts."""
     qb, qn = gram_counts(query.lower(), low, high, buckets)

@@ -117,7 +117,7 @@ def rnk06_word_ids(spark, d):
 @query(f"WITH docs AS (SELECT doc_id, text FROM documents), {_GRAMS.replace('lower(text)', 'text')} SELECT v.doc_id, count(*) AS cells, round(sum(CAST(CAST(tf / norm AS FLOAT) AS DOUBLE) * CAST(CAST(tf / norm AS FLOAT) AS DOUBLE)), 4) AS squared FROM v JOIN n USING (doc_id) GROUP BY v.doc_id")
 def snk03_matrix_blocks(spark, d):
     """Sparse vectors packed as binary blocks and read again, summarised."""
-    rows = sparse.compressed_rows(sparse.sparse_vectors(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    rows = sparse.sparse_rows(table(spark, d, "documents"), "doc_id", "text")
     back = store.import_blocks(store.export_blocks(rows, "doc_id"), "doc_id")
     return back.select("doc_id", F.size("columns").cast("long").alias("cells"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x), 4).alias("squared"))
 

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Cells of a block, of 8 bytes each.
+BLOCK_CELLS = 1 << 18
+
 
 def write_vectors(vectors: DataFrame, folder: str, doc_id: str) -> None:
     """(id, bucket, tf, weight) sorted within files, so that a bucket's rows are skipped by statistics."""
@@ -19,8 +22,8 @@ def read_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def pack(rows: list[tuple[list[int], list[float]]]) -> bytes:
     """Rows (columns, values) as three lengths, float32 values, uint32 columns and uint32 row starts."""
-    values = np.array([v for _, vs in rows for v in vs], "<f4")
-    columns = np.array([c for cs, _ in rows for c in cs], "<u4")
+    values = np.concatenate([np.zeros(0, "<f4"), *(np.asarray(vs, "<f4") for _, vs in rows)])
+    columns = np.concatenate([np.zeros(0, "<u4"), *(np.asarray(cs, "<u4") for cs, _ in rows)])
     starts = np.concatenate([[0], np.cumsum([len(c) for c, _ in rows])]).astype("<u4")
     return np.array([len(values), len(columns), len(starts)], "<u4").tobytes() + values.tobytes() + columns.tobytes() + starts.tobytes()
 
@@ -33,19 +36,26 @@ def unpack(data: bytes) -> list[tuple[list[int], list[float]]]:
     return [(columns[a:b].tolist(), values[a:b].tolist()) for a, b in zip(starts, starts[1:], strict=False)]
 
 
-def export_blocks(rows: DataFrame, doc_id: str) -> DataFrame:
-    """ids and data of blocks of compressed rows, one block an Arrow batch; no block holds the whole table."""
+def export_blocks(rows: DataFrame, doc_id: str, most: int = BLOCK_CELLS) -> DataFrame:
+    """ids and data of blocks of compressed rows; a block holds at most so many cells, or one row."""
     kind = rows.schema[doc_id].dataType.simpleString()
 
     def run(frames):
         for f in frames:
-            yield pd.DataFrame({"ids": [f[doc_id].tolist()], "data": [pack(list(zip(f["columns"], f["values"], strict=True)))]})
+            sizes, first = f["columns"].map(len).tolist(), 0
+            while first < len(f):
+                last, cells = first + 1, sizes[first]
+                while last < len(f) and cells + sizes[last] <= most:
+                    cells, last = cells + sizes[last], last + 1
+                part = f.iloc[first:last]
+                yield pd.DataFrame({"ids": [part[doc_id].tolist()], "data": [pack(list(zip(part["columns"], part["values"], strict=True)))]})
+                first = last
 
     return rows.select(doc_id, "columns", "values").mapInPandas(run, f"ids array<{kind}>, data binary")
 
 
 def import_blocks(blocks: DataFrame, doc_id: str, kind: str = "bigint") -> DataFrame:
-    """The compressed rows of blocks."""
+    """The compressed rows of blocks, a block's at a time."""
 
     def run(frames):
         for f in frames:

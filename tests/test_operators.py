@@ -292,3 +292,29 @@ def test_catalog(spark):
     assert found["here_it_is"] == "present" and found["gone"] == "missing"
     assert {r.status for r in stats.catalog_tables(spark).collect()} == {"present"}
     spark.catalog.dropTempView("here_it_is")
+
+
+def test_sparse_rows_without_shuffle(spark):
+    texts = [(1, "the cat sat"), (2, None), (3, "ab"), (4, "a dog sat " * 50), (5, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sparse.sparse_rows(df, "doc_id", "text")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got, "doc_id") == rows(sparse.compressed_rows(sparse.sparse_vectors(df, "doc_id", "text"), "doc_id"), "doc_id")
+
+
+@pytest.mark.parametrize("name", ["snk03_matrix_blocks"])
+def test_cells_are_not_shuffled(spark, data, name):
+    """Vectors are rows from the start: no cells are gathered behind a shuffle."""
+    from fathomix.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "collect_list" not in plan
+
+
+def test_blocks_are_bounded(spark):
+    from fathomix.sources import store
+
+    df = spark.createDataFrame([(i, [1, 2, 3], [0.5, 0.25, 1.0]) for i in range(20)] + [(20, list(range(40)), [1.0] * 40)], "doc_id long, columns array<int>, values array<double>").coalesce(1)
+    blocks = store.export_blocks(df, "doc_id", most=10)
+    assert sorted(len(r.ids) for r in blocks.collect()) == [1] + [2] + [3] * 6
+    assert rows(store.import_blocks(blocks, "doc_id"), "doc_id") == rows(df, "doc_id")
