@@ -91,7 +91,7 @@ def join03_sparse_index(spark, d):
 def rnk05_compressed_rows(spark, d):
     """Vectors as sorted rows and back, summarised."""
     docs = table(spark, d, "documents")
-    rows = sparse.compressed_rows(sparse.sparse_vectors(docs, "doc_id", "text"), "doc_id")
+    rows = sparse.sparse_rows(docs, "doc_id", "text")
     return sparse.expanded_rows(rows, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_buckets"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("squared"))
 
 

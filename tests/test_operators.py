@@ -302,7 +302,7 @@ def test_sparse_rows_without_shuffle(spark):
     assert rows(got, "doc_id") == rows(sparse.compressed_rows(sparse.sparse_vectors(df, "doc_id", "text"), "doc_id"), "doc_id")
 
 
-@pytest.mark.parametrize("name", ["snk03_matrix_blocks"])
+@pytest.mark.parametrize("name", ["snk03_matrix_blocks", "rnk05_compressed_rows"])
 def test_cells_are_not_shuffled(spark, data, name):
     """Vectors are rows from the start: no cells are gathered behind a shuffle."""
     from fathomix.plans.registry import QUERIES
