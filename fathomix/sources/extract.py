@@ -15,6 +15,8 @@ from fathomix.sources.schemas import PARSED
 PARSERS = {"python": python_parser.parse, "javascript": script_parser.parse, "typescript": script_parser.parse} | {name: partial(brace_parser.parse, language=name) for name in brace_parser.LANGUAGES}
 PARTS = ("symbols", "imports", "exports", "calls", "comments", "errors")
 NOTHING = {p: [] for p in PARTS}
+#: What is parsed before it leaves Python: about so many characters, and files.
+PART_CHARS, PART_FILES = 1 << 18, 1000
 
 
 def parse_files(files: DataFrame, path: str = "file_path", language: str = "language", content: str = "content") -> DataFrame:
@@ -22,14 +24,19 @@ def parse_files(files: DataFrame, path: str = "file_path", language: str = "lang
 
     def run(frames):
         for f in frames:
-            rows = []
+            rows, chars = [], 0
             for p, lang, text in zip(f[path], f[language], f[content], strict=True):
                 try:
                     found = PARSERS[lang](text) if lang in PARSERS and text else NOTHING
                 except Exception as e:  # a file that breaks the parser is reported, the scan goes on
                     found = {**NOTHING, "errors": [{"message": f"{type(e).__name__}: {e}", "line": 1}]}
                 rows.append({"file_path": p, "language": lang, **found})
-            yield pd.DataFrame(rows, columns=["file_path", "language", *PARTS])
+                chars += len(text or "")
+                if chars >= PART_CHARS or len(rows) >= PART_FILES:
+                    yield pd.DataFrame(rows, columns=["file_path", "language", *PARTS])
+                    rows, chars = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["file_path", "language", *PARTS])
 
     fields = files.select(path, language, content)
     return fields.mapInPandas(run, PARSED)

@@ -163,3 +163,30 @@ def test_cli_parser():
 
     a = parser().parse_args(["--index", "i", "search", "words", "--limit", "5"])
     assert (a.command, a.query, a.limit) == ("search", "words", 5)
+
+
+def test_parsed_rows_leave_in_parts():
+    """A task holds what it parsed of a part of a batch, not of the whole."""
+    frames = []
+    taken = []
+
+    class Files:
+        """Stands for a table; runs the map on one batch in this process."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            for out in run(iter(frames)):
+                taken.append(len(out))
+
+    import pandas as pd
+
+    text = "function f() {}\n" * 1024
+    frames.append(pd.DataFrame({"file_path": [f"{i}.js" for i in range(64)], "language": ["javascript"] * 64, "content": [text] * 63 + [None]}))
+    extract.parse_files(Files())
+    assert sum(taken) == 64 and max(taken) == 16
+    taken.clear()
+    frames[0] = pd.DataFrame({"file_path": [str(i) for i in range(2500)], "language": ["text"] * 2500, "content": [""] * 2500})
+    extract.parse_files(Files())
+    assert taken == [1000, 1000, 500]
