@@ -190,3 +190,17 @@ def test_parsed_rows_leave_in_parts():
     frames[0] = pd.DataFrame({"file_path": [str(i) for i in range(2500)], "language": ["text"] * 2500, "content": [""] * 2500})
     extract.parse_files(Files())
     assert taken == [1000, 1000, 500]
+
+
+def test_several_tasks_write_a_part(spark, tmp_path):
+    files = spark.range(200).selectExpr("concat('f', id, '.js') AS file_path", "1.0D AS mtime_ms", "20L AS bytes", "'javascript' AS language", "concat('function f', id, '() { g(); }') AS content")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        e = Engine(spark, str(tmp_path / "i"), parts=1)
+        e.index_frame(files)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for name in ("files", "symbols", "call_edges", "vectors", "postings", "lengths"):
+        written = [f for f in os.listdir(tmp_path / "i" / "v1" / name / "part=0") if f.endswith(".parquet")]
+        assert len(written) == 4, name
+    assert e.symbols().count() == 200 and e.callers("g").count() == 200 and e.symbols_exact("f7").count() == 1
