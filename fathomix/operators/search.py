@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathomix.functions import vectors as V
 from fathomix.operators.sparse import index_scores, sparse_scores
@@ -68,15 +72,16 @@ def hybrid_search(docs: DataFrame, dense: DataFrame, query: str, query_vector: l
     return _weighted(sparse.join(scored, doc_id), k, doc_id, dense_weight, sparse_weight)
 
 
-def stored_search(ids: DataFrame, vectors: DataFrame, dense: DataFrame, query: str, query_vector: list[float], k: int = 10, doc_id: str = "doc_id", dense_id: str | None = None, vector: str = "embedding", dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT, where: Column | None = None) -> DataFrame:
+def stored_search(ids: DataFrame, vectors: DataFrame, dense: DataFrame, query: str, query_vector: list[float], k: int = 10, doc_id: str = "doc_id", dense_id: str | None = None, vector: str = "embedding", dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT, where: Column | None = None, norm: str | None = None) -> DataFrame:
     """The same from a stored index: no text is read, and of the sparse vectors only the query's buckets.
 
     ``ids``: a row for each document, with the columns of ``where``.  A document that shares no bucket
-    has a sparse score of 0.
+    has a sparse score of 0.  ``norm``: a column of ids with the lengths of vectors, where those hold counts (tf).
     """
-    ids = (ids.filter(where) if where is not None else ids).select(doc_id)
+    ids = (ids.filter(where) if where is not None else ids).select(doc_id, *([norm] if norm else []))
     scored = dense_scores(dense, vector, query_vector).select(F.col(dense_id or doc_id).alias(doc_id), "dense_score")
-    both = ids.join(scored, doc_id).join(index_scores(vectors, doc_id, query), doc_id, "left")
+    both = ids.join(scored, doc_id).join(index_scores(vectors, doc_id, query, weight="tf" if norm else "weight"), doc_id, "left")
+    both = both.withColumn("sparse_score", F.col("sparse_score") / F.col(norm)) if norm else both
     return _weighted(both.withColumn("sparse_score", F.coalesce("sparse_score", F.lit(0.0))), k, doc_id, dense_weight, sparse_weight)
 
 
@@ -113,8 +118,22 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stem=N
     """
     tokens = words(F.col(text))
     each = docs.select(doc_id, F.coalesce(stem(tokens) if stem else tokens, F.array().cast("array<string>")).alias("w"))
-    each = each.select(doc_id, F.size("w").alias("n"), F.explode_outer("w").alias("term"))
-    return each.groupBy(doc_id, "n", "term").agg(F.count("term").alias("tf")).select(doc_id, "term", "tf", "n")
+    schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("n", T.IntegerType())])
+
+    def run(batches):
+        for batch in batches:
+            # A document's words are in one row, so they are counted where they are; rows leave by term.
+            n = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = batch.column(1).flatten().dictionary_encode()
+            names = coded.dictionary.take(pc.array_sort_indices(coded.dictionary))
+            codes = pc.index_in(coded.dictionary, names).to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+            cells, tf = np.unique(codes * len(n) + np.repeat(np.arange(len(n)), n), return_counts=True)
+            none = np.flatnonzero(n == 0)
+            row = np.concatenate([cells % max(len(n), 1), none])
+            term = pa.concat_arrays([names.take(pa.array(cells // max(len(n), 1))).cast(pa.string()), pa.nulls(len(none), pa.string())])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), term, pa.array(np.concatenate([tf, none * 0]).astype(np.int64)), pa.array(n[row].astype(np.int32))], names=[doc_id, "term", "tf", "n"])
+
+    return each.mapInArrow(run, schema)
 
 
 def corpus_statistics(posting: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -22,6 +22,8 @@ SPACE = re.compile(r"[\t\n\x0b\x0c\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u
 TOKEN = re.compile(r"[a-z0-9_]+|[^\s]")
 #: Characters of the texts that are hashed at once: about a hundred bytes of memory for each.
 PART_CHARS = 1 << 18
+#: Characters of the texts whose cells are sorted together, of some 50 bytes of memory each.
+SEGMENT_CHARS = 1 << 22
 
 
 def gram_hashes(text: str, low: int = LOW, high: int = HIGH) -> np.ndarray:
@@ -80,6 +82,31 @@ def sparse_vectors(docs: DataFrame, doc_id: str, text: str, low: int = LOW, high
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
+def sorted_cells(docs: DataFrame, doc_id: str, text: str, low: int = LOW, high: int = HIGH, buckets: int = BUCKETS, most: int = SEGMENT_CHARS) -> DataFrame:
+    """(id, bucket, tf), one row for each bucket of each document; within segments of about ``most`` characters by bucket.
+
+    Written as it comes, a bucket's rows are skipped by the statistics of pages, and nothing is shuffled or spilled.
+    """
+    kind = docs.schema[doc_id].dataType
+    schema = T.StructType([T.StructField(doc_id, kind), T.StructField("bucket", T.IntegerType()), T.StructField("tf", T.IntegerType())])
+
+    def run(batches):
+        for batch in batches:
+            held, chars = [], 0
+            for first, part in _parts(batch.column(1)):
+                row, bucket, n = _batch_cells(part, low, high, buckets)
+                held.append([x.astype(np.int32) for x in (row + first, bucket, n)])
+                chars += sum(len(t or "") for t in part)
+                if chars >= most or first + len(part) == batch.num_rows:
+                    row, bucket, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                    order, held, chars = np.argsort(bucket, kind="stable"), [], 0
+                    for k in range(0, len(order), 1 << 18):
+                        at = order[k : k + (1 << 18)]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[at])), pa.array(bucket[at]), pa.array(n[at])], names=[doc_id, "bucket", "tf"])
+
+    return docs.select(doc_id, text).mapInArrow(run, schema)
+
+
 def sparse_rows(docs: DataFrame, doc_id: str, text: str, low: int = LOW, high: int = HIGH, buckets: int = BUCKETS) -> DataFrame:
     """(id, columns, values): the vector of each document that has a bucket as a row, by bucket.
 
@@ -105,30 +132,28 @@ def sparse_scores(docs: DataFrame, text: str, query: str, name: str = "sparse_sc
     """docs with the sparse cosine of each text and a query, in one pass over the texts."""
     qb, qn = gram_counts(query.lower(), low, high, buckets)
 
-    @F.pandas_udf(T.DoubleType())
-    def score(texts):
-        import pandas as pd
-
+    @F.arrow_udf(T.DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
         table = np.zeros(buckets)
         table[qb] = qn / max(np.sqrt((qn * qn).sum()), 1e-300)
         out = np.zeros(len(texts))
-        for first, part in _parts(pa.array(texts, pa.string(), from_pandas=True)):
+        for first, part in _parts(texts):
             row, bucket, n = _batch_cells(part, low, high, buckets)
             dot, squared = np.bincount(row, table[bucket] * n, len(part)), np.bincount(row, n * n, len(part))
             out[first : first + len(part)] = dot / np.sqrt(np.maximum(squared, 1))
-        return pd.Series(out)
+        return pa.array(out)
 
     return docs.withColumn(name, score(F.lower(F.col(text))))
 
 
-def index_scores(vectors: DataFrame, doc_id: str, query: str, name: str = "sparse_score", low: int = LOW, high: int = HIGH, buckets: int = BUCKETS) -> DataFrame:
+def index_scores(vectors: DataFrame, doc_id: str, query: str, name: str = "sparse_score", low: int = LOW, high: int = HIGH, buckets: int = BUCKETS, weight: str = "weight") -> DataFrame:
     """(id, score) from stored vectors: the query's few buckets are a filter that reaches the scan, sums meet by document."""
     qb, qn = gram_counts(query.lower(), low, high, buckets)
     if not len(qb):
         return vectors.select(doc_id, F.lit(0.0).alias(name)).limit(0)
     size = float(np.sqrt((qn * qn).sum()))
     weights = F.create_map(*(F.lit(x) for b, n in zip(qb.tolist(), qn.tolist(), strict=True) for x in (int(b), float(n) / size)))
-    return vectors.filter(F.col("bucket").isin(qb.tolist())).groupBy(doc_id).agg(F.sum(F.col("weight") * F.element_at(weights, F.col("bucket"))).alias(name))
+    return vectors.filter(F.col("bucket").isin(qb.tolist())).groupBy(doc_id).agg(F.sum(F.col(weight) * F.element_at(weights, F.col("bucket"))).alias(name))
 
 
 def compressed_rows(vectors: DataFrame, doc_id: str) -> DataFrame:

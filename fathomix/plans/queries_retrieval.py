@@ -144,21 +144,20 @@ _STORED: dict[tuple, dict[str, str]] = {}
 
 
 def stored_index(spark, d) -> dict[str, DataFrame]:
-    """vectors, postings and lengths of documents, as an index keeps them: written once an application, sorted
-    by what searches look for."""
+    """vectors (counts), postings and lengths of documents, as an index keeps them: written once an application, in segments
+    sorted by what searches look for, without a shuffle of cells or words."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _STORED:
         docs = table(spark, d, "documents").select("doc_id", "text")
         folder = temporary_folder(spark, "stored")
-        posting = search.postings(docs)
-        tables = {
-            "vectors": (sparse.sparse_vectors(docs.withColumn("text", F.lower("text")), "doc_id", "text").select("doc_id", "bucket", "weight"), "bucket"),
-            "postings": (posting.filter("term IS NOT NULL"), "term"),
-            "lengths": (posting.select("doc_id", "n").distinct(), "doc_id"),
-        }
-        for name, (df, by) in tables.items():
-            df.repartitionByRange(by).sortWithinPartitions(by).write.parquet(f"{folder}/{name}")
-        _STORED[key] = {name: f"{folder}/{name}" for name in tables}
+        cells = sparse.sorted_cells(docs.withColumn("text", F.lower("text")), "doc_id", "text")
+        # Both come sorted in segments; lengths are gathered from what is stored.
+        for name, df in (("vectors", cells), ("postings", search.postings(docs))):
+            df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+        posting, cells = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/vectors")
+        norms = cells.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("tf").cast("double") * F.col("tf"))).alias("norm"))
+        posting.select("doc_id", "n").distinct().join(norms, "doc_id", "left").write.parquet(f"{folder}/lengths")
+        _STORED[key] = {name: f"{folder}/{name}" for name in ("vectors", "postings", "lengths")}
     return {name: spark.read.parquet(path) for name, path in _STORED[key].items()}
 
 
@@ -168,7 +167,7 @@ FROM documents JOIN dense USING (doc_id) LEFT JOIN sparse USING (doc_id) ORDER B
 def src14_stored_search(spark, d):
     """The same from a stored index: no text is read."""
     index = stored_index(spark, d)
-    best = search.stored_search(index["lengths"], index["vectors"], table(spark, d, "embeddings"), QUERY, _vector(spark, d), dense_id="vec_id")
+    best = search.stored_search(index["lengths"], index["vectors"], table(spark, d, "embeddings"), QUERY, _vector(spark, d), dense_id="vec_id", norm="norm")
     return best.select("doc_id", *(F.round(c, 5).alias(c) for c in ("score", "dense_score", "sparse_score")))
 
 

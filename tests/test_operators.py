@@ -318,3 +318,16 @@ def test_blocks_are_bounded(spark):
     blocks = store.export_blocks(df, "doc_id", most=10)
     assert sorted(len(r.ids) for r in blocks.collect()) == [1] + [2] + [3] * 6
     assert rows(store.import_blocks(blocks, "doc_id"), "doc_id") == rows(df, "doc_id")
+
+
+def test_stored_rows_come_sorted_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, "the cat the"), (2, None), (3, "a dog sat Été"), (4, ""), (5, "the dog " * 30)], "doc_id long, text string").coalesce(1)
+    posting, cells = search.postings(df), sparse.sorted_cells(df, "doc_id", "text")
+    for out in (posting, cells):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in posting.collect()} == {(1, "the", 2, 3), (1, "cat", 1, 3), (2, None, 0, 0), (3, "a", 1, 4), (3, "dog", 1, 4), (3, "sat", 1, 4), (3, "été", 1, 4), (4, None, 0, 0), (5, "the", 30, 60), (5, "dog", 30, 60)}
+    assert [r.term for r in posting.filter("term IS NOT NULL").collect()] == sorted(r.term for r in posting.filter("term IS NOT NULL").collect())
+    assert [r.bucket for r in cells.collect()] == sorted(r.bucket for r in cells.collect())
+    assert rows(cells, "doc_id", "bucket") == rows(sparse.sparse_vectors(df, "doc_id", "text").selectExpr("doc_id", "bucket", "tf"), "doc_id", "bucket")
+    parts = sparse.sorted_cells(df, "doc_id", "text", most=5)
+    assert rows(parts, "doc_id", "bucket") == rows(cells, "doc_id", "bucket")
