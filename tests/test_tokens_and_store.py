@@ -50,3 +50,14 @@ def test_entry_without_subpackage(monkeypatch):
     names = __spark_entry__.queries()
     assert names and not any(n.startswith("op") or n == "pipeline" for n in names)
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_words_stay_in_arrow_buffers(spark):
+    """Ids and stems of a batch are not lists of Python values; null texts, words and lists keep their places."""
+    df = spark.createDataFrame([(1, "Ponies, été running"), (2, None), (3, ""), (4, "a " * 900)], "id long, text string")
+    coded = df.select("id", tokens.word_ids(df.text, 8).alias("t"))
+    assert "], 250" in coded._jdf.queryExecution().executedPlan().toString()  # a function on Arrow arrays, not on pandas series
+    assert {r.id: (r.t.ids, r.t.mask) for r in coded.collect()} == {r.id: tokens.encode_words(r.text, 8) for r in df.collect()}
+    lists = spark.createDataFrame([(1, ["ponies", "été", None, "ponies"]), (2, None), (3, []), (4, ["running"])], "id long, w array<string>").coalesce(1)
+    out = lists.select("id", tokens.stems(lists.w).alias("s"))
+    assert sorted(map(tuple, out.collect())) == [(1, ["poni", tokens.porter("ete"), None, "poni"]), (2, None), (3, []), (4, ["run"])]
