@@ -37,3 +37,10 @@ def test_pushdown(spark, data):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     plan = QUERIES["rnk13_code_aware_search"](spark, data)._jdf.queryExecution().toString()
     assert "EqualTo(lang,en)" in plan
+
+
+@pytest.mark.parametrize("name", ["gr06_cross_references", "gr07_call_types", "ext15_documented_symbols"])
+def test_files_are_parsed_once(spark, data, name):
+    """A plan that reads several tables of files reads stored ones; it neither parses nor searches lines again."""
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan and "regexp_extract_all" not in plan
