@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomix.storage import Scratch
 
+#: Edges of so many bytes or fewer, measured as names and two numbers, are searched by one task.
+TASK_BYTES = 8 << 20
+
 
 def call_maps(edges: DataFrame) -> DataFrame:
     """name, calls, called_by: sorted distinct neighbours of every function."""
@@ -57,24 +63,82 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int | None, reverse: bo
     return seen
 
 
+def _least_of_component(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least node of its strong component, -1 where no cycle passes: Tarjan's walk without recursion."""
+    order = np.argsort(a, kind="stable")
+    heads, first = b[order].tolist(), np.searchsorted(a[order], np.arange(n + 1)).tolist()
+    at, seen, low, is_open, loops = first[:-1], [0] * n, [0] * n, bytearray(n), set(a[a == b].tolist())
+    out, stack, clock = np.full(n, -1), [], 0
+    for root in range(n):
+        path = [] if seen[root] else [root]
+        while path:
+            v = path[-1]
+            if not seen[v]:
+                clock += 1
+                seen[v] = low[v] = clock
+                stack.append(v)
+                is_open[v] = 1
+            if at[v] < first[v + 1]:
+                w = heads[at[v]]
+                at[v] += 1
+                if not seen[w]:
+                    path.append(w)
+                elif is_open[w]:
+                    low[v] = min(low[v], seen[w])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == seen[v]:
+                members = []
+                while not members or members[-1] != v:
+                    members.append(stack.pop())
+                    is_open[members[-1]] = 0
+                if len(members) > 1 or v in loops:
+                    out[members] = min(members)
+    return out
+
+
+def _components_by_task(edges: DataFrame) -> DataFrame:
+    """strong_components of the distinct edges a, b by one task, in time and memory of their number."""
+
+    def run(batches):
+        rows = [x for x in batches if x.num_rows]
+        if not rows:
+            return
+        pairs = pa.Table.from_batches(rows)
+        coded = pa.chunked_array([*pairs["a"].chunks, *pairs["b"].chunks]).combine_chunks().dictionary_encode()
+        names = coded.dictionary.take(order := pc.sort_indices(coded.dictionary))
+        rank = np.empty(len(names), "int64")
+        rank[order.to_numpy()] = np.arange(len(names))
+        ends = rank[coded.indices.to_numpy()]
+        least = _least_of_component(ends[: pairs.num_rows], ends[pairs.num_rows :], len(names))
+        found = np.flatnonzero(least >= 0)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(found)), names.take(pa.array(least[found]))], names=["name", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, edges.select(F.col("a").alias("name"), F.col("b").alias("component")).schema)
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """name, component (the least name of it): the nodes that lie on cycles, of whatever length.
 
-    Nodes without a way in or out are cut off; the least name that reaches a node is its colour; the nodes that
-    reach their colour's own node within the colour are its component, and the search goes on without
-    them.  Each round is a table of nodes; nothing is collected.
+    Nodes without a way in or out are cut off; as soon as what is left is measured to be small, one task
+    walks it.  Else the least name that reaches a node is its colour; the nodes that reach their colour's own node
+    within the colour are its component, and the search goes on without them.  Each round is a
+    table of nodes; nothing is collected.
     """
     scratch = Scratch(edges.sparkSession, "components")
     now = scratch.write(edges.select(F.col("caller").alias("a"), F.col("callee").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct())
     out = scratch.write(now.select(F.col("a").alias("name"), F.col("b").alias("component")).limit(0))
+    held = F.coalesce(F.sum(F.octet_length(F.col("a").cast("string")) + F.octet_length(F.col("b").cast("string")) + 16), F.lit(0))
     while True:
         size = -1
-        while (left := now.count()) != size:
+        while (left := now.agg(held).first()[0]) != size:
+            if left <= TASK_BYTES:
+                return scratch.write(out.unionByName(_components_by_task(now)))
             size = left
             inner = now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
             now = scratch.write(inner.select("a", "b"))
-        if not size:
-            return out
         colour = scratch.write(now.select(F.col("a").alias("name")).distinct().withColumn("colour", F.col("name")))
         while True:
             offered = now.join(colour, now["a"] == colour["name"]).select(F.col("b").alias("name"), "colour")
@@ -91,7 +155,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
             size = left
             back = within.join(found, within["b"] == found["name"]).select(F.col("a").alias("name"), "component")
             found = scratch.write(found.unionByName(back).distinct())
-        out = scratch.write(out.unionByName(found))
+        # A node between two cycles is alone and does not call itself: it is gone, but on no cycle.
+        many = found.groupBy("component").count().filter("count > 1").select("component")
+        cyclic = many.unionByName(within.filter("a = b").select(F.col("a").alias("component"))).distinct()
+        out = scratch.write(out.unionByName(found.join(cyclic, "component", "left_semi").select("name", "component")))
         gone = found.select(F.col("name").alias("a"))
         now = scratch.write(now.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b"))
 

@@ -2,6 +2,7 @@
 
 import datetime
 
+import numpy as np
 import pandas as pd
 import random
 
@@ -331,3 +332,26 @@ def test_stored_rows_come_sorted_without_a_shuffle(spark):
     assert rows(cells, "doc_id", "bucket") == rows(sparse.sparse_vectors(df, "doc_id", "text").selectExpr("doc_id", "bucket", "tf"), "doc_id", "bucket")
     parts = sparse.sorted_cells(df, "doc_id", "text", most=5)
     assert rows(parts, "doc_id", "bucket") == rows(cells, "doc_id", "bucket")
+
+
+def test_components_by_task_and_by_rounds(spark, monkeypatch):
+    """Against reachability, with nodes between cycles; a small graph takes few jobs however many rings are in a row."""
+    r = random.Random(3)
+    edges = [("b", "c"), ("c", "b"), ("c", "a"), ("a", "d"), ("d", "e"), ("e", "d"), ("é", "z"), ("z", "é"), ("f", "f"), ("e", "f"), (None, "b"), ("b", "c")]
+    edges += [(f"n{r.randrange(30):02}", f"n{r.randrange(30):02}") for _ in range(34)]
+    reach = {(a, b) for a, b in edges if a}
+    while more := {(a, d) for a, b in reach for c, d in reach if b == c} - reach:
+        reach |= more
+    expected = {a: min(y for x, y in reach if x == a and (y, a) in reach) for a, b in reach if a == b}
+    assert "a" not in expected and {"f", "z"} < set(expected)
+    frame = spark.createDataFrame(edges, "caller string, callee string").repartition(5)
+    found = lambda: sorted((x.name, x.component) for x in graph.strong_components(frame).collect())
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few", "few")
+    assert found() == sorted(expected.items())
+    assert len(tracker.getJobIdsForGroup("few")) < 12
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr(graph, "TASK_BYTES", 0)
+    assert found() == sorted(expected.items())
+    chain = np.arange(200_000)
+    assert (graph._least_of_component(chain, (chain + 1) % 200_000, 200_000) == 0).all()
