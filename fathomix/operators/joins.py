@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: About how many rows of both sides a task joins.
+TASK_ROWS = 1 << 19
+
 
 def nearest_following(left: DataFrame, right: DataFrame, keys: list[str], at: str, most: int, left_id: str, right_id: str) -> DataFrame:
     """left_id, right_id, distance: for each left row the nearest right row of the same keys that comes 1 to
@@ -27,7 +32,8 @@ def innermost_container(points: DataFrame, spans: DataFrame, keys: list[str], st
 
     ``ends``: the columns of a span's start and end, if they have other names than a point's.  A span is listed at a level of its length, the least ``width`` * 4**level that is no shorter, in the two buckets of that width
     that it can reach into; a point looks into its bucket of each level that occurs.  So spans and points of one group meet only
-    where they are near, and each row is repeated as often as there are levels.
+    where they are near, and each row is repeated as often as there are levels.  Rows are counted first: large inputs are dealt to
+    tasks of about ``TASK_ROWS``, unless a bucket holds many times that, which adaptive execution splits.
     """
     p = points.select(*keys, F.col(start).alias("ps"), F.col(end).alias("pe"), F.col(point_id).alias("point_id"))
     a, b = ends or (start, end)
@@ -35,12 +41,27 @@ def innermost_container(points: DataFrame, spans: DataFrame, keys: list[str], st
     level = F.greatest(F.ceil(F.log(4.0, F.greatest((F.col("se") - F.col("ss")).cast("double"), F.lit(1.0)) / width)), F.lit(0)).cast("int")
     size = lambda c: F.lit(float(width)) * F.pow(F.lit(4.0), c)
     s = s.withColumn("level", level)
-    levels = [r[0] for r in s.select("level").distinct().collect()]  # the logarithm of the longest span at most
     bucket = lambda c: F.floor(F.col(c) / size(F.col("level")))
     s = s.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket("ss"), bucket("se")))))
+    held = dict(s.groupBy("level").count().collect())  # as many levels as the logarithm of the longest span at most
+    rows, levels = p.count() * len(held) + sum(held.values()), list(held)
     p = p.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("bucket", bucket("ps"))
-    inside = p.join(s, [*keys, "level", "bucket"]).filter((F.col("ss") <= F.col("ps")) & (F.col("se") >= F.col("pe")))
-    return inside.groupBy("point_id").agg(F.min(F.struct((F.col("se") - F.col("ss")).alias("n"), "span_id")).alias("m")).select("point_id", "m.span_id")
+    near, tasks = [*keys, "level", "bucket"], -(-rows // TASK_ROWS)
+    bounded = tasks > points.sparkSession.sparkContext.defaultParallelism and _largest_group(near, p, s) <= 4 * TASK_ROWS
+    if bounded:
+        p, s = p.repartition(tasks, *near), s.repartition(tasks, *near)
+    inside = p.join(s, near).filter((F.col("ss") <= F.col("ps")) & (F.col("se") >= F.col("pe"))).select(*near, "point_id", F.struct((F.col("se") - F.col("ss")).alias("n"), "span_id").alias("m"))
+    if bounded:
+        # A point's best of a bucket where the rows met, then of its levels.
+        inside = inside.groupBy(*near, "point_id").agg(F.min("m").alias("m")).repartition(tasks, "point_id")
+    return inside.groupBy("point_id").agg(F.min("m").alias("m")).select("point_id", "m.span_id")
+
+
+def _largest_group(by: list[str], *frames: DataFrame) -> int:
+    """About how many rows the largest group of all frames has, by one pass with a sketch."""
+    hashes = [df.select(F.xxhash64(*by).alias("h")) for df in frames]
+    top = reduce(DataFrame.unionByName, hashes).agg(F.expr("approx_top_k(h, 1)").alias("top")).first()["top"]
+    return top[0]["count"] if top else 0
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -> DataFrame:

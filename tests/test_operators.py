@@ -355,3 +355,19 @@ def test_components_by_task_and_by_rounds(spark, monkeypatch):
     assert found() == sorted(expected.items())
     chain = np.arange(200_000)
     assert (graph._least_of_component(chain, (chain + 1) % 200_000, 200_000) == 0).all()
+
+
+def test_innermost_in_bounded_tasks(spark, monkeypatch):
+    """Tasks grow in number with the rows, not in size; a bucket too large for that is left to adaptive execution."""
+    r = random.Random(8)
+    spans = [(r.choice("abcdef"), s, s + r.choice([0, 3, 64, 900]), i) for i in range(300) for s in [r.randrange(2000)]]
+    points = [(r.choice("abcdefg"), p, p + r.choice([0, 2]), i) for i in range(300) for p in [r.randrange(2200)]]
+    frame = lambda x: spark.createDataFrame(x, "k string, s int, e int, id int")
+    find = lambda p: joins.innermost_container(frame(p), frame(spans), ["k"], "s", "e", "id", "id")
+    planned = lambda df: "REPARTITION_BY_NUM" in df._jdf.queryExecution().toString()
+    hot = points + [("a", 70, 71, 1000 + i) for i in range(200)]
+    expected = [dict(find(p).collect()) for p in (points, hot)]
+    assert not planned(find(points)) and len(expected[0]) > 50
+    monkeypatch.setattr(joins, "TASK_ROWS", 40, raising=False)
+    assert planned(find(points)) and dict(find(points).collect()) == expected[0]
+    assert not planned(find(hot)) and dict(find(hot).collect()) == expected[1]
